@@ -21,6 +21,11 @@ def safe_div(num: Column, den: Column) -> Column:
     return num / F.nullif(den, F.lit(0.0))
 
 
+def field(name: str):
+    """Lambda that takes one field of a struct, for array functions."""
+    return lambda e: e[name]
+
+
 def conj_product(sec_re, sec_im, ref_re, ref_im) -> tuple[Column, Column]:
     """sec * conj(ref) as (re, im)."""
     return (sec_re * ref_re + sec_im * ref_im, sec_im * ref_re - sec_re * ref_im)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echofold.functions.columns import safe_div
-from echofold.operators.scan import Scan, scan
+from echofold.operators.scan import Scan, ordered, scan
 from echofold.params import ROWS_PER_TILE
 
 POLICIES = ("null", "extrap", "hold", "nearest")
@@ -18,14 +18,15 @@ def _line(x: Column, x0: Column, v0: Column, x1: Column, v1: Column) -> Column:
 
 
 def interp_join(left: DataFrame, right: DataFrame, on: str, value: str, by=(), policy: str = "null",
-                out: str | None = None, rows: int = ROWS_PER_TILE) -> DataFrame:
+                out: str | None = None, rows: int = ROWS_PER_TILE, bounded: bool = False) -> DataFrame:
     """Linear interpolation of right.value, sorted by `on`, at left.`on`, per `by`.
 
     Outside the table: 'null' gives NULL, 'hold' the end value, 'extrap' the
     end segment prolonged, 'nearest' the value of the nearest point everywhere
     (the lower one on a tie). Table points sharing a position are averaged.
     Both sides meet by a union and two running fills, so neither a range join
-    nor a whole group in one task is needed.
+    nor a whole group in one task is needed. `bounded` says that a group is small
+    by construction (a pass, a profile) and a plain window will do.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
@@ -38,8 +39,8 @@ def interp_join(left: DataFrame, right: DataFrame, on: str, value: str, by=(), p
              .groupBy(*grp, x.alias("_x")).agg(F.avg(value).alias("_v")))
     point = [F.col("_x").alias("x"), F.col("_v").alias("v")]
     if policy == "extrap":
-        table = scan(table, grp, "_x", [
-            Scan("_before", F.struct(*point), "prev"), Scan("_after", F.struct(*point), "follow")], rows)
+        table = ordered(table, grp, "_x", [
+            Scan("_before", F.struct(*point), "prev"), Scan("_after", F.struct(*point), "follow")], bounded, rows)
         point += [F.col("_before").alias("b"), F.col("_after").alias("a")]
     keep = [c for c in left.columns if c != "_all"]
     # Keys without a position get no value and stay out of the scan.
@@ -47,8 +48,8 @@ def interp_join(left: DataFrame, right: DataFrame, on: str, value: str, by=(), p
         *grp, x.alias("_x"), F.lit(1).alias("_is_key"), F.struct(*keep).alias("_row"))
     points = table.select(*grp, "_x", F.lit(0).alias("_is_key"), F.struct(*point).alias("_p"))
     both = keys.unionByName(points, allowMissingColumns=True)
-    filled = scan(both, grp, ["_x", "_is_key"], [
-        Scan("_p0", F.col("_p"), "last"), Scan("_p1", F.col("_p"), "next")], rows).where("_is_key = 1")
+    filled = ordered(both, grp, ["_x", "_is_key"], [
+        Scan("_p0", F.col("_p"), "last"), Scan("_p1", F.col("_p"), "next")], bounded, rows).where("_is_key = 1")
     q, p0, p1 = F.col("_x"), F.col("_p0"), F.col("_p1")
     inside = p0.isNotNull() & p1.isNotNull()
     # A table point at the key itself sorts before it and is p0.

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echofold.functions.columns import field
 from echofold.operators.scan import Scan, ordered
 from echofold.params import MAD_SCALE, ROWS_PER_TILE
 from echofold.session import cut_lineage
@@ -95,7 +96,7 @@ def invert_network(df: DataFrame, row_key: list[str], i: str, j: str, d: str, w:
         F.col(i).cast("int").alias("i"), F.col(j).cast("int").alias("j"), F.col(d).cast("double").alias("d"),
         wt.cast("double").alias("w"))).alias("_p"))
     packed = packed.select(*row_key, F.array_sort("_p").alias("_p")).select(
-        *row_key, *[F.transform("_p", lambda e, k=k: e[k]).alias(f"_{k}") for k in "ijdw"])
+        *row_key, *[F.transform("_p", field(k)).alias(f"_{k}") for k in "ijdw"])
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in row_key) + (
         ", epoch array<int>, x array<double>, x_std array<double>, i array<int>, j array<int>, resid array<double>, "

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echofold.operators.interp import interp_join
-from echofold.params import ROWS_PER_TILE
 
 PAIR = ["line_id", "ref_idx", "sec_idx"]
 
@@ -113,20 +112,21 @@ def baseline_gate(pairs: DataFrame, baseline: DataFrame, max_m: float = 10.0) ->
         "keep", F.coalesce(F.col("max_baseline") <= max_m, F.lit(True)))
 
 
-def times_on_main(tracks: DataFrame, main: DataFrame, rows: int = ROWS_PER_TILE) -> DataFrame:
+def times_on_main(tracks: DataFrame, main: DataFrame) -> DataFrame:
     """Every pass's time at the main pass's column positions (end segments prolonged).
 
     `main` holds (line_id, col, along_m); a one-point pass keeps its mean time.
+    A pass has about as many fixes as the line has columns, so it fits a window.
     """
     passes = tracks.select("line_id", "pass_idx").distinct()
     at = main.select("line_id", "col", "along_m").join(passes, "line_id")
     return interp_join(at, tracks.select("line_id", "pass_idx", "along_m", "gps_time_s"), "along_m", "gps_time_s",
-                       by=["line_id", "pass_idx"], policy="extrap", rows=rows)
+                       by=["line_id", "pass_idx"], policy="extrap", bounded=True)
 
 
-def repeat_interval(tracks: DataFrame, pairs: DataFrame, main: DataFrame, rows: int = ROWS_PER_TILE) -> DataFrame:
+def repeat_interval(tracks: DataFrame, pairs: DataFrame, main: DataFrame) -> DataFrame:
     """Per column, second minus reference time on the main axis: (pair, col, dt_s)."""
-    t = times_on_main(tracks, main, rows)
+    t = times_on_main(tracks, main)
     both = pair_samples(t.select("line_id", "pass_idx", "col", "gps_time_s"), pairs, values=["gps_time_s"])
     return both.select(*PAIR, "col", (F.col("sec_gps_time_s") - F.col("ref_gps_time_s")).alias("dt_s"))
 

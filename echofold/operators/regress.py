@@ -256,8 +256,7 @@ def tide_fraction(pairs: DataFrame, tide: DataFrame, rows: int = 500_000) -> Dat
 
 
 def rate_regression_by_depth(profiles: DataFrame, by: list[str], pair: list[str], z: str, dh: str, dt: str, rate: str,
-                             z_lo: float, z_hi: float, z_step: float, min_samples: int = 20, min_n: int = 10,
-                             rows: int = 500_000) -> DataFrame:
+                             z_lo: float, z_hi: float, z_step: float, min_samples: int = 20, min_n: int = 10) -> DataFrame:
     """Rate regression at every grid depth, from profiles interpolated to it.
 
     A profile with fewer than min_samples points is left out, a depth with
@@ -269,7 +268,7 @@ def rate_regression_by_depth(profiles: DataFrame, by: list[str], pair: list[str]
     n = int(round((z_hi - z_lo) / z_step)) + 1
     grid = head.select(*by, *pair, "_dt", "_rate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k")).withColumn(
         z, F.lit(z_lo) + F.col("_k") * z_step)
-    at = interp_join(grid, ok.select(*by, *pair, z, dh), z, dh, by=[*by, *pair], rows=rows)
+    at = interp_join(grid, ok.select(*by, *pair, z, dh), z, dh, by=[*by, *pair], bounded=True)
     at = at.withColumn("_y", safe_div(F.col(dh), F.col("_dt")))
     return rate_regression(at, "_rate", "_y", [*by, z], min_n=min_n)
 

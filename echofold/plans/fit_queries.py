@@ -36,9 +36,9 @@ def _(t):
 
 
 @query("network_complete", keys="row_key", ints="epoch", digits={"x": 7}, sql=f"""
-WITH {I.PAIRDIFF}, both AS (SELECT row_key, sec_idx AS epoch, d FROM pairdiff UNION ALL SELECT row_key, ref_idx, -d FROM pairdiff),
+WITH {I.PAIRDIFF}, bth AS (SELECT row_key, sec_idx AS epoch, d FROM pairdiff UNION ALL SELECT row_key, ref_idx, -d FROM pairdiff),
 m AS (SELECT row_key, max(sec_idx) - min(ref_idx) + 1 AS n FROM pairdiff GROUP BY 1)
-SELECT row_key, epoch, sum(d) / any_value(n) AS x FROM both JOIN m USING (row_key) GROUP BY 1, 2""")
+SELECT row_key, epoch, sum(d) / any_value(n) AS x FROM bth JOIN m USING (row_key) GROUP BY 1, 2""")
 def _(t):
     return network.complete_network(I.pairdiff(t), ["row_key"], "ref_idx", "sec_idx", "d")
 
@@ -567,7 +567,7 @@ def _(t):
 
 
 @query("flagship", keys="row_key", ints="n dof", digits={"trend": 6, "driver": 6, "driver_std": 6, "r_th": 6}, sql=f"""
-WITH {I.PAIRDIFF}, both AS (SELECT row_key, sec_idx AS ep, d FROM pairdiff UNION ALL SELECT row_key, ref_idx, -d FROM pairdiff), x AS (SELECT row_key, ep, sum(d) / 7 AS x FROM both GROUP BY 1, 2),
+WITH {I.PAIRDIFF}, bth AS (SELECT row_key, sec_idx AS ep, d FROM pairdiff UNION ALL SELECT row_key, ref_idx, -d FROM pairdiff), x AS (SELECT row_key, ep, sum(d) / 7 AS x FROM bth GROUP BY 1, 2),
 yr AS (SELECT CAST(year(l_shipdate) - 1994 AS INTEGER) AS ep, avg(l_discount) * 1000 AS h FROM lineitem GROUP BY 1), q AS (SELECT row_key, x AS y, CAST(ep AS DOUBLE) AS t, h FROM x JOIN yr USING (ep)),
 m AS (SELECT row_key, count(*) AS n, var_pop(t) * count(*) AS tt, var_pop(h) * count(*) AS hh, covar_pop(t, h) * count(*) AS th, covar_pop(t, y) * count(*) AS ty, covar_pop(h, y) * count(*) AS hy, var_pop(y) * count(*) AS yy FROM q GROUP BY 1),
 f AS (SELECT *, (ty * hh - hy * th) / (tt * hh - th * th) AS b, (hy * tt - ty * th) / (tt * hh - th * th) AS c FROM m)

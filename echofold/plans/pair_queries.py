@@ -441,7 +441,7 @@ def part_profile(t):
     return t.lineitem.groupBy(F.col("l_partkey").alias("row_key"), F.col("l_quantity").alias("z")).agg((F.avg("l_extendedprice") / 1e4).alias("v"))
 
 
-@query("read_at_depth", ints="row_key", digits={"value": 9}, sql=f"""
+@query("read_at_depth", ints="row_key", digits={"value": 10}, sql=f"""
 WITH {PROFILE}, a AS (SELECT row_key, arg_max(z, z) FILTER (z <= 25.5) AS x0, arg_max(v, z) FILTER (z <= 25.5) AS v0, arg_min(z, z) FILTER (z >= 25.5) AS x1,
   arg_min(v, z) FILTER (z >= 25.5) AS v1 FROM prof GROUP BY 1)
 SELECT row_key, v0 + (25.5 - x0) * (v1 - v0) / (x1 - x0) AS value FROM a WHERE x0 IS NOT NULL AND x1 IS NOT NULL""")
