@@ -18,7 +18,7 @@ def tile_columns(slc: DataFrame, width: int = 200, before: int = 7, after: int =
     groups by keys that contain (line_id, col_tile) and stays where it is.
     """
     col = F.col("col")
-    tiles = F.sequence(F.greatest(F.floor((col - before) / width), F.lit(0)), F.floor((col + after) / width))
+    tiles = F.sequence(F.greatest(F.floor((col - after) / width), F.lit(0)), F.floor((col + before) / width))
     return slc.withColumn(COL_TILE, F.explode(tiles)).repartition("line_id", COL_TILE)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from echofold.functions.columns import safe_div
 from echofold.operators.quantiles import medians, robust_scale
-from echofold.operators.scan import Scan, scan
+from echofold.operators.scan import Scan, ordered
 from echofold.params import ROWS_PER_TILE
 
 
@@ -28,8 +28,8 @@ def nearest_match(a: DataFrame, b: DataFrame, on: str, tol: float, by=(), id_b:
     point = F.struct(x.alias("x"), F.struct(*[c for c in b.columns if c != "_all"]).alias("row"))
     pts = b.where(x.isNotNull()).groupBy(*grp, x.alias("_x")).agg(F.min_by(point, F.col(id_b)).alias("_p")).withColumn("_is_a", F.lit(0))
     keys = a.where(x.isNotNull()).select(*grp, x.alias("_x"), F.lit(1).alias("_is_a"), F.struct(*keep).alias("_row"))
-    both = scan(keys.unionByName(pts, allowMissingColumns=True), grp, ["_x", "_is_a"], [
-        Scan("_lo", F.col("_p"), "last"), Scan("_hi", F.col("_p"), "next")], rows).where("_is_a = 1")
+    both = ordered(keys.unionByName(pts, allowMissingColumns=True), grp, ["_x", "_is_a"], [
+        Scan("_lo", F.col("_p"), "last"), Scan("_hi", F.col("_p"), "next")], rows=rows).where("_is_a = 1")
     g_lo, g_hi = F.col("_x") - F.col("_lo.x"), F.col("_hi.x") - F.col("_x")
     lower = g_hi.isNull() | F.coalesce(g_lo <= g_hi, F.lit(False))
     gap = F.when(lower, g_lo).otherwise(g_hi)
@@ -96,8 +96,8 @@ def project_on_track(points: DataFrame, tracks: DataFrame, point_id: str = "site
     a time, and each pass over the tracks keeps one candidate per point and
     task. `points`: id, x, y; `tracks`: line_id, col, x, y, along_m.
     """
-    seg = scan(tracks, ["line_id"], "col", [
-        Scan("_b", F.struct("x", "y", "along_m"), "prev"), Scan("_f", F.struct("x", "y", "along_m"), "follow")], rows)
+    seg = ordered(tracks, ["line_id"], "col", [
+        Scan("_b", F.struct("x", "y", "along_m"), "prev"), Scan("_f", F.struct("x", "y", "along_m"), "follow")], rows=rows)
     kind = dict(points.dtypes)[point_id]
     known = points.where("x is not null and y is not null").select(point_id, "x", "y")
     out, last = None, None
@@ -142,7 +142,7 @@ def polyline_crossing(tracks: DataFrame, polyline: DataFrame, max_m: float = 150
     both a track and a boundary point are compared, boundary points sharing a
     `step`-sized spot being merged to their own position first.
     """
-    nxt = scan(polyline, [part], "seq", [Scan("_n", F.struct("x", "y"), "follow")], rows)
+    nxt = ordered(polyline, [part], "seq", [Scan("_n", F.struct("x", "y"), "follow")], rows=rows)
     length = F.hypot(F.col("_n.x") - F.col("x"), F.col("_n.y") - F.col("y"))
     s = nxt.withColumn("_L", length).where((F.col("_L") > 0) & (F.col("_L") <= max_segment))
     m = F.greatest(F.lit(2), F.ceil(F.col("_L") / step)).cast("int")

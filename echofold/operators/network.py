@@ -177,7 +177,7 @@ def largest_component(pairs: DataFrame, i: str, j: str, by: list[str], max_round
     return label.join(best, [*by, "label"]).select(*by, "node")
 
 
-def chain_from_reference(steps: DataFrame, ref: DataFrame, by: list[str], bounded: bool = True,
+def chain_from_reference(steps: DataFrame, ref: DataFrame, by: list[str], bounded: bool | None = True,
                          rows: int = ROWS_PER_TILE) -> DataFrame:
     """Cumulative sum of sequential steps away from the reference pass, both ways.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echofold.functions.columns import db, safe_div
-from echofold.operators.scan import Scan, moving, rows_around, scan, spread_over
+from echofold.operators.scan import Scan, moving, ordered, rows_around, spread_over
 from echofold.params import ROWS_PER_TILE
 
 
@@ -22,8 +22,8 @@ def change_point(df: DataFrame, x: str, v: str, by: list[str], min_side: int = 3
     """
     fields = [x, *keep]
     d = df.where(F.col(v).isNotNull() & F.col(x).isNotNull())
-    d = scan(d, by, x, [Scan("_k", F.lit(1).cast("long"), "sum"), Scan("_s", F.col(v), "sum"),
-                        Scan("_nx", F.struct(*fields), "follow")], rows)
+    d = ordered(d, by, x, [Scan("_k", F.lit(1).cast("long"), "sum"), Scan("_s", F.col(v), "sum"),
+                           Scan("_nx", F.struct(*fields), "follow")], rows=rows)
     tot = d.groupBy(*by).agg(F.max("_k").alias("_n"), F.sum(v).alias("_t"))
     d = d.join(tot, by).where((F.col("_k") >= min_side) & (F.col("_k") <= F.col("_n") - min_side))
     c = sign * (F.col("_s") / F.col("_k") - (F.col("_t") - F.col("_s")) / (F.col("_n") - F.col("_k")))
@@ -63,7 +63,7 @@ def depth_gradient(df: DataFrame, z: str, v: str, by: list[str], smooth: int = 5
     """Difference over the depth step of the moving mean; the deepest row has none."""
     before, after = _centred(smooth)
     d = rows_around(df, by, z, {"_m": F.avg(v)}, before, after, rows)
-    d = scan(d, by, z, [Scan("_nm", F.col("_m"), "follow"), Scan("_nz", F.col(z), "follow")], rows)
+    d = ordered(d, by, z, [Scan("_nm", F.col("_m"), "follow"), Scan("_nz", F.col(z), "follow")], rows=rows)
     return d.select(*by, z, F.col("_m").alias("smooth"), safe_div(F.col("_nm") - F.col("_m"), (F.col("_nz") - F.col(z)).cast("double")).alias("gradient"))
 
 
@@ -125,9 +125,9 @@ def boxcar_mean(df: DataFrame, by: list[str], axes: list[tuple[str, int]], v: st
 def moving_median(df: DataFrame, by: list[str], order: str, v: str, k: int, out: str = "med", rows: int = ROWS_PER_TILE) -> DataFrame:
     """Centred moving median by row; the half-window at either end keeps the raw values."""
     before, after = _centred(k)
-    d = scan(df, by, order, [Scan("_pos", F.lit(1).cast("long"), "sum")], rows)
+    d = ordered(df, by, order, [Scan("_pos", F.lit(1).cast("long"), "sum")], rows=rows)
     size = d.groupBy(*by).agg(F.max("_pos").alias("_n"))
-    d = moving(d, by, "_pos", {"_list": F.sort_array(F.collect_list(v))}, before, after).join(size, by)
+    d = moving(d, by, "_pos", {"_list": F.collect_list(v)}, before, after).join(size, by).withColumn("_list", F.sort_array("_list"))
     m = F.size("_list")
     mid = (F.element_at("_list", F.floor((m + 1) / 2).cast("int")) + F.element_at("_list", F.floor((m + 2) / 2).cast("int"))) / 2
     half = F.least(F.lit(k // 2), F.floor(F.col("_n") / 2))
@@ -211,7 +211,7 @@ def track_layer(section: DataFrame, line: str = "line_id", window=(250.0, 330.0)
 
 def thin_columns(df: DataFrame, by: list[str], order: str, target: int = 400, rows: int = ROWS_PER_TILE) -> DataFrame:
     """Every step-th row along `order`, about `target` per group, starting with the first."""
-    d = scan(df, by, order, [Scan("_i", F.lit(1).cast("long"), "sum")], rows)
+    d = ordered(df, by, order, [Scan("_i", F.lit(1).cast("long"), "sum")], rows=rows)
     n = d.groupBy(*by).agg(F.max("_i").alias("_n"))
     step = F.greatest(F.lit(1), F.round(F.col("_n") / target)).cast("long")
     return d.join(n, by).where((F.col("_i") - 1) % step == 0).select(*df.columns)

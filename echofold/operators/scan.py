@@ -1,9 +1,10 @@
 """Ordered computations over groups of any size.
 
-A plain window sends a whole group to one task. Here a group is cut into tiles
-along its order, each tile is scanned on its own, and one summary row per tile
-carries the running state across tiles. The result is the same as the plain
-window; the largest piece of work is a tile, not a group.
+A plain window sends a whole group to one task. Where the largest group is
+within what a task should hold, that is the cheapest plan and `ordered` takes
+it. Beyond, a group is cut into tiles along its order, each tile is scanned on
+its own, and one summary row per tile carries the running state across tiles:
+the same result, with a tile as the largest piece of work.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echofold.params import ROWS_PER_TILE
+from echofold.session import cut_lineage
 
 TILE = "_tile"
+HALO = "_halo"
 _EVER = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
@@ -71,15 +74,27 @@ def tile(df: DataFrame, by, order: str, rows: int = ROWS_PER_TILE, refine: bool
             .drop("_n", "_lo", "_hi"))
 
 
+def tiled(df: DataFrame, by, order: str, rows: int = ROWS_PER_TILE, refine: bool = False) -> DataFrame:
+    """The frame with tiles, checkpointed: several branches read it from here on."""
+    return df if TILE in df.columns else cut_lineage(tile(df, by, order, rows, refine))
+
+
+def fits(df: DataFrame, by, rows: int = ROWS_PER_TILE) -> bool:
+    """Whether the largest group is small enough for one task (one counting job)."""
+    top = df.groupBy(*_names(by)).count().agg(F.max("count")).first()[0]
+    return (top or 0) <= rows
+
+
 def scan(df: DataFrame, by, order, specs: list[Scan], rows: int = ROWS_PER_TILE,
          refine: bool = False) -> DataFrame:
     """Add the running quantities `specs`, ordered by `order` within `by`.
 
     `order` is one column or a list; the first one places the tiles and must
     not be NULL, the others break ties (rows sharing the first stay in a tile).
+    A frame that is tiled already keeps its tiles.
     """
     by, order = _names(by), _names(order)
-    t = tile(df, by, order[0], rows, refine)
+    t = tiled(df, by, order[0], rows, refine)
     key = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
     w = Window.partitionBy(*by, TILE).orderBy(*order)
     up, down = w.rowsBetween(_EVER[0], 0), w.rowsBetween(0, _EVER[1])
@@ -146,25 +161,32 @@ def moving(df: DataFrame, by, axis: str, aggs: dict[str, Column | tuple], before
     width = max(width, before + after + 1)
     here = F.floor(F.col(axis) / width)
     first, last = F.floor((F.col(axis) - after) / width), F.floor((F.col(axis) + before) / width)
-    spread = df.withColumn(TILE, F.explode(F.sequence(first, last))).withColumn("_core", F.col(TILE) == here)
-    w = Window.partitionBy(*by, TILE).orderBy(F.col(axis).cast("long")).rangeBetween(-before, after)
-    out = spread.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
-    return out.where("_core").drop(TILE, "_core")
+    wide = df.withColumn(HALO, F.explode(F.sequence(first, last))).withColumn("_core", F.col(HALO) == here)
+    w = Window.partitionBy(*by, HALO).orderBy(F.col(axis).cast("long")).rangeBetween(-before, after)
+    out = wide.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
+    return out.where("_core").drop(HALO, "_core")
 
 
 def rows_around(df: DataFrame, by, order, aggs: dict[str, Column], before: int, after: int,
                 rows: int = ROWS_PER_TILE) -> DataFrame:
     """Like `moving`, by row position along `order` instead of an integer axis."""
+    by, order = _names(by), _names(order)
+    if fits(df, by, rows):
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-before, after)
+        return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
     numbered = scan(df, by, order, [Scan("_pos", F.lit(1).cast("long"), "sum")], rows)
     return moving(numbered, by, "_pos", aggs, before, after, width=max(rows // 4, 1024)).drop("_pos")
 
 
-def ordered(df: DataFrame, by, order, specs: list[Scan], bounded: bool, rows: int = ROWS_PER_TILE) -> DataFrame:
-    """`scan`, or the plain window where the group size is bounded by construction.
+def ordered(df: DataFrame, by, order, specs: list[Scan], bounded: bool | None = None,
+            rows: int = ROWS_PER_TILE) -> DataFrame:
+    """`scan`, or the plain window where every group fits one task.
 
-    A trace has as many samples as the fast-time axis, a line as many passes as
-    it was driven; such groups fit one task and need no tiles.
+    bounded=True says so by construction: a trace has as many samples as the
+    fast-time axis, a line as many passes as it was driven. None looks.
     """
+    if bounded is None:
+        bounded = TILE not in df.columns and fits(df, by, rows)
     if not bounded:
         return scan(df, by, order, specs, rows)
     by, order = _names(by), _names(order)

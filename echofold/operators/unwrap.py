@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofold.functions.columns import wrap
-from echofold.operators.scan import Scan, ordered, spread_over
+from echofold.operators.scan import TILE, Scan, fits, ordered, spread_over, tiled
 from echofold.params import ROWS_PER_TILE
 
 
@@ -18,7 +18,14 @@ def reference_bin(surface: Column, t0: Column, dt: Column, nt: Column, offset: f
     return F.when((pos >= 0) & (pos <= nt - 1), F.round(pos).cast("int"))
 
 
-def steps(df: DataFrame, by: list[str], coh_thr: float, bounded: bool = True, rows: int = ROWS_PER_TILE,
+def settle(df: DataFrame, by, order: str, bounded: bool | None, rows: int) -> tuple[DataFrame, bool]:
+    """Decide once whether traces fit a task; if not, tile the frame for all scans to come."""
+    if bounded is None:
+        bounded = TILE not in df.columns and fits(df, by, rows)
+    return (df, True) if bounded else (tiled(df, by, order, rows), False)
+
+
+def steps(df: DataFrame, by: list[str], coh_thr: float, bounded: bool | None = True, rows: int = ROWS_PER_TILE,
           order: str = "bin") -> DataFrame:
     """Trusted wrapped steps along a trace: `coherent`, `step_ok`, `dphi` (0 where not trusted)."""
     coherent = F.coalesce(F.col("coh") >= coh_thr, F.lit(False))
@@ -30,13 +37,14 @@ def steps(df: DataFrame, by: list[str], coh_thr: float, bounded: bool = True, ro
                         ).drop("_pc", "_pp")
 
 
-def last_valid_bin(stepped: DataFrame, by: list[str], max_gap: int, bounded: bool = True,
+def last_valid_bin(stepped: DataFrame, by: list[str], max_gap: int, bounded: bool | None = True,
                    rows: int = ROWS_PER_TILE, order: str = "bin") -> DataFrame:
     """Attach the last bin before the first run of more than `max_gap` untrusted steps.
 
     Only steps at or after the reference count. NULL means no such run. The
     order column counts samples without holes.
     """
+    stepped, bounded = settle(stepped, by, order, bounded, rows)
     n = F.col(order)
     anchor = F.when(F.col("step_ok") | (n <= F.col("ref_bin")), n)
     d = ordered(stepped, by, order, [Scan("_good", anchor, "last")], bounded, rows)
@@ -46,7 +54,7 @@ def last_valid_bin(stepped: DataFrame, by: list[str], max_gap: int, bounded: boo
 
 
 def unwrap_from_reference(df: DataFrame, fc: Column | float, by: list[str], coh_thr: float = 0.3, max_gap: int = 20,
-                          sign: int = -1, bounded: bool = True, rows: int = ROWS_PER_TILE,
+                          sign: int = -1, bounded: bool | None = True, rows: int = ROWS_PER_TILE,
                           order: str = "bin") -> DataFrame:
     """Differential delay against the reference bin of each trace.
 
@@ -56,6 +64,7 @@ def unwrap_from_reference(df: DataFrame, fc: Column | float, by: list[str], coh_
     valid; all NULL where the trace has no reference.
     """
     fc = F.lit(float(fc)) if not isinstance(fc, Column) else fc
+    df, bounded = settle(df, by, order, bounded, rows)
     d = steps(df, by, coh_thr, bounded, rows, order)
     d = ordered(d, by, order, [Scan("_C", F.col("dphi"), "sum")], bounded, rows)
     n, r = F.col(order), F.col("ref_bin")
@@ -66,7 +75,7 @@ def unwrap_from_reference(df: DataFrame, fc: Column | float, by: list[str], coh_
     tau = F.when(ok, F.lit(float(sign)) * (F.col("_C") - F.col("_Cr")) / (F.lit(2 * math.pi) * fc))
     d = split_above_reference(d.withColumn("_tau", tau), "_tau", order)
     return d.withColumn("valid", F.col("dtau").isNotNull()).drop(
-        "_C", "_Cr", "_tau", "coherent", "step_ok", "dphi")
+        "_C", "_Cr", "_tau", "coherent", "step_ok", "dphi", TILE)
 
 
 def split_above_reference(df: DataFrame, tau: str, order: str = "bin") -> DataFrame:

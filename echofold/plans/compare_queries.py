@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from echofold.operators import blocks, coherent, flexure, matching, network, profiles
-from echofold.operators.scan import Scan, scan
+from echofold.operators.scan import Scan, ordered
 from echofold.plans import inputs as I
 from echofold.plans.registry import query
 from echofold.plans.signal_queries import MONTHLY, monthly
@@ -156,7 +156,7 @@ def _(t):
     return matching.polyline_crossing(tr, b.select(F.col("nat").alias("part"), F.col("sid").alias("seq"), "x", "y"))
 
 
-@query("layer_to_blocks", ints="line_id block n_kept n_in", digits={"thickness": 4, "match_m": 5}, sql="""
+@query("layer_to_blocks", ints="line_id block n_kept n_in", digits={"thickness": 6, "match_m": 5}, sql="""
 WITH p AS (SELECT l_suppkey AS line_id, l_quantity * 40 + l_discount * 301 AS px, l_tax * 503 AS py, l_extendedprice / 100 AS h FROM lineitem),
 b AS (SELECT l_suppkey AS line_id, CAST(l_quantity AS INTEGER) // 5 AS block, avg(l_quantity) * 40 AS x, avg(l_tax) * 503 AS y FROM lineitem GROUP BY 1, 2),
 md AS (SELECT line_id, median(h) AS med FROM p GROUP BY 1), sd AS (SELECT line_id, any_value(med) AS med, 1.4826 * median(abs(h - med)) AS sd FROM p JOIN md USING (line_id) GROUP BY 1),
@@ -284,7 +284,7 @@ def _(t):
 
 @query("order_seaward", ints="c_custkey rank", sql="SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS rank FROM customer")
 def _(t):
-    return scan(t.customer, "c_nationkey", ["c_acctbal", "c_custkey"], [Scan("rank", F.lit(1).cast("long"), "sum")])
+    return ordered(t.customer, "c_nationkey", ["c_acctbal", "c_custkey"], [Scan("rank", F.lit(1).cast("long"), "sum")])
 
 
 @query("union_lines", keys="src", ints="line_id n", digits={"v": 7}, sql="""

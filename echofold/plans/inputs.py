@@ -18,7 +18,7 @@ from echofold.plans.registry import Tables
 TRACKS = """tracks AS (
   SELECT l_suppkey AS line_id, CAST(year(l_shipdate) - 1994 AS INTEGER) AS pass_idx, CAST(l_quantity AS INTEGER) AS col,
          CAST(l_quantity AS INTEGER) * 2.5 AS along_m, avg(l_discount) * 100 AS ref_y, avg(l_tax) * 10 AS ref_z,
-         avg(epoch_us(l_shipdate)) / 1e6 AS gps_time_s, avg(l_extendedprice) / 1e4 AS v
+         avg(epoch_us(l_shipdate)) / 1e6 AS gps_time_s, avg(l_extendedprice) / 9973 AS v
   FROM lineitem GROUP BY 1, 2, 3, 4)"""
 
 
@@ -31,13 +31,13 @@ def tracks(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(
         F.col("l_suppkey").alias("line_id"), year_pass().alias("pass_idx"), q.alias("col")
     ).agg((F.avg("l_discount") * 100).alias("ref_y"), (F.avg("l_tax") * 10).alias("ref_z"),
-          (F.avg(epoch_us("l_shipdate")) / 1e6).alias("gps_time_s"), (F.avg("l_extendedprice") / 1e4).alias("v")
+          (F.avg(epoch_us("l_shipdate")) / 1e6).alias("gps_time_s"), (F.avg("l_extendedprice") / 9973).alias("v")
           ).withColumn("along_m", F.col("col") * 2.5)
 
 
 SAMPLES = """samples AS (
   SELECT vec_id // 400 AS line_id, CAST(vec_id % 4 AS INTEGER) AS pass_idx, CAST((vec_id % 400) // 4 AS INTEGER) AS col,
-         CAST(b AS INTEGER) AS bin, CAST(embedding[b + 1] AS DOUBLE) AS re, CAST(embedding[64 - b] AS DOUBLE) AS im
+         CAST(b AS INTEGER) AS bin, CAST(embedding[b + 1] AS DOUBLE) AS re, CAST(embedding[(b + 21) % 64 + 1] AS DOUBLE) AS im
   FROM embeddings, range(64) AS r(b))"""
 
 PAIR_SAMPLES = SAMPLES + """, psamples AS (
@@ -51,7 +51,7 @@ def slc(t: Tables) -> DataFrame:
     v = F.col("vec_id")
     e = F.col("embedding").cast("array<double>")
     return t.embeddings.select(F.floor(v / 400).alias("line_id"), (v % 4).cast("int").alias("pass_idx"),
-                               F.floor((v % 400) / 4).cast("int").alias("col"), e.alias("re"), F.reverse(e).alias("im"))
+                               F.floor((v % 400) / 4).cast("int").alias("col"), e.alias("re"), F.concat(F.slice(e, 22, 43), F.slice(e, 1, 21)).alias("im"))
 
 
 def samples(t: Tables) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from echofold.operators import align, blocks, firn, interferogram, pairs, profiles, quality, unwrap
-from echofold.operators.scan import Scan, scan
+from echofold.operators.scan import Scan, ordered
 from echofold.plans import inputs as I
 from echofold.plans.registry import query
 
@@ -61,7 +61,7 @@ un AS (SELECT cs.user_id, bin, ref_bin, last_bin, CASE WHEN coh >= 0.3 AND ref_b
 
 
 def phases(t):
-    d = scan(I.events(t), "user_id", ["t", "event_id"], [Scan("_n", F.lit(1).cast("long"), "sum")])
+    d = ordered(I.events(t), "user_id", ["t", "event_id"], [Scan("_n", F.lit(1).cast("long"), "sum")])
     u = F.col("user_id")
     return d.select("user_id", (F.col("_n") - 1).alias("bin"), (F.col("value") / 10).alias("phase"),
                     F.when(F.col("event_type") == "error", 0.1).otherwise(0.9).alias("coh"), F.when(u % 9 != 4, u % 13).alias("ref_bin"))
@@ -70,14 +70,14 @@ def phases(t):
 @query("unwrap_phase", keys="valid", ints="user_id bin", digits={"dtau": 7, "dtau_above_ref": 7}, sql=f"""
 WITH {I.EVENTS}, {PHASES} SELECT user_id, bin, coalesce(bin >= ref_bin, false) AND tau IS NOT NULL AS valid, CASE WHEN bin >= ref_bin THEN tau END AS dtau, CASE WHEN bin < ref_bin THEN tau END AS dtau_above_ref FROM un""")
 def _(t):
-    d = unwrap.unwrap_from_reference(phases(t), 1.0, ["user_id"], 0.3, 3, bounded=False)
+    d = unwrap.unwrap_from_reference(phases(t), 1.0, ["user_id"], 0.3, 3, bounded=None)
     return d
 
 
 @query("long_gap_truncation", ints="user_id last_bin", sql=f"WITH {I.EVENTS}, {PHASES} SELECT user_id, last_bin FROM lv")
 def _(t):
-    s = unwrap.steps(phases(t), ["user_id"], 0.3, bounded=False)
-    return unwrap.last_valid_bin(s, ["user_id"], 3, bounded=False).groupBy("user_id").agg(F.max("last_bin").alias("last_bin"))
+    s = unwrap.steps(phases(t), ["user_id"], 0.3, bounded=None)
+    return unwrap.last_valid_bin(s, ["user_id"], 3, bounded=None).groupBy("user_id").agg(F.max("last_bin").alias("last_bin"))
 
 
 @query("reference_bin", ints="event_id ref_bin", sql="""
@@ -149,12 +149,12 @@ def _(t):
     return profiles.track_layer(s, window=(50.0, 80.0), step=4.0, zmin=30.0, smooth=9)
 
 
-MONTHLY = "mo AS (SELECT l_suppkey AS row_key, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS INTEGER) AS k, avg(l_extendedprice) / 1e4 AS v, avg(l_tax) * 10 AS s FROM lineitem GROUP BY 1, 2)"
+MONTHLY = "mo AS (SELECT l_suppkey AS row_key, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS INTEGER) AS k, avg(l_extendedprice) / 9973 AS v, avg(l_tax) * 10 AS s FROM lineitem GROUP BY 1, 2)"
 
 
 def monthly(t):
     k = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("int")
-    return t.lineitem.groupBy(F.col("l_suppkey").alias("row_key"), k.alias("k")).agg((F.avg("l_extendedprice") / 1e4).alias("v"), (F.avg("l_tax") * 10).alias("s"))
+    return t.lineitem.groupBy(F.col("l_suppkey").alias("row_key"), k.alias("k")).agg((F.avg("l_extendedprice") / 9973).alias("v"), (F.avg("l_tax") * 10).alias("s"))
 
 
 @query("moving_median", ints="row_key k", digits={"med": 9}, sql=f"""
