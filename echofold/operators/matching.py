@@ -42,9 +42,9 @@ def nearest_match_xy(a: DataFrame, b: DataFrame, tol: float, id_a: str, id_b: st
     """Nearest row of `b` within `tol` in the plane, per row of `a`.
 
     Cells of size tol; `a` looks into its own and the eight around it, and the
-    minimum is combined map-side. Positions of `b` that coincide are merged
-    first (lowest id), so the candidates of a cell are as many as its distinct
-    positions. Both sides keep only id and position until the match is made.
+    minimum is combined map-side. `by` is the line: its blocks do not overlap,
+    so a cell holds a handful of positions, and coinciding ones are merged
+    (lowest id). Both sides keep only id and position until the match is made.
     """
     by = list(by)
     cell = lambda c: F.floor(F.col(c) / tol)

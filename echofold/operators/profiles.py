@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echofold.functions.columns import db, safe_div
+from echofold.operators.quantiles import medians
 from echofold.operators.scan import Scan, moving, ordered, rows_around, spread_over
 from echofold.params import ROWS_PER_TILE
 
@@ -241,10 +242,11 @@ def block_size_sweep(results: DataFrame, by: list[str], size: str, ref_size: int
     same = F.signum(a) == F.signum("_ra")
     den = F.greatest(F.sqrt(F.col(sd) * F.col(sd) + F.col("_rs") * F.col("_rs")), F.lit(2.220446049250313e-16))
     clear = (F.abs(a) > F.col(sd)) & (F.abs("_ra") > F.col("_rs"))
-    return j.groupBy(*by, size).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(same.cast("double")).alias("sign_agree"),
-        F.median(F.abs(F.col(a) - F.col("_ra")) / den).alias("shift_sigma"),
-        F.avg((~same & clear).cast("double")).alias("sig_flip"))
+    j = j.withColumn("_z", F.abs(F.col(a) - F.col("_ra")) / den)
+    shift = medians(j, [*by, size], "_z", "shift_sigma").drop("n")
+    g = j.groupBy(*by, size).agg(F.count(F.lit(1)).alias("n"), F.avg(same.cast("double")).alias("sign_agree"),
+                                 F.avg((~same & clear).cast("double")).alias("sig_flip"))
+    return g.join(shift, [*by, size], "left")
 
 
 def residual_budget(epochs: DataFrame, resid: DataFrame, rho: DataFrame, line: list[str], block: str, ref_depth: float = 100.0,

@@ -37,7 +37,7 @@ def quantiles(df: DataFrame, by: list[str], v: str, probs: dict[str, float], met
         return ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile(v, F.lit(p)).alias(q) for q, p in probs.items()])
     counts = ok.groupBy(*by, v).agg(F.count(F.lit(1)).alias("_c"))
     spec = [Scan("_upto", F.col("_c"), "sum")]
-    upto = ordered(counts, by, v, spec, True) if bounded else scan(counts, by, v, spec, rows, refine=True)
+    upto = ordered(counts, by, v, spec, True) if bounded else scan(counts, by, v, spec, rows)
     total = upto.groupBy(*by).agg(F.max("_upto").alias("_n"))
     ranked = upto.join(total, by)
     first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1

@@ -51,12 +51,13 @@ def _cell(x: Column, lo: Column, hi: Column, pieces: Column) -> Column:
     return F.coalesce(F.least(pos, pieces.cast("long") - 1), F.lit(0)).cast("long")
 
 
-def tile(df: DataFrame, by, order: str, rows: int = ROWS_PER_TILE, refine: bool = False) -> DataFrame:
+def tile(df: DataFrame, by, order: str, rows: int = ROWS_PER_TILE, refine: bool = True) -> DataFrame:
     """Add a tile number, increasing along `order` within each group.
 
     The number of tiles follows the size of the group, so small groups stay
-    whole. `refine` cuts overfull tiles once more between their own ends, for
-    values that are bunched up.
+    whole. Tiles are equal steps of `order`; `refine` cuts overfull ones once
+    more between their own ends, for values that are bunched up. The numbers
+    depend on counts and extremes only, so a recomputed task gets the same ones.
     """
     by = _names(by)
     x = F.col(order).cast("double")
@@ -74,7 +75,7 @@ def tile(df: DataFrame, by, order: str, rows: int = ROWS_PER_TILE, refine: bool
             .drop("_n", "_lo", "_hi"))
 
 
-def tiled(df: DataFrame, by, order: str, rows: int = ROWS_PER_TILE, refine: bool = False) -> DataFrame:
+def tiled(df: DataFrame, by, order: str, rows: int = ROWS_PER_TILE, refine: bool = True) -> DataFrame:
     """The frame with tiles, checkpointed: several branches read it from here on."""
     return df if TILE in df.columns else cut_lineage(tile(df, by, order, rows, refine))
 
@@ -86,7 +87,7 @@ def fits(df: DataFrame, by, rows: int = ROWS_PER_TILE) -> bool:
 
 
 def scan(df: DataFrame, by, order, specs: list[Scan], rows: int = ROWS_PER_TILE,
-         refine: bool = False) -> DataFrame:
+         refine: bool = True) -> DataFrame:
     """Add the running quantities `specs`, ordered by `order` within `by`.
 
     `order` is one column or a list; the first one places the tiles and must

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from echofold.operators import blocks, coherent, flexure, matching, network, profiles
 from echofold.operators.scan import Scan, ordered
+from echofold.plans import chains
 from echofold.plans import inputs as I
 from echofold.plans.registry import query
 from echofold.plans.signal_queries import MONTHLY, monthly
@@ -120,12 +121,21 @@ def plane(t):
     return a, b
 
 
-@query("nearest_match_2d", ints="id sid", digits={"gap": 4}, sql=f"""
-WITH {PLANE} SELECT ca.id, sid, sqrt(pow(ca.x - su.x, 2) + pow(ca.y - su.y, 2)) AS gap FROM ca JOIN su ON abs(ca.x - su.x) <= 400 AND abs(ca.y - su.y) <= 400 WHERE sqrt(pow(ca.x - su.x, 2) + pow(ca.y - su.y, 2)) <= 400
-QUALIFY row_number() OVER (PARTITION BY ca.id ORDER BY round(gap, 6), sid) = 1""")
+# Two builds of a line: blocks of five quantities, placed by their mean tax, one build per return flag.
+BUILDS = """bl AS (SELECT l_suppkey AS line_id, l_returnflag AS f, CAST(l_quantity AS INTEGER) // 5 AS block, avg(l_quantity) * 97.3 AS x, avg(l_tax) * 5003 AS y FROM lineitem GROUP BY 1, 2, 3)"""
+
+
+def builds(t):
+    return t.lineitem.groupBy(F.col("l_suppkey").alias("line_id"), F.col("l_returnflag").alias("f"), F.floor(F.col("l_quantity") / 5).cast("int").alias("block")).agg(
+        (F.avg("l_quantity") * 97.3).alias("x"), (F.avg("l_tax") * 5003).alias("y"))
+
+
+@query("nearest_match_2d", ints="line_id block other", digits={"gap": 5}, sql=f"""
+WITH {BUILDS} SELECT a.line_id, a.block, b.block AS other, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS gap FROM bl a JOIN bl b ON a.line_id = b.line_id AND a.f = 'A' AND b.f = 'R' WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 100
+QUALIFY row_number() OVER (PARTITION BY a.line_id, a.block ORDER BY gap, b.block) = 1""")
 def _(t):
-    a, b = plane(t)
-    return matching.nearest_match_xy(a, b, 400.0, "id", "sid")
+    d = builds(t)
+    return matching.nearest_match_xy(d.where("f = 'A'"), d.where("f = 'R'").withColumnRenamed("block", "other"), 100.0, "block", "other", by=["line_id"])
 
 
 SITES = "pt AS (SELECT n_name AS site, n_nationkey * 397.0 AS px, (n_nationkey * 211 % 1000) * 9.7 AS py FROM nation)"
@@ -145,15 +155,18 @@ def _(t):
     return matching.project_on_track(pts, tr)
 
 
+# A boundary of one vertex per nation, one part per region; it does not grow with the lines.
 @query("polyline_crossing", ints="line_id", digits={"along_m": 2, "dist": 5}, sql=f"""
-WITH {PLANE}, sn AS (SELECT nat, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM su WINDOW w AS (PARTITION BY nat ORDER BY sid)), ln AS (SELECT *, sqrt(pow(nx - x, 2) + pow(ny - y, 2)) AS l FROM sn WHERE nx IS NOT NULL),
+WITH {BUILDS}, tk AS (SELECT line_id, block AS col, avg(x) AS x, avg(y) * 10 AS y FROM bl GROUP BY 1, 2), su AS (SELECT n_regionkey AS part, n_nationkey AS sid, n_nationkey * 201.0 AS x, (n_nationkey * 211 % 100) * 35.0 AS y FROM nation),
+sn AS (SELECT part, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM su WINDOW w AS (PARTITION BY part ORDER BY sid)), ln AS (SELECT *, sqrt(pow(nx - x, 2) + pow(ny - y, 2)) AS l FROM sn WHERE nx IS NOT NULL),
 mm AS (SELECT *, greatest(2, CAST(ceil(l / 20) AS INTEGER)) AS m FROM ln WHERE l > 0 AND l <= 5000), dn AS (SELECT DISTINCT x + CAST(k AS DOUBLE) / (m - 1) * (nx - x) AS gx, y + CAST(k AS DOUBLE) / (m - 1) * (ny - y) AS gy FROM mm, range(251) AS r(k) WHERE k < m),
-ds AS (SELECT ca.nat AS line_id, ca.id, sqrt(pow(ca.x - gx, 2) + pow(ca.y - gy, 2)) AS dist FROM ca JOIN dn ON gx BETWEEN ca.x - 150 AND ca.x + 150 AND gy BETWEEN ca.y - 150 AND ca.y + 150)
-SELECT line_id, id * 10.0 AS along_m, dist FROM ds WHERE dist < 150 QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY dist, id) = 1""")
+ds AS (SELECT line_id, col, sqrt(pow(tk.x - gx, 2) + pow(tk.y - gy, 2)) AS dist FROM tk JOIN dn ON gx BETWEEN tk.x - 150 AND tk.x + 150 AND gy BETWEEN tk.y - 150 AND tk.y + 150)
+SELECT line_id, col * 10.0 AS along_m, dist FROM ds WHERE dist < 150 QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY dist, col) = 1""")
 def _(t):
-    a, b = plane(t)
-    tr = a.select(F.col("nat").alias("line_id"), F.col("id").alias("col"), "x", "y", (F.col("id") * 10.0).alias("along_m"))
-    return matching.polyline_crossing(tr, b.select(F.col("nat").alias("part"), F.col("sid").alias("seq"), "x", "y"))
+    n = F.col("n_nationkey")
+    tr = builds(t).groupBy("line_id", F.col("block").alias("col")).agg(F.avg("x").alias("x"), (F.avg("y") * 10).alias("y")).withColumn("along_m", F.col("col") * 10.0)
+    edge = t.nation.select(F.col("n_regionkey").alias("part"), n.alias("seq"), (n * 201.0).alias("x"), ((n * 211 % 100) * 35.0).alias("y"))
+    return matching.polyline_crossing(tr, edge)
 
 
 @query("layer_to_blocks", ints="line_id block n_kept n_in", digits={"thickness": 6, "match_m": 5}, sql="""
@@ -358,23 +371,20 @@ def _(t):
     return flexure.modulus_jackknife(fits, ["grp"])
 
 
-def _sweep(t, e_grid, x0_grid):
-    obs = flex_obs(t)
-    thick = t.lineitem.groupBy(F.col("l_suppkey").alias("line_id"), (F.col("l_linenumber") * 1500.0).alias("x")).agg((260 + F.avg("l_discount") * 400).alias("h"))
-    cand = flexure.candidate_grid(obs.select("line_id").distinct(), e_grid, x0_grid)
-    return flexure.flexure_candidate_sweep(cand, obs, thick)
+def flex_thickness(t):
+    return t.lineitem.groupBy(F.col("l_suppkey").alias("line_id"), (F.col("l_linenumber") * 1500.0).alias("x")).agg((260 + F.avg("l_discount") * 400).alias("h"))
 
 
 @query("flexure_candidate_sweep", keys="kind", ints="line_id ie ix", digits={"x": 1, "pred": 8})
 def _(t):
-    return _sweep(t, flexure.log_grid(0.5e9, 5e9, 3), [-500.0, 500.0])
+    obs = flex_obs(t)
+    cand = flexure.candidate_grid(obs.select("line_id").distinct(), flexure.log_grid(0.5e9, 5e9, 3), [-500.0, 500.0])
+    return flexure.flexure_candidate_sweep(cand, obs, flex_thickness(t))
 
 
-@query("modulus_fit", keys="interior", ints="line_id n", digits={"E": -5, "x0": 1, "amp": 5})
+@query("modulus_fit", keys="interior", ints="line_id n", digits={"E": -5, "E_fine": -5, "x0_fine": 1, "amp": 5})
 def _(t):
-    p = _sweep(t, flexure.log_grid(0.2e9, 20e9, 7), [-1000.0, 0.0, 1000.0])
-    prof = flexure.profile_misfit(flexure.candidate_misfit(p, flex_obs(t), ["line_id"]), ["line_id"])
-    return flexure.modulus_interval(prof, ["line_id"])
+    return chains.modulus(flex_obs(t), flex_thickness(t), flexure.log_grid(0.2e9, 20e9, 7), [-1000.0, 0.0, 1000.0])[0]
 
 
 @query("modulus_reweighted", keys="kind", ints="line_id", digits={"factor": 5})

@@ -8,6 +8,7 @@ from echofold.functions import columns as C
 from echofold.functions.stats import student_t_p
 from echofold.operators import coherent, firn, interp, network, pairs, profiles, regress
 from echofold.params import FirnParams
+from echofold.plans import chains
 from echofold.plans import inputs as I
 from echofold.plans.pair_queries import FIRN_CTE, STATION_PAIRS, _interp, station_pairs
 from echofold.plans.registry import query
@@ -369,19 +370,7 @@ def _(t):
     p = p.select(F.col("nation").alias("row_key"), "ref_idx", "sec_idx", "z", (F.col("sec_v") - F.col("ref_v")).alias("dh"),
                  F.sqrt(F.col("ref_s") * F.col("ref_s") + F.col("sec_s") * F.col("sec_s")).alias("sd"))
     drv = t.lineitem.groupBy(I.year_pass().alias("epoch")).agg((F.avg("l_discount") * 1000).alias("h"))
-    return depth_response(p, drv, ["row_key"], orders=(1, 2, 3))
-
-
-def depth_response(profile_pairs, driver, row, orders=(1, 2, 3, 4), norm=None, min_pairs: int = 6):
-    """Response of each Legendre coefficient to the driver: fit per pair, network, joint fit; one row key (row, order, k)."""
-    out = None
-    for o in orders:
-        fit = regress.legendre_fit(profile_pairs, "z", "dh", "sd", [*row, "ref_idx", "sec_idx"], order=o, norm=norm, p_value=False)
-        c = fit.select(*row, "ref_idx", "sec_idx", F.lit(o).alias("ord"), F.posexplode("coef").alias("k", "c"))
-        out = c if out is None else out.unionByName(c)
-    ep, _ = network.invert_network(out, [*row, "ord", "k"], "ref_idx", "sec_idx", "c", min_pairs=min_pairs)
-    s = ep.join(driver, "epoch").withColumn("t", F.col("epoch").cast("double"))
-    return regress.fit_trend_and_driver(s, "x", "t", "h", [*row, "ord", "k"])
+    return chains.depth_response(p, drv, ["row_key"], orders=(1, 2, 3))
 
 
 PLATE = """cfs AS (SELECT l_suppkey AS row_key, CAST(l_linenumber - 1 AS INTEGER) AS k, avg(l_extendedprice) / 1e4 AS adm, stddev_samp(l_extendedprice) / 1e4 AS sd FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2),
@@ -574,7 +563,6 @@ f AS (SELECT *, (ty * hh - hy * th) / (tt * hh - th * th) AS b, (hy * tt - ty *
 SELECT row_key, n, n - 3 AS dof, b AS trend, c AS driver, sqrt((yy - b * ty - c * hy) / (n - 3) * tt / (tt * hh - th * th)) AS driver_std, th / sqrt(tt * hh) AS r_th FROM f""")
 def _(t):
     """Pair differences to epoch values (network) to trend and driver response, per row."""
-    ep, _ = network.invert_network(I.pairdiff(t), ["row_key"], "ref_idx", "sec_idx", "d", n_sigma=1e9)
     drv = t.lineitem.groupBy(I.year_pass().alias("epoch")).agg((F.avg("l_discount") * 1000).alias("h"))
-    s = ep.join(drv, "epoch").withColumn("t", F.col("epoch").cast("double"))
-    return regress.fit_trend_and_driver(s, "x", "t", "h", ["row_key"], p_value=False)
+    drv = drv.withColumn("t", F.col("epoch").cast("double"))
+    return chains.network_response(I.pairdiff(t), drv, ["row_key"], n_sigma=1e9, p_value=False)[0]

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from echofold.operators import align, blocks, firn, interferogram, pairs, profiles, quality, unwrap
+from echofold.operators import align, blocks, coherent, firn, interferogram, pairs, profiles, quality, unwrap
 from echofold.operators.scan import Scan, ordered
+from echofold.params import FirnParams, PairOptions
+from echofold.plans import chains
 from echofold.plans import inputs as I
 from echofold.plans.registry import query
 
@@ -96,7 +98,7 @@ v AS (SELECT m.*, sd, greatest(sw * sw / sw2 / 3, 1) AS ne, coverage >= 0.5 AS k
 SELECT line_id, block, coverage, CASE WHEN keep THEN mu END AS mean, CASE WHEN keep THEN sd END AS scatter, CASE WHEN keep THEN ne END AS n_eff, CASE WHEN keep THEN sd / sqrt(ne) END AS std, CASE WHEN keep THEN mc END AS coh FROM v""")
 def _(t):
     d = t.lineitem.select(F.col("l_linenumber").alias("line_id"), F.col("l_partkey").alias("col"), F.when(F.col("l_quantity") < 46, F.col("l_tax") * 10).alias("dtau"), (F.col("l_discount") * 10).alias("coh"))
-    return blocks.block_average(d, ["line_id"], F.floor(F.col("col") / 50), F.lit(220), coh_thr=0.35, min_coverage=0.5, cols_per_look=3)
+    return blocks.block_average(d, ["line_id"], F.floor(F.col("col") / 50), F.lit(220), coh_thr=0.35, min_coverage=0.5, cols_per_look=3, bounded=None)
 
 
 @query("block_geolocation", ints="line_id pass_idx block", digits={"gps_time_s": 1, "ref_y": 6, "v": 7}, sql=f"""
@@ -324,3 +326,38 @@ def _(t):
     d = align.apply_delay(p.join(_delays(t), ["line_id", "ref_idx", "sec_idx", "col"]), 7.5e8, 3.0e-9)
     power = F.aggregate(F.zip_with("re", "im", lambda a, b: a * a + b * b), F.lit(0.0), lambda acc, v: acc + v)
     return d.select("line_id", "ref_idx", "sec_idx", "col", power.alias("power"), F.col("re")[0].alias("first_re"))
+
+
+# --- the chains over traces -------------------------------------------------
+
+OPT = PairOptions(window=WIN, coherence_threshold=0.2, max_gap_bins=6, block_size=WIDTH, min_coverage=0.05, cols_per_look=4, bins_per_look=3,
+                  fit_top=0.0, min_samples=6, min_fit_range=5.0)
+
+
+def _axis(t):
+    ax = I.slc(t).select("line_id").distinct().select("line_id", F.lit(7.5e8).alias("fc"), F.lit(0.0).alias("t0"), F.lit(3.3e-9).alias("dt"), F.lit(64).alias("nt"))
+    return ax, I.ref_bins(t).select("line_id", "col", (F.col("ref_bin") * 3.3e-9).alias("surface_twtt_s"))
+
+
+def _chain(t):
+    axis, surface = _axis(t)
+    want = pairs.make_pairs(I.slc(t).select("line_id", "pass_idx").distinct(), "all")
+    dt = want.join(I.slc(t).select("line_id", "col").distinct(), "line_id").withColumn("dt_s", (F.col("sec_idx") - F.col("ref_idx")) * 86400.0 + F.col("col"))
+    return chains.pair_profiles(I.slc(t), axis, surface, want, dt, OPT, FirnParams(max_depth=60.0, nz=601))
+
+
+@query("pair_chain", ints="line_id ref_idx sec_idx block bin", digits={"depth": 4, "dh": 6, "n_eff": 4, "coverage": 5})
+def _(t):
+    return _chain(t)
+
+
+@query("pair_strain", keys="short", ints="line_id ref_idx sec_idx block n", digits={"s1": 5, "s2": 5, "strain_mean": 5})
+def _(t):
+    return chains.pair_strain(_chain(t), OPT)
+
+
+@query("coherent_stack", ints="line_id block bin n", digits={"a": 4, "f": 5, "a_sd": 5})
+def _(t):
+    drv = I.samples(t).groupBy("line_id", "pass_idx").agg((F.sum("re") / F.count(F.lit(1)) * 100).alias("tide_m"))
+    grid = coherent.grid_of(-2.0, 2.0, 81)
+    return chains.coherent_stack(looked(t), I.ref_bins(t), drv, [12, 20, 33, 50], F.lit(1.0), 10, grid, 0.2, min_pairs=3, within=["col_tile"])

@@ -22,8 +22,7 @@ def append_missing(df: DataFrame, path: str, keys: list[str] | None = None,
                    partition_by: list[str] | None = None) -> None:
     """Append the unfinished rows, partitioned by line so that reads prune.
 
-    Rows are spread by the partition columns and a salt-free hash of the key,
-    so one large line is written by many tasks.
+    Rows are spread by the whole key, so one large line is written by many tasks.
     """
     keys = keys or KEYS
     partition_by = partition_by or ["line_id"]
