@@ -45,39 +45,36 @@ def _names(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def _cell(x: Column, lo: Column, hi: Column, pieces: Column) -> Column:
-    """Equal-width piece of [lo, hi] holding x."""
-    pos = F.floor((x - lo) / F.nullif(hi - lo, F.lit(0.0)) * pieces)
-    return F.coalesce(F.least(pos, pieces.cast("long") - 1), F.lit(0)).cast("long")
-
-
-def tile(df: DataFrame, by, order: str, rows: int = ROWS_PER_TILE, refine: bool = True) -> DataFrame:
-    """Add a tile number, increasing along `order` within each group.
-
-    The number of tiles follows the size of the group, so small groups stay
-    whole. Tiles are equal steps of `order`; `refine` cuts overfull ones once
-    more between their own ends, for values that are bunched up. The numbers
-    depend on counts and extremes only, so a recomputed task gets the same ones.
+def tile(df: DataFrame, by, order: str, rows: int = ROWS_PER_TILE, fan: int = 64) -> DataFrame:
+    """Add a tile number, increasing along `order` within each group, tiles of at most `rows` rows.
+
+    Groups and tiles that are too large are cut at approximate quantiles of
+    their own `order` until none is left that can be cut (rows at one and the
+    same position stay together). The cuts are checkpointed before they are
+    used and so is the frame: a lost executor cannot mix two sets of cuts, and
+    the branches that read the tiles read them once written.
     """
     by = _names(by)
     x = F.col(order).cast("double")
-    size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    out = df.join(size, by).withColumn(
-        TILE, _cell(x, F.col("_lo"), F.col("_hi"), F.ceil(F.col("_n") / rows)))
-    out = out.drop("_n", "_lo", "_hi")
-    if not refine:
-        return out
-    inner = out.groupBy(*by, TILE).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    sub = _cell(x, F.col("_lo"), F.col("_hi"), F.ceil(F.col("_n") / rows))
-    return (out.join(inner, by + [TILE])
-            .withColumn(TILE, F.col(TILE) * F.lit(1 << 24) + sub)
-            .drop("_n", "_lo", "_hi"))
-
-
-def tiled(df: DataFrame, by, order: str, rows: int = ROWS_PER_TILE, refine: bool = True) -> DataFrame:
-    """The frame with tiles, checkpointed: several branches read it from here on."""
-    return df if TILE in df.columns else cut_lineage(tile(df, by, order, rows, refine))
+    t = df.withColumn(TILE, F.lit(0).cast("long"))
+    keys = [*by, TILE]
+    while True:
+        size = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+        over = cut_lineage(size.where((F.col("_n") > rows) & (F.col("_lo") < F.col("_hi"))).select(*keys, "_lo", "_n"))
+        pieces = over.agg(F.max(F.ceil(F.col("_n") / rows))).first()[0]
+        if pieces is None:
+            return t
+        k = int(min(max(pieces, 2), fan))
+        cuts = F.percentile_approx(x, [q / k for q in range(1, k)], F.lit(20 * fan))
+        q = t.join(over, keys).groupBy(*keys).agg(F.array_sort(F.array_distinct(F.concat(F.array(F.first("_lo")), cuts))).alias("_q"))
+        d = t.join(cut_lineage(q), keys, "left")
+        below = F.coalesce(F.size(F.filter("_q", lambda c: c < x)), F.lit(0))
+        t = cut_lineage(d.withColumn(TILE, F.col(TILE) * (2 * fan) + F.when(F.col("_q").isNotNull(), below).otherwise(0)).drop("_q"))
+
+
+def tiled(df: DataFrame, by, order: str, rows: int = ROWS_PER_TILE) -> DataFrame:
+    """The frame with tiles; a frame that has them keeps them."""
+    return df if TILE in df.columns else tile(df, by, order, rows)
 
 
 def fits(df: DataFrame, by, rows: int = ROWS_PER_TILE) -> bool:
@@ -86,8 +83,7 @@ def fits(df: DataFrame, by, rows: int = ROWS_PER_TILE) -> bool:
     return (top or 0) <= rows
 
 
-def scan(df: DataFrame, by, order, specs: list[Scan], rows: int = ROWS_PER_TILE,
-         refine: bool = True) -> DataFrame:
+def scan(df: DataFrame, by, order, specs: list[Scan], rows: int = ROWS_PER_TILE) -> DataFrame:
     """Add the running quantities `specs`, ordered by `order` within `by`.
 
     `order` is one column or a list; the first one places the tiles and must
@@ -95,7 +91,7 @@ def scan(df: DataFrame, by, order, specs: list[Scan], rows: int = ROWS_PER_TILE,
     A frame that is tiled already keeps its tiles.
     """
     by, order = _names(by), _names(order)
-    t = tiled(df, by, order[0], rows, refine)
+    t = tiled(df, by, order[0], rows)
     key = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
     w = Window.partitionBy(*by, TILE).orderBy(*order)
     up, down = w.rowsBetween(_EVER[0], 0), w.rowsBetween(0, _EVER[1])
