@@ -13,13 +13,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from echofold.params import ROWS_PER_TILE
 from echofold.session import cut_lineage
 
 TILE = "_tile"
 HALO = "_halo"
-_EVER = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,19 @@ def _names(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
+def _backward(by: list[str], order: list[str]) -> WindowSpec:
+    return Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order])
+
+
+def _running(w: WindowSpec) -> tuple[WindowSpec, WindowSpec]:
+    """Growing frames up to the row and up to the one before it.
+
+    Looking ahead uses a backward window: a frame that shrinks from the end
+    would be worked out anew for every row.
+    """
+    return w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+
+
 def tile(df: DataFrame, by, order: str, rows: int = ROWS_PER_TILE, fan: int = 64) -> DataFrame:
     """Add a tile number, increasing along `order` within each group, tiles of at most `rows` rows.
 
@@ -94,10 +107,10 @@ def scan(df: DataFrame, by, order, specs: list[Scan], rows: int = ROWS_PER_TILE)
     t = tiled(df, by, order[0], rows)
     key = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
     w = Window.partitionBy(*by, TILE).orderBy(*order)
-    up, down = w.rowsBetween(_EVER[0], 0), w.rowsBetween(0, _EVER[1])
-    before, after = w.rowsBetween(_EVER[0], -1), w.rowsBetween(1, _EVER[1])
-    across = Window.partitionBy(*by).orderBy(TILE)
-    c_before, c_after = across.rowsBetween(_EVER[0], -1), across.rowsBetween(1, _EVER[1])
+    up, before = _running(w)
+    down, after = _running(_backward([*by, TILE], order))
+    _, c_before = _running(Window.partitionBy(*by).orderBy(TILE))
+    _, c_after = _running(_backward(by, [TILE]))
 
     local, totals, carries = [], [], []
     for i, s in enumerate(specs):
@@ -114,9 +127,9 @@ def scan(df: DataFrame, by, order, specs: list[Scan], rows: int = ROWS_PER_TILE)
             totals.append(F.max_by(s.expr, held).alias(tot))
             carries.append(F.last(tot, True).over(c_before).alias(car))
         elif s.kind in ("next", "ahead"):
-            local.append(F.first(s.expr, True).over(down if s.kind == "next" else after).alias(loc))
+            local.append(F.last(s.expr, True).over(down if s.kind == "next" else after).alias(loc))
             totals.append(F.min_by(s.expr, held).alias(tot))
-            carries.append(F.first(tot, True).over(c_after).alias(car))
+            carries.append(F.last(tot, True).over(c_after).alias(car))
         elif s.kind == "prev":
             local.append(F.lag(boxed).over(w).alias(loc))
             totals.append(F.max_by(boxed, key).alias(tot))
@@ -124,7 +137,7 @@ def scan(df: DataFrame, by, order, specs: list[Scan], rows: int = ROWS_PER_TILE)
         elif s.kind == "follow":
             local.append(F.lead(boxed).over(w).alias(loc))
             totals.append(F.min_by(boxed, key).alias(tot))
-            carries.append(F.first(tot, True).over(c_after).alias(car))
+            carries.append(F.last(tot, True).over(c_after).alias(car))
         else:
             raise ValueError(f"unknown scan kind {s.kind!r}")
 
@@ -188,12 +201,12 @@ def ordered(df: DataFrame, by, order, specs: list[Scan], bounded: bool | None =
         return scan(df, by, order, specs, rows)
     by, order = _names(by), _names(order)
     w = Window.partitionBy(*by).orderBy(*order)
-    up, down = w.rowsBetween(_EVER[0], 0), w.rowsBetween(0, _EVER[1])
-    before, after = w.rowsBetween(_EVER[0], -1), w.rowsBetween(1, _EVER[1])
+    up, before = _running(w)
+    down, after = _running(_backward(by, order))
     made = {
         "sum": lambda e: F.sum(e).over(up), "max": lambda e: F.max(e).over(up), "min": lambda e: F.min(e).over(up),
-        "last": lambda e: F.last(e, True).over(up), "next": lambda e: F.first(e, True).over(down),
-        "past": lambda e: F.last(e, True).over(before), "ahead": lambda e: F.first(e, True).over(after),
+        "last": lambda e: F.last(e, True).over(up), "next": lambda e: F.last(e, True).over(down),
+        "past": lambda e: F.last(e, True).over(before), "ahead": lambda e: F.last(e, True).over(after),
         "prev": lambda e: F.lag(e).over(w), "follow": lambda e: F.lead(e).over(w),
     }
     return df.select("*", *[made[s.kind](s.expr).alias(s.name) for s in specs])

@@ -135,7 +135,7 @@ def modulus(obs: DataFrame, thickness: DataFrame, e_grid: list[float], x0_grid:
     """
     cand = flexure.candidate_grid(obs.select(*keys).distinct(), e_grid, x0_grid)
     pred = flexure.flexure_candidate_sweep(cand, obs, thickness, keys, **sweep)
-    prof = cut_lineage(flexure.profile_misfit(flexure.candidate_misfit(pred, obs, keys), keys))
+    prof = cut_lineage(flexure.profile_misfit(flexure.candidate_misfit(pred, None, keys), keys))
     fit = flexure.modulus_interval(prof, keys)
     if not refine:
         return fit, prof
@@ -143,6 +143,6 @@ def modulus(obs: DataFrame, thickness: DataFrame, e_grid: list[float], x0_grid:
     x_step = (x0_grid[-1] - x0_grid[0]) / max(len(x0_grid) - 1, 1)
     fine = flexure.refine_grid(fit, keys, e_step, x_step, (x0_grid[0], x0_grid[-1]))
     p2 = flexure.flexure_candidate_sweep(fine, obs, thickness, keys, **sweep)
-    best = flexure.profile_misfit(flexure.candidate_misfit(p2, obs, keys), keys).where("is_best").select(
+    best = flexure.profile_misfit(flexure.candidate_misfit(p2, None, keys), keys).where("is_best").select(
         *keys, F.col("E").alias("E_fine"), F.col("x0").alias("x0_fine"), F.col("amp").alias("amp_fine"), F.col("J").alias("J_fine"))
     return fit.join(best, keys), prof

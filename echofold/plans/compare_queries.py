@@ -310,7 +310,7 @@ def _(t):
 
 # --- modulus ----------------------------------------------------------------
 
-E_GRID, X0_GRID = flexure.log_grid(0.2e9, 20e9, 13), [-1000.0 + 500 * k for k in range(7)]
+E_GRID, X0_GRID = flexure.log_grid(0.2e9, 20e9, 9), [-1000.0 + 750 * k for k in range(5)]
 
 
 def flex_obs(t):
@@ -325,7 +325,7 @@ def flex_obs(t):
 
 FLEX = """fo AS (SELECT line_id, kind, x, y * f AS y, sg * f AS sigma FROM (SELECT l_suppkey AS line_id, CASE WHEN l_returnflag = 'R' THEN 'strain' ELSE 'shape' END AS kind, l_quantity * 200 AS x, avg(l_extendedprice) / 1e5 AS y,
   coalesce(stddev_samp(l_extendedprice) / 1e5, 0.3) + 0.05 AS sg, CASE WHEN any_value(l_returnflag) = 'R' THEN 1e-3 ELSE 1.0 END AS f FROM lineitem GROUP BY 1, 2, 3)),
-cd AS (SELECT i AS ie, pow(10, log10(2e8) + 2.0 * i / 12) AS E, j AS ix, -1000.0 + 500 * j AS x0, pow(4 * pow(10, log10(2e8) + 2.0 * i / 12) * pow(280, 3) / (12 * 0.91) / (1028 * 9.81), 0.25) AS lam FROM range(13) AS r(i), range(7) AS s(j)),
+cd AS (SELECT i AS ie, pow(10, log10(2e8) + 2.0 * i / 8) AS E, j AS ix, -1000.0 + 750 * j AS x0, pow(4 * pow(10, log10(2e8) + 2.0 * i / 8) * pow(280, 3) / (12 * 0.91) / (1028 * 9.81), 0.25) AS lam FROM range(9) AS r(i), range(5) AS s(j)),
 bt AS (SELECT line_id, kind, x, y, sigma, ie, E, ix, x0, greatest(x - x0, 0) / lam AS b, lam FROM fo, cd),
 pd AS (SELECT *, CASE WHEN kind = 'shape' THEN 1 - exp(-b) * (cos(b) + sin(b)) ELSE 0.3 / 0.7 * (140.0 * 100 - 5000) * 2 / (lam * lam) * exp(-b) * (cos(b) - sin(b)) END AS pred, 1 / (sigma * sigma) AS u FROM bt),
 js AS (SELECT line_id, ie, E, ix, x0, count(*) AS n, sum(u * pred * y) / sum(u * pred * pred) AS amp, sum(u * y * y) - pow(sum(u * pred * y), 2) / sum(u * pred * pred) AS J FROM pd GROUP BY 1, 2, 3, 4, 5),
@@ -335,7 +335,7 @@ pm AS (SELECT *, min(J) OVER (PARTITION BY line_id) AS J_min, greatest(min(J) OV
 
 def analytic_predictions(t):
     """Deflection and bending of the semi-infinite beam at every observation and candidate."""
-    c = flexure.candidate_grid(flex_obs(t).select("line_id", "kind", "x"), E_GRID, X0_GRID)
+    c = flexure.candidate_grid(flex_obs(t).drop("width"), E_GRID, X0_GRID)
     lam = F.pow(4 * F.col("E") * 280.0 ** 3 / (12 * 0.91) / (1028 * 9.81), F.lit(0.25))
     b = F.greatest(F.col("x") - F.col("x0"), F.lit(0.0)) / lam
     w = 1 - F.exp(-b) * (F.cos(b) + F.sin(b))
@@ -344,7 +344,7 @@ def analytic_predictions(t):
 
 
 def _profile(t):
-    return flexure.profile_misfit(flexure.candidate_misfit(analytic_predictions(t), flex_obs(t), ["line_id"]), ["line_id"])
+    return flexure.profile_misfit(flexure.candidate_misfit(analytic_predictions(t), None, ["line_id"]), ["line_id"])
 
 
 @query("misfit_profile", ints="line_id ie n", digits={"x0": 2, "amp": 6, "J": 5, "s2": 7}, sql=f"WITH {FLEX} SELECT line_id, ie, n, x0, amp, J, s2 FROM pm")

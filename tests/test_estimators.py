@@ -50,7 +50,9 @@ def test_network_rejects_and_points_at_the_bad_pair(spark, rng):
     miss = lambda e: np.abs(np.diff(e.x.to_numpy() - TRUTH[e.epoch])).max()
     bad = pr[~pr.used]
     assert IJ[16] in set(zip(bad.i, bad.j)) and miss(ep) < 0.5 * miss(kept)
-    _, pr = solve(spark, [(0, i, j, TRUTH[j] - TRUTH[i] + (1.0 if (i, j) == (2, 5) else 0)) for i, j in IJ], n_sigma=1e9)
+    # Weak noise keeps the scale above zero, so that only the limit decides.
+    noise = lambda: 0.01 * rng.normal()
+    _, pr = solve(spark, [(0, i, j, TRUTH[j] - TRUTH[i] + noise() + (1.0 if (i, j) == (2, 5) else 0)) for i, j in IJ], n_sigma=1e9)
     worst = pr.loc[pr.resid.abs().idxmax()]
     assert (worst.i, worst.j) == (2, 5)
 
@@ -144,16 +146,16 @@ def test_gated_slope(spark, rng):
     b, p = gated(spark, Z[:1990], tide)
     assert len(b) == 9                                     # the short last block is dropped
     b, p = gated(spark, Z, tide)
-    assert (np.abs(b.a - a) / b.a_std).max() < 4.5 and (b.n >= 12).all()
+    assert (np.abs(b.a - a) / b.a_std).max() < 4.5 and (b.n >= 10).all()
     lm, _ = gated(spark, Z, None)
-    np.testing.assert_allclose(lm.a[3], np.polyfit(Z.mean(axis=0), Z[600:800].mean(axis=0), 1)[0], rtol=1e-9)
+    np.testing.assert_allclose(lm.a.to_numpy()[3], np.polyfit(Z.mean(axis=0), Z[600:800].mean(axis=0), 1)[0], rtol=1e-9)
     Zu = Z + 0.1 * rng.normal(size=13)
     b, _ = gated(spark, Zu, tide)
     assert np.abs(b.a - a).max() < 0.15
     Zb = Z.copy()
     Zb[:, 4] += 1.0
     _, p = gated(spark, Zb, tide)
-    assert 4 in p[~p.pass_ok].pass_idx.tolist() and p.pass_ok.sum() >= 11
+    assert 4 in p[~p.pass_ok].pass_idx.tolist() and p.pass_ok.sum() >= 9
 
 
 def test_legendre_masks_bad_sigma(spark, rng):
