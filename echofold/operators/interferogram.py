@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echofold.functions.columns import conj_product
@@ -75,18 +75,43 @@ def drop_halo(df: DataFrame, width: int = 200) -> DataFrame:
     return df.where(F.floor(F.col("col") / width) == F.col(COL_TILE))
 
 
+def tile_table(table: DataFrame, width: int, values: list[str], aggs: dict[str, Column] | None = None) -> DataFrame:
+    """Per-column values packed by column tile: one array per value, by position in the tile."""
+    at = F.col("col") - F.floor(F.col("col") / width) * width
+    packed = table.groupBy("line_id", F.floor(F.col("col") / width).alias(COL_TILE)).agg(
+        F.map_from_entries(F.collect_list(F.struct(at.cast("int").alias("k"), F.struct(*values).alias("v")))).alias("_m"),
+        *[a.alias(n) for n, a in (aggs or {}).items()])
+    slots = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.try_element_at("_m", i))
+    return packed.withColumn("_slots", slots).drop("_m")
+
+
+def attach_by_tile(samples: DataFrame, tiles: DataFrame, width: int, values: list[str]) -> DataFrame:
+    """Per-column values onto tiled samples by a join on exactly (line_id, col_tile).
+
+    The samples are partitioned by these two keys already, so only the small
+    table moves; a join on the column itself would shuffle every sample.
+    """
+    d = samples.join(tiles, ["line_id", COL_TILE], "left")
+    slot = F.get("_slots", (F.col("col") - F.col(COL_TILE) * width).cast("int"))
+    return d.select(*[c for c in d.columns if c != "_slots"], *[slot[v].alias(v) for v in values])
+
+
 def complex_block_mean(igram: DataFrame, ref_bins: DataFrame, block_size: int, coh_thr: float = 0.3,
                        bins: list[int] | None = None, unit: bool = False,
-                       within: list[str] | None = None) -> DataFrame:
+                       within: list[str] | None = None, tile_width: int | None = None) -> DataFrame:
     """Coherence-weighted complex mean per (pair, block, bin), phase relative to the reference bin.
 
     Each column is turned by the unit conjugate of its own sample at its
     reference bin; a column without one weighs nothing. `unit` strips the
     modulus first, and the modulus of the mean is then the phase concentration.
+    With `tile_width` the samples are in column tiles (no halo left) and stay there.
     """
     keys = [*(within or []), "line_id", "ref_idx", "sec_idx"]
     trace = Window.partitionBy(*keys, "col")
-    g = igram.join(ref_bins.select("line_id", "col", "ref_bin"), ["line_id", "col"], "left")
+    if tile_width:
+        g = attach_by_tile(igram, tile_table(ref_bins, tile_width, ["ref_bin"]), tile_width, ["ref_bin"])
+    else:
+        g = igram.join(ref_bins.select("line_id", "col", "ref_bin"), ["line_id", "col"], "left")
     at_ref = F.col("bin") == F.col("ref_bin")
     for c in ("re", "im"):
         g = g.withColumn(f"_r{c}", F.max(F.when(at_ref, F.col(c))).over(trace))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echofold.operators.interp import interp_join
+from echofold.operators.scan import checked_broadcast
 
 PAIR = ["line_id", "ref_idx", "sec_idx"]
 
@@ -95,7 +96,8 @@ def pair_samples(slc: DataFrame, pairs: DataFrame | None = None, key: list[str]
                    *[F.col(f"_a.{v}").alias(f"ref_{v}") for v in values],
                    *[F.col(f"_b.{v}").alias(f"sec_{v}") for v in values])
     if pairs is not None:
-        out = out.join(pairs.select(*PAIR), PAIR, "left_semi")
+        # A line has at most its passes squared pairs; a list too long to travel is met by a shuffled join.
+        out = out.join(checked_broadcast(pairs.select(*PAIR)), PAIR, "left_semi")
     return out
 
 

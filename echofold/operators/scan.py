@@ -96,6 +96,11 @@ def fits(df: DataFrame, by, rows: int = ROWS_PER_TILE) -> bool:
     return (top or 0) <= rows
 
 
+def checked_broadcast(df: DataFrame, limit: int = 500_000) -> DataFrame:
+    """Broadcast hint for a table of at most `limit` rows (one counting job that stops there), else the table as it is."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def scan(df: DataFrame, by, order, specs: list[Scan], rows: int = ROWS_PER_TILE) -> DataFrame:
     """Add the running quantities `specs`, ordered by `order` within `by`.
 

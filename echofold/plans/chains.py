@@ -29,19 +29,17 @@ def pair_profiles(slc: DataFrame, axis: DataFrame, surface: DataFrame, wanted: D
     samples = pairs.pair_samples(tiles, wanted, key=["line_id", "col_tile", "col"])
     ig = interferogram.multilook(interferogram.explode_samples(samples), opt.window, within=["col_tile"])
     ig = interferogram.drop_halo(ig, width)
-    ref = surface.join(axis, "line_id").select(
-        "line_id", "col", F.col("surface_twtt_s"), "fc", "t0", "dt",
-        unwrap.reference_bin(F.col("surface_twtt_s"), F.col("t0"), F.col("dt"), F.col("nt"), opt.ref_offset_s).alias("ref_bin"))
-    ig = ig.join(ref, ["line_id", "col"]).withColumn("phase", F.atan2("im", "re"))
+    ref = surface.join(axis, "line_id").withColumn("ref_bin", unwrap.reference_bin(
+        F.col("surface_twtt_s"), F.col("t0"), F.col("dt"), F.col("nt"), opt.ref_offset_s))
+    info = interferogram.tile_table(ref, width, ["ref_bin"], {
+        "fc": F.first("fc"), "t0": F.first("t0"), "dt": F.first("dt"), "_span": F.count(F.lit(1)), "_s": F.avg("surface_twtt_s")})
+    ig = interferogram.attach_by_tile(ig, info.drop("t0", "dt", "_s"), width, ["ref_bin"]).withColumn("phase", F.atan2("im", "re"))
     trace = ["line_id", "col_tile", "ref_idx", "sec_idx", "col"]
     un = unwrap.unwrap_from_reference(ig, F.col("fc"), trace, opt.coherence_threshold, opt.max_gap_bins, opt.phase_sign)
-    nx = slc.groupBy("line_id").agg((F.max("col") + 1).alias("_nx"))
-    un = un.join(nx, "line_id")
     block = F.floor(F.col("col") / width)
-    span = F.least(F.lit(width), F.col("_nx") - F.floor(F.col("col") / width) * width)
-    avg = blocks.block_average(un, [*PAIR, "bin"], block, span, coh_thr=opt.coherence_threshold, min_coverage=opt.min_coverage,
+    avg = blocks.block_average(un, [*PAIR, "bin"], block, F.col("_span"), coh_thr=opt.coherence_threshold, min_coverage=opt.min_coverage,
                                cols_per_look=opt.cols_per_look, within=["col_tile"])
-    geo = ref.groupBy("line_id", block.alias("block")).agg(F.avg("surface_twtt_s").alias("_s"), F.first("t0").alias("t0"), F.first("dt").alias("dt"))
+    geo = info.select("line_id", F.col("col_tile").alias("block"), "t0", "dt", "_s")
     avg = avg.join(geo, ["line_id", "block"]).withColumn("twtt", F.col("t0") + F.col("dt") * F.col("bin") - F.col("_s"))
     table = firn.firn_table(slc.sparkSession, firn_par)
     disp = firn.to_displacement(avg, F.col("twtt"), table, firn_par)
@@ -113,15 +111,16 @@ def depth_response(profile_pairs: DataFrame, driver: DataFrame, row: list[str],
 
 
 def coherent_stack(igram: DataFrame, ref_bins: DataFrame, pass_driver: DataFrame, bins: list[int], kz: Column, block_size: int,
-                   grid: list[float], coh_thr: float = 0.3, min_pairs: int = 6, within: list[str] | None = None) -> DataFrame:
+                   grid: list[float], coh_thr: float = 0.3, min_pairs: int = 6, within: list[str] | None = None,
+                   tile_width: int | None = None) -> DataFrame:
     """Interferograms to the driver response per (line, block, bin) with its delete-one-pass error.
 
     pass_driver: line_id, pass_idx, tide_m; passes without a value drop out
     with all their pairs. `kz` may use the column bin.
     """
-    f = interferogram.complex_block_mean(igram, ref_bins, block_size, coh_thr, bins, within=within)
+    f = interferogram.complex_block_mean(igram, ref_bins, block_size, coh_thr, bins, within=within, tile_width=tile_width)
     tide = pass_driver.where("tide_m is not null")
-    for side in ("ref", "sec"):
+    for side in ("ref", "sec"):                        # block means by now, a few rows per pair
         f = f.join(tide.select("line_id", F.col("pass_idx").alias(f"{side}_idx"), F.col("tide_m").alias(f"_{side}")), ["line_id", f"{side}_idx"])
     f = f.withColumn("dtide", F.col("_sec") - F.col("_ref")).withColumn("kz", kz)
     return coherent.coherent_scan_packed(f, ["line_id", "block", "bin"], F.col("kz"), "dtide", grid, min_pairs)

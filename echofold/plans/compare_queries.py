@@ -352,7 +352,17 @@ def _(t):
     return _profile(t)
 
 
-@query("modulus_interval", keys="interior", ints="line_id n n_min", digits={"E": -2, "E_lo": -4, "E_hi": -4, "x0": 2})
+INTERVAL = FLEX + """, nb AS (SELECT *, log10(E) AS u, lag(J) OVER w AS pj, lead(J) OVER w AS nj, lag(log10(E)) OVER w AS pu, lead(log10(E)) OVER w AS nu, first_value(ie) OVER (PARTITION BY line_id ORDER BY J, ie) AS eb, J_min + s2 AS thr FROM pm WINDOW w AS (PARTITION BY line_id ORDER BY ie)),
+bb AS (SELECT *, ((nj - J) / (nu - u) - (J - pj) / (u - pu)) / (nu - pu) AS curv FROM nb WHERE ie = eb), hf AS (SELECT *, CASE WHEN curv > 0 THEN sqrt(s2 / curv) END AS half FROM bb),
+dn AS (SELECT line_id, arg_max(pow(10, nu + greatest(0, least(1, (thr - nj) / (J - nj))) * (u - nu)), ie) AS e FROM nb WHERE ie < eb AND J >= thr GROUP BY 1), up AS (SELECT line_id, arg_min(pow(10, pu + greatest(0, least(1, (thr - pj) / (J - pj))) * (u - pu)), ie) AS e FROM nb WHERE ie > eb AND J >= thr GROUP BY 1),
+wl AS (SELECT a.line_id, a.ie, max(c.J) AS wall FROM nb a JOIN nb c ON a.line_id = c.line_id AND c.ie BETWEEN least(a.ie, a.eb) AND greatest(a.ie, a.eb) GROUP BY 1, 2),
+rv AS (SELECT line_id, count(*) AS k FROM nb JOIN wl USING (line_id, ie) WHERE ie <> eb AND J < pj AND J < nj AND wall - J > s2 AND J - J_min < 9 * s2 GROUP BY 1),
+mi AS (SELECT h.line_id, h.n, coalesce(k, 0) + 1 AS n_min, h.E, CASE WHEN coalesce(half <= 0.25, false) THEN pow(10, u - half) WHEN dn.e IS NOT NULL THEN least(dn.e, h.E) END AS E_lo,
+  CASE WHEN coalesce(half <= 0.25, false) THEN pow(10, u + half) WHEN up.e IS NOT NULL THEN greatest(up.e, h.E) END AS E_hi, x0, pj IS NOT NULL AND nj IS NOT NULL AND x0 > -1000 AND x0 < 2000 AS interior
+  FROM hf h LEFT JOIN dn USING (line_id) LEFT JOIN up USING (line_id) LEFT JOIN rv USING (line_id))"""
+
+
+@query("modulus_interval", keys="interior", ints="line_id n n_min", digits={"E": -2, "E_lo": -4, "E_hi": -4, "x0": 2}, sql=f"WITH {INTERVAL} SELECT * FROM mi")
 def _(t):
     return flexure.modulus_interval(_profile(t), ["line_id"])
 
@@ -365,9 +375,11 @@ def _(t):
     return flexure.combine_profiles(_profile(t), "line_id")
 
 
-@query("modulus_jackknife", ints="grp n", digits={"se_decades": 6})
+@query("modulus_jackknife", ints="grp n", digits={"se_decades": 6}, sql=f"""
+WITH {INTERVAL} SELECT line_id % 5 AS grp, count(*) AS n, sqrt((count(*) - 1) * var_pop(log10(E))) AS se_decades FROM mi WHERE E_lo IS NOT NULL GROUP BY 1 HAVING count(*) >= 3""")
 def _(t):
-    fits = flexure.modulus_interval(_profile(t), ["line_id"]).withColumn("grp", F.col("line_id") % 5)
+    # Here a fit counts as interior where its lower bound is closed.
+    fits = flexure.modulus_interval(_profile(t), ["line_id"]).withColumn("grp", F.col("line_id") % 5).withColumn("interior", F.col("E_lo").isNotNull())
     return flexure.modulus_jackknife(fits, ["grp"])
 
 

@@ -42,13 +42,13 @@ tn AS (SELECT g.line_id, g.ref_idx, g.sec_idx, g.col // 10 AS block, g.bin, CASE
 @query("complex_block_mean", ints="line_id ref_idx sec_idx block bin", digits={"re": 7, "im": 7, "w": 7}, sql=f"""
 WITH {CBLK} SELECT line_id, ref_idx, sec_idx, block, bin, sum(re * w) / greatest(sum(w), 2.220446049250313e-16) AS re, sum(im * w) / greatest(sum(w), 2.220446049250313e-16) AS im, sum(w) AS w FROM tn GROUP BY 1, 2, 3, 4, 5""")
 def _(t):
-    return interferogram.complex_block_mean(looked(t), I.ref_bins(t), 10, 0.3, [12, 20, 33, 50], within=["col_tile"])
+    return interferogram.complex_block_mean(looked(t), I.ref_bins(t), 10, 0.3, [12, 20, 33, 50], within=["col_tile"], tile_width=WIDTH)
 
 
 @query("unit_phasor_block_mean", ints="line_id ref_idx sec_idx block bin", digits={"conc": 7}, sql=f"""
 WITH {CBLK} SELECT line_id, ref_idx, sec_idx, block, bin, sqrt(pow(sum(re / m * w), 2) + pow(sum(im / m * w), 2)) / greatest(sum(w), 2.220446049250313e-16) AS conc FROM tn GROUP BY 1, 2, 3, 4, 5""")
 def _(t):
-    d = interferogram.complex_block_mean(looked(t), I.ref_bins(t), 10, 0.3, [12, 20, 33, 50], unit=True, within=["col_tile"])
+    d = interferogram.complex_block_mean(looked(t), I.ref_bins(t), 10, 0.3, [12, 20, 33, 50], unit=True, within=["col_tile"], tile_width=WIDTH)
     return d.withColumn("conc", F.hypot("re", "im"))
 
 
@@ -283,6 +283,13 @@ def _(t):
     return quality.coherent_shift(I.main_samples(t), [-0.4 + 0.1 * k for k in range(9)], (10, 50), ["line_id", "sec_idx"])
 
 
+@query("shift_injection", ints="line_id sec_idx", digits={"recovery": 5})
+def _(t):
+    # The pass is made coherent with the main one, so that there is a shift to find.
+    d = I.main_samples(t).withColumn("sec_re", F.col("ref_re") + 0.4 * F.col("sec_re")).withColumn("sec_im", F.col("ref_im") + 0.4 * F.col("sec_im"))
+    return quality.shift_injection(d, [-0.4 + 0.02 * k for k in range(41)], (10, 50), ["line_id", "sec_idx"])
+
+
 @query("layer_delay", ints="line_id sec_idx", digits={"delay": 5})
 def _(t):
     d = I.main_samples(t).where("bin between 4 and 59").groupBy("line_id", "sec_idx", "bin").agg(
@@ -360,4 +367,4 @@ def _(t):
 def _(t):
     drv = I.samples(t).groupBy("line_id", "pass_idx").agg((F.sum("re") / F.count(F.lit(1)) * 100).alias("tide_m"))
     grid = coherent.grid_of(-2.0, 2.0, 81)
-    return chains.coherent_stack(looked(t), I.ref_bins(t), drv, [12, 20, 33, 50], F.lit(1.0), 10, grid, 0.2, min_pairs=3, within=["col_tile"])
+    return chains.coherent_stack(looked(t), I.ref_bins(t), drv, [12, 20, 33, 50], F.lit(1.0), 10, grid, 0.2, min_pairs=3, within=["col_tile"], tile_width=WIDTH)

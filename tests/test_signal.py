@@ -149,6 +149,8 @@ def test_coherent_shift_and_layer_delay(spark, rng):
     assert abs(got["shift"] + 0.13) < 0.01 or abs(got["shift"] - 0.13) < 0.01
     # The sign: a pass later by 0.13 bins comes out at +0.13.
     assert got["shift"] > 0
+    rec = quality.shift_injection(frame(spark, rows), [-0.4 + 0.01 * k for k in range(81)], (20, 180), ["line_id", "sec_idx"]).first()
+    assert abs(rec.recovery - 1) < 0.05
     d = quality.layer_delay(frame(spark, [dict(k=0, p_ref=prof_a.tolist(), p_sec=prof_b.tolist())]), ["k"]).first()
     assert abs(d["delay"] - 0.13) < 0.06
 
