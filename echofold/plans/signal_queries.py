@@ -9,6 +9,7 @@ from echofold.operators.scan import Scan, ordered
 from echofold.params import FirnParams, PairOptions
 from echofold.plans import chains
 from echofold.plans import inputs as I
+from echofold.plans.pair_queries import FIRN_CTE, _interp
 from echofold.plans.registry import query
 
 # --- multilook and complex blocks -------------------------------------------
@@ -353,7 +354,21 @@ def _chain(t):
     return chains.pair_profiles(I.slc(t), axis, surface, want, dt, OPT, FirnParams(max_depth=60.0, nz=601))
 
 
-@query("pair_chain", ints="line_id ref_idx sec_idx block bin", digits={"depth": 4, "dh": 6, "n_eff": 4, "coverage": 5})
+CHAIN = LOOK + ", " + I.REF_BINS + ", " + FIRN_CTE + f""", u0 AS (SELECT g.*, atan2(g.im, g.re) AS ph, b.ref_bin FROM ig g JOIN ref_bins b ON g.line_id = b.line_id AND g.col = b.col),
+u1 AS (SELECT *, coh >= 0.2 AND coalesce(lag(coh) OVER w >= 0.2, false) AS ok, ph - lag(ph) OVER w AS d FROM u0 WINDOW w AS (PARTITION BY line_id, ref_idx, sec_idx, col ORDER BY bin)),
+u2 AS (SELECT *, sum(CASE WHEN ok THEN atan2(sin(d), cos(d)) ELSE 0 END) OVER w AS c, max(CASE WHEN ok OR bin <= ref_bin THEN bin END) OVER w AS good FROM u1 WINDOW w AS (PARTITION BY line_id, ref_idx, sec_idx, col ORDER BY bin)),
+lv AS (SELECT line_id, ref_idx, sec_idx, col, min(bin) FILTER (bin > ref_bin AND bin - good > 6) - 7 AS last_bin, max(c) FILTER (bin = ref_bin) AS cr FROM u2 GROUP BY 1, 2, 3, 4),
+un AS (SELECT u2.*, CASE WHEN coh >= 0.2 AND bin >= ref_bin AND (last_bin IS NULL OR bin <= last_bin) THEN -(c - cr) / (2 * pi() * 7.5e8) END AS tau FROM u2 JOIN lv USING (line_id, ref_idx, sec_idx, col)),
+sw AS (SELECT line_id, ref_idx, sec_idx, col // 20 AS block, bin, coalesce(tau, 0) AS tau, CASE WHEN tau IS NOT NULL THEN coh ELSE 0 END AS w FROM un),
+geo AS (SELECT line_id, col // 20 AS block, count(*) AS span, avg(ref_bin * 3.3e-9) AS s FROM ref_bins GROUP BY 1, 2),
+bm AS (SELECT s.line_id, ref_idx, sec_idx, s.block, bin, CASE WHEN sum(w) > 0 THEN sum(w * tau) / sum(w) END AS mean, sum(w) AS sw, greatest(pow(sum(w), 2) / greatest(sum(w * w), 2.220446049250313e-16) / 4, 1) AS ne, count(*) FILTER (w > 0) / any_value(span)::DOUBLE AS coverage, 3.3e-9 * bin - any_value(g.s) AS twtt
+  FROM sw s JOIN geo g ON s.line_id = g.line_id AND s.block = g.block GROUP BY s.line_id, ref_idx, sec_idx, s.block, bin),
+dep AS ({_interp('bm', 'twtt', 'firn', 'twtt', 'd', 'depth')}),
+loc AS ({_interp('dep', 'depth', 'firn', 'd', 'n', 'n_local')})"""
+
+
+@query("pair_chain", ints="line_id ref_idx sec_idx block bin", digits={"depth": 4, "dh": 6, "n_eff": 4, "coverage": 5}, sql=f"""
+WITH {CHAIN} SELECT line_id, ref_idx, sec_idx, block, bin, depth, CASE WHEN sw > 0 AND coverage >= 0.05 THEN mean * (299792458.0 / 2) / n_local END AS dh, CASE WHEN sw > 0 AND coverage >= 0.05 THEN ne END AS n_eff, coverage FROM loc""")
 def _(t):
     return _chain(t)
 
