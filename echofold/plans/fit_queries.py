@@ -82,7 +82,8 @@ def _(t):
     return network.largest_component(edges(t), "i", "j", ["g"])
 
 
-STEPS = I.PAIRDIFF.replace("pairdiff AS", "pd AS") + """, step AS (SELECT row_key, ref_idx AS k, CASE WHEN n >= 3 THEN d END AS step FROM pd WHERE sec_idx = ref_idx + 1),
+STEPS = I.PAIRDIFF.replace("pairdiff AS", "pd AS") + """, keys AS (SELECT DISTINCT row_key FROM pd WHERE sec_idx = ref_idx + 1),
+step AS (SELECT a.row_key, a.k, CASE WHEN n >= 3 THEN d END AS step FROM (SELECT row_key, k FROM keys, range(1, 7) AS r(k)) a LEFT JOIN pd ON pd.row_key = a.row_key AND ref_idx = a.k AND sec_idx = a.k + 1),
 chain AS (SELECT row_key, k + 1 AS pass_idx, sum(step) OVER w AS chained, sum(CASE WHEN step IS NULL THEN 1 ELSE 0 END) OVER w AS gaps FROM step WHERE k >= 3 WINDOW w AS (PARTITION BY row_key ORDER BY k)
   UNION ALL SELECT row_key, k, -sum(step) OVER w, sum(CASE WHEN step IS NULL THEN 1 ELSE 0 END) OVER w FROM step WHERE k < 3 WINDOW w AS (PARTITION BY row_key ORDER BY k DESC)
   UNION ALL SELECT DISTINCT row_key, 3, 0, 0 FROM step)"""
@@ -101,11 +102,13 @@ def _(t):
 
 
 @query("loop_closure", keys="row_key", ints="n", digits={"mean": 7, "rms": 7, "worst": 7, "r_abs_dt": 6, "slope": 7}, sql=f"""
-WITH {STEPS}, dir AS (SELECT row_key, sec_idx AS pass_idx, d AS value, sec_idx - 3.2 AS dt FROM pd WHERE ref_idx = 3 UNION ALL SELECT row_key, ref_idx, -d, ref_idx - 3.2 FROM pd WHERE sec_idx = 3),
+WITH {STEPS}, dir AS (SELECT row_key, sec_idx AS pass_idx, 1.01 * d AS value, sec_idx - 3.2 AS dt FROM pd WHERE ref_idx = 3 UNION ALL SELECT row_key, ref_idx, -1.01 * d, ref_idx - 3.2 FROM pd WHERE sec_idx = 3),
 c AS (SELECT row_key, value - chained AS c, dt FROM dir JOIN (SELECT * FROM chain WHERE gaps = 0) USING (row_key, pass_idx))
 SELECT row_key, count(*) AS n, avg(c) AS mean, sqrt(avg(c * c)) AS rms, max(abs(c)) AS worst, corr(abs(dt), c) AS r_abs_dt, regr_slope(c, dt) AS slope FROM c WHERE c IS NOT NULL GROUP BY 1 HAVING count(*) >= 4""")
 def _(t):
+    # The direct values carry a gain of 1 %, so that there is something to close even where the pairs agree.
     p, ch = _chain(t)
+    p = p.withColumn("d", 1.01 * F.col("d"))
     fwd = p.where("ref_idx = 3").select("row_key", F.col("sec_idx").alias("pass_idx"), F.col("d").alias("value"), (F.col("sec_idx") - 3.2).alias("dt"))
     back = p.where("sec_idx = 3").select("row_key", F.col("ref_idx").alias("pass_idx"), (-F.col("d")).alias("value"), (F.col("ref_idx") - 3.2).alias("dt"))
     return network.loop_closure(fwd.unionByName(back), ch, ["row_key"])
@@ -164,9 +167,9 @@ QUARTERS = """qv AS (SELECT l_linenumber AS block, p_brand AS line_id, year(l_sh
   FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3),
 qt AS (SELECT year(l_shipdate) * 4 + quarter(l_shipdate) AS pass_idx, (year(l_shipdate) * 4 + quarter(l_shipdate) - 7980) / 4.0 AS t, avg(l_discount) * 1000 AS h FROM lineitem GROUP BY 1, 2),
 q AS (SELECT qv.*, t, h FROM qv JOIN qt USING (pass_idx)),
-qm AS (SELECT line_id, block, avg(y) AS my, avg(t) AS mt, avg(h) AS mh, var_pop(t) AS tt, var_pop(h) AS hh, covar_pop(t, h) AS th, covar_pop(t, y) AS ty, covar_pop(h, y) AS hy FROM q GROUP BY 1, 2),
+qm AS (SELECT line_id, block, avg(y) AS my, avg(t) AS mt, avg(h) AS mh, var_pop(t) AS tt, var_pop(h) AS hh, covar_pop(t, h) AS th, covar_pop(t, y) AS ty, covar_pop(h, y) AS hy FROM q GROUP BY 1, 2 HAVING count(*) >= 6),
 qr AS (SELECT q.line_id, q.block, q.pass_idx, y - my - (ty * hh - hy * th) / (tt * hh - th * th) * (t - mt) - (hy * tt - ty * th) / (tt * hh - th * th) * (h - mh) AS resid FROM q JOIN qm USING (line_id, block)),
-rr AS (SELECT a.line_id, corr(a.resid, b.resid) AS rho FROM qr a JOIN qr b ON a.line_id = b.line_id AND a.pass_idx = b.pass_idx AND a.block < b.block GROUP BY a.line_id, a.block, b.block)"""
+rr AS (SELECT a.line_id, corr(a.resid, b.resid) AS rho FROM qr a JOIN qr b ON a.line_id = b.line_id AND a.pass_idx = b.pass_idx AND a.block < b.block GROUP BY a.line_id, a.block, b.block HAVING count(*) >= 6)"""
 
 
 def quarters(t):
