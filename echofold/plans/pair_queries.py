@@ -44,15 +44,15 @@ def _(t):
 
 
 @query("read_pair_outputs", ints="line ref_idx sec_idx", sql="""
-SELECT CAST(regexp_extract(n, '^(.+)_vvel_(\\d+)_(\\d+)', 1) AS BIGINT) AS line, regexp_extract(n, '^(.+)_vvel_(\\d+)_(\\d+)', 2) AS ref_idx,
-       regexp_extract(n, '^(.+)_vvel_(\\d+)_(\\d+)', 3) AS sec_idx
-FROM (SELECT l_suppkey || '_vvel_' || l_linenumber || '_' || CAST(l_quantity AS INTEGER) AS n FROM lineitem)""")
+SELECT CAST(regexp_extract(n, '^(.+)_pair_(\\d+)_(\\d+)', 1) AS BIGINT) AS line, regexp_extract(n, '^(.+)_pair_(\\d+)_(\\d+)', 2) AS ref_idx,
+       regexp_extract(n, '^(.+)_pair_(\\d+)_(\\d+)', 3) AS sec_idx
+FROM (SELECT l_suppkey || '_pair_' || l_linenumber || '_' || CAST(l_quantity AS INTEGER) AS n FROM lineitem)""")
 def _(t):
     q = F.col("l_quantity").cast("int")
     names = t.lineitem.select(F.col("l_suppkey").cast("string").alias("line"),
-                              F.concat_ws("_", "l_suppkey", F.lit("vvel"), "l_linenumber", q).alias("name"))
+                              F.concat_ws("_", "l_suppkey", F.lit("pair"), "l_linenumber", q).alias("name"))
     other = t.lineitem.select(F.col("l_suppkey").cast("string").alias("line"),
-                              F.concat(F.lit("1"), F.concat_ws("_", "l_suppkey", F.lit("vvel"), "l_linenumber", q)).alias("name"))
+                              F.concat(F.lit("1"), F.concat_ws("_", "l_suppkey", F.lit("pair"), "l_linenumber", q)).alias("name"))
     return S.parse_pair_names(names.unionByName(other), "line")
 
 

@@ -47,13 +47,13 @@ def repeat_products(passes: DataFrame, key: str = "line_id", pass_col: str = "pa
     return n.where("n_pass >= 2")
 
 
-def parse_pair_names(files: DataFrame, line: str, name: str = "name") -> DataFrame:
-    """Pair indices from output names '<line>_vvel_<ref>_<sec>'; the line must match whole.
+def parse_pair_names(files: DataFrame, line: str, name: str = "name", tag: str = "pair") -> DataFrame:
+    """Pair indices from output names '<line>_<tag>_<ref>_<sec>'; the line must match whole.
 
     `line` names the column that holds the wanted line, so a line that is only a
     prefix of another does not pick up its files.
     """
-    pat = r"^(.+)_vvel_(\d+)_(\d+)(\.\w+)?$"
+    pat = rf"^(.+)_{tag}_(\d+)_(\d+)(\.\w+)?$"
     return files.select(
         F.col(line), F.regexp_extract(name, pat, 1).alias("_stem"),
         F.regexp_extract(name, pat, 2).alias("_i"), F.regexp_extract(name, pat, 3).alias("_j"),

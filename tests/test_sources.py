@@ -12,12 +12,12 @@ def test_text_readers(spark, tmp_path):
     p.write_text("datenum,iso,tide_m\n719530.0,1970-01-02,0.5\n719530.5,x,NaN\n719531,x,-0.25\n")
     assert [(r.ts_s, r.tide_m) for r in S.read_tide(spark, str(p)).orderBy("ts_s").collect()] == [(86400.0, 0.5), (172800.0, -0.25)]
     p = tmp_path / "sites.csv"
-    p.write_text("# note\ndatenum,iso,GA01,GA02\n719529,x,1.5,\n719530,x,nan,2\n")
+    p.write_text("# note\ndatenum,iso,S1,S2\n719529,x,1.5,\n719530,x,nan,2\n")
     got = {(r.site, r.ts_s): r.tide_m for r in S.read_tide_sites(spark, str(p)).collect()}
-    assert got == {("GA01", 0.0): 1.5, ("GA02", 0.0): None, ("GA01", 86400.0): None, ("GA02", 86400.0): 2.0}
+    assert got == {("S1", 0.0): 1.5, ("S2", 0.0): None, ("S1", 86400.0): None, ("S2", 86400.0): 2.0}
     p = tmp_path / "xy.txt"
-    p.write_text("# c\n1.5\t2.5\tGA04\n 3  4  GA05 \n")
-    assert sorted(r.site for r in S.read_stations(spark, str(p)).collect()) == ["GA04", "GA05"]
+    p.write_text("# c\n1.5\t2.5\tS4\n 3  4  S5 \n")
+    assert sorted(r.site for r in S.read_stations(spark, str(p)).collect()) == ["S4", "S5"]
     assert S.read_stations(spark, str(tmp_path / "absent.txt")).count() == 0
     p = tmp_path / "pairs.csv"
     p.write_text("site,t1,dt,v\nA,2022-01-01T00:00:00,0.02,1.5\nA,2022-01-01 00:30:00,0.5,1\nA,2022-01-01 01:00:00,0.02,bad\n")
@@ -43,7 +43,7 @@ def test_append_missing_is_idempotent(spark, tmp_path):
 
 
 def test_station_table_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("GA04", 1.25, 0.04, 0.75, 30)], "site string, mm_per_m double, sigma double, r2 double, n int")
+    df = spark.createDataFrame([("S4", 1.25, 0.04, 0.75, 30)], "site string, mm_per_m double, sigma double, r2 double, n int")
     out = str(tmp_path / "adm")
     S.write_station_table(df, out, ["a note"])
     lines = [r.value for r in spark.read.text(out).collect()]
