@@ -22,11 +22,17 @@ import numpy as np
 import public_tokenizers
 import regex
 
+from echofold.llm.common import offsets, segment_sums
+
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 #: A space or newline with white space on both sides: no safe cut there.
 TANGLED = re.compile(r"\s[ \n](?:\s|\Z)")
-MEMO = 400_000
+#: Pieces that the memo holds, longest of them, and pre-tokens of one ragged batch.
+MEMO = 500_000
 LONG = 64
+RAGGED = 4_000
+#: Marks of one byte that make a pre-token of their own between a letter and white space.
+MARKS = (",", ".", "!", "?", ";", ":")
 SLOT_BITS = 20
 #: Marks the piece that begins a text, which has no space before it; a text that holds it is not cut.
 FIRST = "\0"
@@ -148,16 +154,34 @@ class Counter:
         names = sorted(self.ranks.special, key=len, reverse=True)
         self.split = re.compile("|".join(map(re.escape, names))) if names else None
 
-    def _learn(self, new: list[str]) -> dict[str, int]:
-        """Counts of pieces (keys as in `pieces`), all merged in one ragged batch per slice."""
+    def _learn(self, new: set[str]) -> dict[str, int]:
+        """Counts of pieces (keys as in `pieces`), all merged in ragged batches.
+
+        A plain word is one pre-token; a mark after it is one more of one byte, so the word is looked up on its own.
+        """
+        memo, words, marked, odd = self.memo, set(), [], []
+        for p in new:
+            if p.isascii() and p.isalpha():
+                words.add(p)
+            elif p[-1:] in MARKS and p[:-1].isalpha() and p.isascii():
+                marked.append(p)
+                if p[:-1] not in memo:
+                    words.add(p[:-1])
+            else:
+                odd.append(p)
         out = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
+        rest = list(words)
+        for i in range(0, len(rest), RAGGED):
+            part = rest[i:i + RAGGED]
+            out.update(zip(part, self.ranks.merged([b" " + p.encode() for p in part])[1].tolist(), strict=True))
+        for i in range(0, len(odd), RAGGED):
+            part = odd[i:i + RAGGED]
             found = [PATTERN.findall(p if p[:1] == "\n" else p[1:] if p[:1] == FIRST else " " + p) if p else [" "] for p in part]
-            raw = [t.encode() for f in found for t in f]
-            n = self.ranks.merged(raw)[1] if raw else np.zeros(0, np.int64)
-            per = np.add.reduceat(n, np.cumsum([0, *[len(f) for f in found[:-1]]])) if raw else []
-            out.update(zip(part, map(int, per), strict=True))
+            n = self.ranks.merged([t.encode() for f in found for t in f])[1]
+            out.update(zip(part, segment_sums(n, offsets([len(f) for f in found])).tolist(), strict=True))
+        for p in marked:
+            n = out.get(p[:-1])
+            out[p] = (memo[p[:-1]] if n is None else n) + 1
         return out
 
     def _plain(self, text: str) -> int:
@@ -182,15 +206,14 @@ class Counter:
                     got[0] = FIRST + got[0]
                 mine += got if got[0] else got[1:]
             cut.append(mine)
-        new = set().union(*cut) - self.memo.keys()
-        learnt = self._learn(list(new))
+        learnt = self._learn(set().union(*cut) - self.memo.keys())
+        look = _Either(self.memo, learnt).__getitem__
+        out = [extra[k] + sum(map(look, c)) for k, c in enumerate(cut)]
         if len(self.memo) + len(learnt) > MEMO:
             self.memo = {}
-        known = self.memo
         if len(learnt) <= MEMO:
-            known.update((k, v) for k, v in learnt.items() if len(k) <= LONG)
-        look = _Either(known, learnt)
-        return [extra[k] + sum(map(look.__getitem__, c)) for k, c in enumerate(cut)]
+            self.memo.update((k, v) for k, v in learnt.items() if len(k) <= LONG)
+        return out
 
 
 class _Either(dict):
