@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from echofold.llm import near_dups, token_counts  # noqa: F401
+from echofold.llm import near_dups, quality, token_counts  # noqa: F401
 from echofold.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
