@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.bpe import Counter
+from echofold.llm.bpe import counter
 from echofold.llm.common import slices, small_batches, texts
 from echofold.llm.registry import query, table
 
@@ -26,11 +26,11 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     small_batches(docs.sparkSession)
 
     def run(batches):
-        counter = Counter(vocabulary)
+        count = counter(vocabulary)
         for b in batches:
             text, n = texts(b), []
             for i, j in slices([len(t) for t in text], CHARS):
-                n += counter(text[i:j])
+                n += count(text[i:j])
             size = pa.array([len(t.encode()) for t in text], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                                              ["doc_id", "n_bytes", "n_tokens", "over_limit"])
