@@ -37,7 +37,7 @@ WORDS = 5
 COORDS = 64
 MATCHES = 39
 #: Shingles that a chunk of a cluster holds, about; what one side of a comparison weighs.
-CHUNK = 60_000
+CHUNK = 200_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 2**64, 512, dtype=np.uint64)
