@@ -209,7 +209,7 @@ class Counter:
                     got[0] = FIRST + got[0]
                 mine += got if got[0] else got[1:]
             cut.append(mine)
-        learnt = self._learn(set().union(*cut) - self.memo.keys())
+        learnt = self._learn(set().union(*cut).difference(self.memo))
         look = _Either(self.memo, learnt).__getitem__
         out = [extra[k] + sum(map(look, c)) for k, c in enumerate(cut)]
         if len(self.memo) + len(learnt) > MEMO:

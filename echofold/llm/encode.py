@@ -101,7 +101,7 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text without special tokens, little-endian, `kind` wide."""
         cut = [self._cut(t) for t in texts]
-        learnt = self._learn(set().union(*[c for c in cut if c is not None]) - self.memo.keys())
+        learnt = self._learn(set().union(*[c for c in cut if c is not None]).difference(self.memo))
         look = _Either(self.memo, learnt).__getitem__
         whole = iter(self._whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
         out = [next(whole) if c is None else b"".join(map(look, c)) for c in cut]

@@ -57,7 +57,7 @@ class WordHashes:
         self.memo, self.most = {}, most
 
     def __call__(self, words: list[list[bytes]]) -> np.ndarray:
-        new = set().union(*words) - self.memo.keys()
+        new = set().union(*words).difference(self.memo)
         if len(self.memo) + len(new) > self.most:
             self.memo = {}
             new = set().union(*words)

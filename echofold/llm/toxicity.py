@@ -26,10 +26,12 @@ from echofold.llm.common import crc_mod, labelled_sample, offsets, segment_sums,
 from echofold.llm.near_dups import WordHashes
 from echofold.llm.registry import query, table
 
-#: Labelled documents of each class that are fitted on, distinct words kept, and of them the rarest allowed.
+#: Labelled documents of each class that are fitted on; words kept at most, in how many documents and with what log odds at least.
 SAMPLE = 2_500
-WORDS_MOST, WORDS_LEAST = 50_000, 3
-ROUNDS, RATE, RIDGE = 400, 0.15, 2e-4
+WORDS_MOST, WORDS_LEAST, ODDS_LEAST = 50_000, 5, 1.0
+ROUNDS, RATE, RIDGE = 200, 0.2, 2e-4
+#: Prior of the bias: log odds of a sentence none of whose words the model knows.
+BIAS = -9.0
 #: A sentence is marked as toxic from this probability on.
 SENTENCE = 0.5
 MEMO = 500_000
@@ -90,12 +92,12 @@ def fit(rows: list[tuple[int, list[int], bytes]]) -> tuple[dict[int, float], flo
     word = np.concatenate([np.frombuffer(r[2], dtype=np.int64) for r in rows])
     of_sentence = np.repeat(np.arange(len(size)), size)
     # A word's support is the number of documents that hold it; the most telling by their odds stay.
-    pair = np.unique(np.stack([of_doc[of_sentence], np.unique(word, return_inverse=True)[1]]), axis=1)
-    vocab = np.unique(word)
-    n1 = np.bincount(pair[1], weights=y[pair[0]], minlength=len(vocab))
-    n0 = np.bincount(pair[1], minlength=len(vocab)) - n1
+    vocab, code = np.unique(word, return_inverse=True)
+    pair = np.unique(of_doc[of_sentence] * len(vocab) + code)
+    n1 = np.bincount(pair % len(vocab), weights=y[pair // len(vocab)], minlength=len(vocab))
+    n0 = np.bincount(pair % len(vocab), minlength=len(vocab)) - n1
     odds = np.abs(np.log((n1 + 1) / (y.sum() + 2)) - np.log((n0 + 1) / ((1 - y).sum() + 2)))
-    ok = np.flatnonzero(n1 + n0 >= WORDS_LEAST)
+    ok = np.flatnonzero((n1 + n0 >= WORDS_LEAST) & (odds >= ODDS_LEAST))
     ok = np.sort(ok[np.argsort(-odds[ok], kind="stable")[:WORDS_MOST]])
     kept = vocab[ok]
     at = np.searchsorted(kept, word)
@@ -103,7 +105,7 @@ def fit(rows: list[tuple[int, list[int], bytes]]) -> tuple[dict[int, float], flo
     hit = kept[at] == word if len(kept) else np.zeros(len(word), bool)
     col, row = at[hit], of_sentence[hit]
     sentence_off, doc_off = len(size), offsets([len(r[1]) for r in rows])
-    w, b = np.zeros(len(kept)), -6.0
+    w, b = np.zeros(len(kept)), BIAS
     m, v, mb, vb = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     for t in range(1, ROUNDS + 1):
@@ -114,7 +116,7 @@ def fit(rows: list[tuple[int, list[int], bytes]]) -> tuple[dict[int, float], flo
         up = np.where(y == 1, np.exp(none) / -np.expm1(none), -1.0) * weight
         g_s = up[of_doc] * p
         g = np.bincount(col, weights=g_s[row], minlength=len(kept)) - RIDGE * w
-        gb = g_s.sum() - RIDGE * 0.1 * (b + 6.0)
+        gb = g_s.sum() - RIDGE * (b - BIAS)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w += RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -142,7 +144,7 @@ class Scorer:
         spans = sentence_spans(text)
         ws = [set(words(text[x:z])) for x, z in spans]
         every = set().union(*ws)
-        new = every - self.memo.keys()
+        new = every.difference(self.memo)
         if len(self.memo) + len(new) > MEMO:
             self.memo, new = {}, every
         if new:
