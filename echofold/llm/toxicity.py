@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's probability is a logistic
-function of its distinct words, a document's the noisy-or of its sentences:
+function of its distinct words and their stems, a document's the noisy-or of its sentences:
 1 - prod(1 - p). Only documents carry labels; the gradient of their likelihood
 flows back through the noisy-or to the sentences, and so to the words, which
 afterwards point to the sentences at fault.
@@ -29,11 +29,13 @@ from echofold.llm.registry import query, table
 #: Labelled documents of each class that are fitted on; words kept at most, in how many documents and with what log odds at least.
 SAMPLE = 2_500
 WORDS_MOST, WORDS_LEAST, ODDS_LEAST = 50_000, 5, 1.0
-ROUNDS, RATE, RIDGE = 200, 0.2, 2e-4
+ROUNDS, RATE, RIDGE = 300, 0.2, 5e-5
 #: Prior of the bias: log odds of a sentence none of whose words the model knows.
 BIAS = -9.0
 #: A sentence is marked as toxic from this probability on.
 SENTENCE = 0.5
+#: Lengths of the beginnings of words that are features beside the word.
+STEMS = (4, 5)
 MEMO = 500_000
 _END = re.compile(r"[.!?]+\s+|\n+")
 _EDGE = b".,;:!?\"'()[]{}|*#$%&<>-_/\\"
@@ -56,6 +58,12 @@ def words(sentence: str) -> list[bytes]:
     return [w for w in (x.strip(_EDGE) for x in sentence.lower().encode("utf-8", "replace").split()) if w]
 
 
+def features(word: bytes) -> list[bytes]:
+    """The word and its beginnings of `STEMS` characters, for languages that inflect; always as many, empty where too short."""
+    text = word.decode("utf-8", "replace")
+    return [word, *[b"\0" + text[:n].encode("utf-8", "replace") if len(text) > n else b"" for n in STEMS]]
+
+
 @lru_cache(maxsize=1)
 def hashes() -> WordHashes:
     return WordHashes()
@@ -68,8 +76,8 @@ def _bags(batches):
         y, text = b.column(0).to_pylist(), texts(b)
         for i, j in slices([len(t) for t in text], 2_000_000):
             docs = [[sorted(set(words(t[x:z]))) for x, z in sentence_spans(t)] for t in text[i:j]]
-            flat = [look(d).astype(np.int64) if d else np.zeros(0, np.int64) for d in docs]
-            yield pa.RecordBatch.from_arrays([pa.array(y[i:j], pa.int32()), pa.array([[len(s) for s in d] for d in docs], pa.list_(pa.int32())),
+            flat = [look([[f for w in s for f in features(w)] for s in d]).astype(np.int64) if d else np.zeros(0, np.int64) for d in docs]
+            yield pa.RecordBatch.from_arrays([pa.array(y[i:j], pa.int32()), pa.array([[len(s) * (1 + len(STEMS)) for s in d] for d in docs], pa.list_(pa.int32())),
                                               pa.array([f.tobytes() for f in flat], pa.binary())], ["y", "sizes", "words"])
 
 
@@ -116,7 +124,7 @@ def fit(rows: list[tuple[int, list[int], bytes]]) -> tuple[dict[int, float], flo
         up = np.where(y == 1, np.exp(none) / -np.expm1(none), -1.0) * weight
         g_s = up[of_doc] * p
         g = np.bincount(col, weights=g_s[row], minlength=len(kept)) - RIDGE * w
-        gb = g_s.sum() - RIDGE * (b - BIAS)
+        gb = g_s.sum() - 40 * RIDGE * (b - BIAS)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w += RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -134,9 +142,10 @@ class Scorer:
         self.bias, self.memo = bias, {}
 
     def _weights(self, new: list[bytes]) -> None:
-        h = hashes()([new]).astype(np.int64)
+        h = hashes()([[f for x in new for f in features(x)]]).astype(np.int64)
         at = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
         w = np.where(self.keys[at] == h, self.w[at], 0.0) if len(self.keys) else np.zeros(len(h))
+        w = w.reshape(len(new), -1).sum(axis=1)
         self.memo.update(zip(new, w.tolist(), strict=True))
 
     def __call__(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
