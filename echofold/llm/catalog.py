@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from echofold.llm import decontaminate, language_id, near_dups, packing, quality, token_counts, token_files, toxicity  # noqa: F401
+from echofold.llm import decontaminate, language_id, near_dups, packing, quality, token_counts, token_files, toxicity, url_filter  # noqa: F401
 from echofold.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
