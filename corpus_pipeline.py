@@ -1,12 +1,53 @@
-"""Corpus pipeline: the stages in order, each on what its predecessor kept."""
+"""Corpus pipeline: quality rules, near-duplicates, benchmark decontamination, personal data, packing.
+
+Each stage works on all its predecessor kept and takes effect: rejected
+documents, further copies and contaminated documents go, personal data is replaced in
+the texts, and the last stage gives the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from echofold.llm.common import written
+from echofold.llm.decontaminate import decontaminate
+from echofold.llm.near_dups import one_of_each
+from echofold.llm.packing import pack
+from echofold.llm.pii import redact
+from echofold.llm.quality import keep_good
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact(docs.select(*COLUMNS))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
+#: A trained model and a tokenizer take part, which SQL cannot express.
 ORACLE_SQL = None
 
 

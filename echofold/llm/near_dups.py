@@ -123,11 +123,11 @@ def class_key(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def _sign(vector: str, coords: int):
+def _sign(coords: int):
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            ids, text = b.column(0), byte_texts(b)
+            ids, text, text_key = b.column(0), byte_texts(b), b.column(2)
             for i, j in slices([len(t) for t in text], 2_000_000):
                 words = [words_of(t) for t in text[i:j]]
                 h, off, _ = shingles(words, hashes)
@@ -135,16 +135,17 @@ def _sign(vector: str, coords: int):
                 size = np.diff(off)
                 key = pa.array([class_key(w) if w else None for w in words], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [ids[i:j], pa.array(size, pa.int64()), key, pa.array([s.tobytes() if n else None for s, n in zip(sig, size, strict=True)], pa.binary())],
-                    ["doc_id", "n_shingles", "key", "sig"])
+                    [ids[i:j], pa.array(size, pa.int64()), key, pa.array([s.tobytes() if n else None for s, n in zip(sig, size, strict=True)], pa.binary()), text_key[i:j]],
+                    ["doc_id", "n_shingles", "key", "sig", "text_key"])
     return run
 
 
 def signed(docs: DataFrame, coords: int = COORDS) -> DataFrame:
-    """(doc_id, n_shingles, key, sig) per row; key and sig are NULL for a text without words."""
+    """(doc_id, n_shingles, key, sig, text_key) per row; key and sig are NULL for a text without words."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_sign(kind, coords), f"doc_id {kind}, n_shingles long, key binary, sig binary")
+    return docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_key")).mapInArrow(
+        _sign(coords), f"doc_id {kind}, n_shingles long, key binary, sig binary, text_key long")
 
 
 def _post(coords: int):
@@ -292,7 +293,7 @@ def forest_edges(docs: DataFrame, table_: DataFrame, num: int, den: int, coords:
 
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
-    """Per row: (doc_id, n_shingles, component_id, kept); links are den * common >= num * union.
+    """Per row: (doc_id, n_shingles, component_id, kept, text_key); links are den * common >= num * union.
 
     component_id is the smallest id reachable over links, kept whether that is
     the row's own. A text without words is linked with nothing. Rows repeated
@@ -306,9 +307,23 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     named = ids.join(comp.withColumnRenamed("node", "key"), "key", "left").select("key", "lowest", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("lowest").alias("component_id"))
     found = named.join(least, "component").select("key", "component_id")
-    out = rows.select("doc_id", "n_shingles", "key").join(found, "key", "left")
+    out = rows.select("doc_id", "n_shingles", "key", "text_key").join(found, "key", "left")
     cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"), "text_key")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents with one of each near-duplicate group, all columns.
+
+    Rows repeated whole (id and text) are reduced to one as well; rows without an id stay.
+    """
+    kept = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    kept = written(kept, "kept")
+    again = kept.where("_n > 1 and _id is not null").limit(1).count()
+    out = docs.join(kept.drop("_n"), docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_key"]), "left_semi")
+    if not again:
+        return out
+    return out.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(out.where("doc_id is null"))
 
 
 SQL = """
@@ -336,4 +351,4 @@ FROM s JOIN r USING (doc_id)
 
 @query("op2_near_dups", SQL)
 def op2_near_dups(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
