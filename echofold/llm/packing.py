@@ -82,7 +82,7 @@ class Packer:
                 filled = self._fill(tier - n)
                 if filled is None:
                     self.rests.append((n, doc, first))
-                    break
+                    return  # all rests together do not fill it: they wait
                 self.windows.append((tier, [(doc, first, n), *filled]))
 
     def finish(self) -> None:
