@@ -209,27 +209,18 @@ class Counter:
                     got[0] = FIRST + got[0]
                 mine += got if got[0] else got[1:]
             cut.append(mine)
-        learnt = self._learn(set().union(*cut).difference(self.memo))
-        look = _Either(self.memo, learnt).__getitem__
-        out = [extra[k] + sum(map(look, c)) for k, c in enumerate(cut)]
+        every = set().union(*cut)
+        learnt = self._learn(every.difference(self.memo))
         if len(self.memo) + len(learnt) > MEMO:
-            self.memo = {}
-        if len(learnt) <= MEMO:
-            self.memo.update((k, v) for k, v in learnt.items() if len(k) <= LONG)
+            self.memo = {p: self.memo[p] for p in every if p in self.memo}
+        self.memo.update(learnt)
+        look = self.memo.__getitem__
+        out = [extra[k] + sum(map(look, c)) for k, c in enumerate(cut)]
+        for p in [p for p in learnt if len(p) > LONG]:
+            del self.memo[p]
         return out
 
 
-class _Either(dict):
-    """What was just learnt, then the memo."""
-
-    def __init__(self, memo: dict, learnt: dict):
-        super().__init__(learnt)
-        self.memo = memo
-
-    def __missing__(self, key):
-        return self.memo[key]
-
-
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
     """One counter for each vocabulary in a worker process, so that its memo lasts from task to task."""

@@ -101,14 +101,16 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text without special tokens, little-endian, `kind` wide."""
         cut = [self._cut(t) for t in texts]
-        learnt = self._learn(set().union(*[c for c in cut if c is not None]).difference(self.memo))
-        look = _Either(self.memo, learnt).__getitem__
+        every = set().union(*[c for c in cut if c is not None])
+        learnt = self._learn(every.difference(self.memo))
+        if len(self.memo) + len(learnt) > MEMO:
+            self.memo = {p: self.memo[p] for p in every if p in self.memo}
+        self.memo.update(learnt)
+        look = self.memo.__getitem__
         whole = iter(self._whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
         out = [next(whole) if c is None else b"".join(map(look, c)) for c in cut]
-        if len(self.memo) + len(learnt) > MEMO:
-            self.memo = {}
-        if len(learnt) <= MEMO:
-            self.memo.update((k, v) for k, v in learnt.items() if len(k) <= LONG)
+        for p in [p for p in learnt if len(p) > LONG]:
+            del self.memo[p]
         return out
 
     def arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,17 +119,6 @@ class Encoder:
         return np.frombuffer(b"".join(got), dtype=self.kind), offsets([len(g) // self.kind.itemsize for g in got])
 
 
-class _Either(dict):
-    """What was just learnt, then the memo."""
-
-    def __init__(self, memo: dict, learnt: dict):
-        super().__init__(learnt)
-        self.memo = memo
-
-    def __missing__(self, key):
-        return self.memo[key]
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary in a worker process."""
