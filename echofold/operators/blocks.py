@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofold.functions.columns import safe_div
-from echofold.operators.scan import fits, spread_over
+from echofold.operators.scan import spread_over
 
 EPS = 2.220446049250313e-16
 
 
 def block_average(df: DataFrame, by: list[str], block: Column, n_cols: Column, value: str = "dtau", coh: str = "coh",
                   coh_thr: float = 0.3, min_coverage: float = 0.3, cols_per_look: int = 15,
-                  within: list[str] | None = None, bounded: bool | None = True) -> DataFrame:
+                  within: list[str] | None = None, bounded: bool = True) -> DataFrame:
     """Coherence-weighted block mean with scatter, Kish sample size and error.
 
     `by` is the row of the output besides the block (pair and bin), `n_cols`
@@ -21,14 +21,12 @@ def block_average(df: DataFrame, by: list[str], block: Column, n_cols: Column, v
     mean, so nothing cancels. A block row is bounded by the block size, so its
     mean is attached by a window: one exchange, none at all when `within` names
     the tile keys the samples already share. Where blocks may hold any number
-    of samples, bounded=None looks, and large ones are summed map-side first.
+    of samples, bounded=False sums them map-side first.
     """
     keys = [*(within or []), *by, "block"]
     w = F.when(F.col(value).isNotNull() & (F.col(coh) >= coh_thr), F.col(coh)).otherwise(F.lit(0.0))
     s = df.withColumn("block", block).withColumn("_n", n_cols).select(
         *keys, "_n", w.alias("_w"), F.coalesce(F.col(value), F.lit(0.0)).alias("_d"), F.col(coh).alias("_coh"))
-    if bounded is None:
-        bounded = fits(s, keys)
     s = spread_over(s, keys, {"_a": F.sum("_w"), "_b": F.sum(F.col("_w") * F.col("_d"))}, bounded)
     s = s.withColumn("_mu", F.col("_b") / F.greatest(F.col("_a"), F.lit(EPS)))
     dev = F.col("_d") - F.col("_mu")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echofold.functions.columns import safe_div
-from echofold.operators.scan import Scan, fits, ordered
+from echofold.operators.scan import Scan, join_groups, ordered
 from echofold.params import ROWS_PER_TILE
 
 POLICIES = ("null", "extrap", "hold", "nearest")
@@ -18,7 +18,7 @@ def _line(x: Column, x0: Column, v0: Column, x1: Column, v1: Column) -> Column:
 
 
 def interp_join(left: DataFrame, right: DataFrame, on: str, value: str, by=(), policy: str = "null",
-                out: str | None = None, rows: int = ROWS_PER_TILE, bounded: bool | None = None) -> DataFrame:
+                out: str | None = None, rows: int = ROWS_PER_TILE, bounded: bool = False) -> DataFrame:
     """Linear interpolation of right.value, sorted by `on`, at left.`on`, per `by`.
 
     Outside the table: 'null' gives NULL, 'hold' the end value, 'extrap' the
@@ -35,8 +35,6 @@ def interp_join(left: DataFrame, right: DataFrame, on: str, value: str, by=(), p
     if not by:
         left, right = left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0))
     x = F.col(on).cast("double")
-    if bounded is None:
-        bounded = fits(left.select(*grp).unionByName(right.select(*grp)), grp, rows)
     table = (right.where(x.isNotNull() & F.col(value).isNotNull())
              .groupBy(*grp, x.alias("_x")).agg(F.avg(value).alias("_v")))
     point = [F.col("_x").alias("x"), F.col("_v").alias("v")]
@@ -120,7 +118,7 @@ def read_at(df: DataFrame, x: str, v: str, at: float | Column, by: list[str], ou
 
 
 def tide_rate(keys: DataFrame, tide: DataFrame, ts: str, value: str, by=(), half_step: float | None = None,
-              out: str = "rate", rows: int = ROWS_PER_TILE) -> DataFrame:
+              out: str = "rate", rows: int = ROWS_PER_TILE, bounded: bool = False) -> DataFrame:
     """Rate of change of a tabulated series at given times.
 
     With `half_step`: central difference of the interpolated series. Without:
@@ -139,10 +137,9 @@ def tide_rate(keys: DataFrame, tide: DataFrame, ts: str, value: str, by=(), half
         keys, tide = keys.withColumn("_all", F.lit(0)), tide.withColumn("_all", F.lit(0))
     one = F.lit(1).cast("long")
     pt = F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))
-    bounded = fits(keys.select(*grp).unionByName(tide.select(*grp)), grp, rows)
     table = ordered(tide, grp, ts, [Scan("_i", one, "sum"), Scan("_p", pt, "prev"), Scan("_f", pt, "follow")], bounded, rows)
     size = tide.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"))
-    table = table.join(size, grp).select(*grp, F.col(ts).alias("_x"), F.lit(1).alias("_is_point"), F.when(
+    table = join_groups(table, size, grp).select(*grp, F.col(ts).alias("_x"), F.lit(1).alias("_is_point"), F.when(
         (F.col("_i") >= 3) & (F.col("_i") <= F.col("_n") - 2),
         safe_div(F.col("_f.v") - F.col("_p.v"), F.col("_f.t") - F.col("_p.t"))).alias("_r"))
     keep = [c for c in keys.columns if c != "_all"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from echofold.functions.columns import safe_div
 from echofold.operators.quantiles import medians, robust_scale
-from echofold.operators.scan import Scan, ordered
+from echofold.operators.scan import Scan, join_groups, ordered
 from echofold.params import ROWS_PER_TILE
 
 
@@ -85,7 +85,7 @@ def build_change(a: DataFrame, b: DataFrame, keys: list[str], by: list[str], v:
     z = j.withColumn("z", F.abs(F.col("_va") - F.col("_vb")) / sig).where("z is not null")
     med = medians(z, by, "z", "median_z")
     top = z.groupBy(*by).agg(F.max("z").alias("max_z"))
-    return med.join(top, by)
+    return join_groups(med, top, by)
 
 
 def project_on_track(points: DataFrame, tracks: DataFrame, point_id: str = "site", chunk: int = 2000, rows: int = ROWS_PER_TILE) -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact order statistics for groups of any size.
 
-For groups too large for one task, equal values are counted first, the counts
-are accumulated along the value, and the rows that hold the wanted ranks are
-picked; no such group is gathered anywhere.
+Equal values are counted first, the counts are accumulated along the value, and
+the rows that hold the wanted ranks are picked; no group is gathered anywhere, and
+the formula does not depend on the size of a group.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echofold.operators.scan import Scan, fits, ordered, scan
+from echofold.operators.scan import Scan, join_groups, ordered
 from echofold.params import MAD_SCALE, ROWS_PER_TILE
 
 
@@ -23,23 +23,21 @@ def _rank(n: Column, p: float, method: str) -> Column:
 
 
 def quantiles(df: DataFrame, by: list[str], v: str, probs: dict[str, float], method: str = "linear",
-              rows: int = ROWS_PER_TILE, bounded: bool | None = None) -> DataFrame:
+              rows: int = ROWS_PER_TILE, bounded: bool = False) -> DataFrame:
     """Exact quantiles of `v` per group, one column per entry of `probs`, and the count n.
 
     method 'linear' interpolates at (n-1)p, 'midpoint' uses mid-point plotting
     positions n*p - 1/2. Interpolation is between the two neighbouring ranks.
-    Groups within `rows` use the built-in percentile.
+    A caller who knows that groups are small (bounded) gets the built-in percentile.
     """
     ok = df.where(F.col(v).isNotNull())
-    if bounded is None:
-        bounded = fits(ok, by, rows)
     if bounded and method == "linear":
         return ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile(v, F.lit(p)).alias(q) for q, p in probs.items()])
     counts = ok.groupBy(*by, v).agg(F.count(F.lit(1)).alias("_c"))
     spec = [Scan("_upto", F.col("_c"), "sum")]
-    upto = ordered(counts, by, v, spec, True) if bounded else scan(counts, by, v, spec, rows)
+    upto = ordered(counts, by, v, spec, bounded, rows)
     total = upto.groupBy(*by).agg(F.max("_upto").alias("_n"))
-    ranked = upto.join(total, by)
+    ranked = join_groups(upto, total, by)
     first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
     picks = []
     for name, p in probs.items():
@@ -57,15 +55,14 @@ def quantiles(df: DataFrame, by: list[str], v: str, probs: dict[str, float], met
 
 
 def medians(df: DataFrame, by: list[str], v: str, out: str = "med", rows: int = ROWS_PER_TILE,
-            bounded: bool | None = None) -> DataFrame:
+            bounded: bool = False) -> DataFrame:
     return quantiles(df, by, v, {out: 0.5}, rows=rows, bounded=bounded)
 
 
-def robust_scale(df: DataFrame, by: list[str], v: str, rows: int = ROWS_PER_TILE) -> DataFrame:
+def robust_scale(df: DataFrame, by: list[str], v: str, rows: int = ROWS_PER_TILE, bounded: bool = False) -> DataFrame:
     """Median and scaled MAD about the median per group: columns n, med, sd."""
     ok = df.where(F.col(v).isNotNull()).select(*by, v)
-    bounded = fits(ok, by, rows)
     med = medians(ok, by, v, "med", rows, bounded)
-    dev = ok.join(med.select(*by, "med"), by).select(*by, F.abs(F.col(v) - F.col("med")).alias("_dev"))
+    dev = join_groups(ok, med.select(*by, "med"), by).select(*by, F.abs(F.col(v) - F.col("med")).alias("_dev"))
     mad = medians(dev, by, "_dev", "_mad", rows, bounded).select(*by, "_mad")
-    return med.join(mad, by).select(*by, "n", "med", (F.col("_mad") * MAD_SCALE).alias("sd"))
+    return join_groups(med, mad, by).select(*by, "n", "med", (F.col("_mad") * MAD_SCALE).alias("sd"))

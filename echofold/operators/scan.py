@@ -1,10 +1,10 @@
 """Ordered computations over groups of any size.
 
-A plain window sends a whole group to one task. Where the largest group is
-within what a task should hold, that is the cheapest plan and `ordered` takes
-it. Beyond, a group is cut into tiles along its order, each tile is scanned on
-its own, and one summary row per tile carries the running state across tiles:
-the same result, with a tile as the largest piece of work.
+A group is cut into tiles along its order, each tile is scanned on its own, and
+one summary row per tile carries the running state across tiles: a tile is the
+largest piece of work. Nothing looks at the data to choose between plans; only a
+caller who knows that groups are small (`bounded=True`) gets a plain window. NULL
+is a group like any other, so all joins on groups are null-safe.
 """
 
 from __future__ import annotations
@@ -58,58 +58,80 @@ def _running(w: WindowSpec) -> tuple[WindowSpec, WindowSpec]:
     return w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def tile(df: DataFrame, by, order: str, rows: int = ROWS_PER_TILE, fan: int = 64) -> DataFrame:
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on group keys, NULL equal to NULL; the keys of the left side stay."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(r, on, how).drop(*[f"_r_{c}" for c in keys])
+
+
+def _place(df: DataFrame, c: str) -> Column:
+    """A double that never falls where the column rises; what shares it stays in one tile.
+
+    Text counts by its first six bytes.
+    """
+    kind = dict(df.dtypes)[c]
+    if kind in ("string", "binary"):
+        six = F.rpad(F.hex(F.substring(F.col(c).cast("binary"), 1, 6)), 12, "0")
+        return F.conv(six, 16, 10).cast("double")
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    return F.col(c).cast("timestamp" if kind == "timestamp_ntz" else kind).cast("double")
+
+
+def _below(x: Column) -> Column:
+    """How many cuts lie below a place."""
+    return F.coalesce(F.size(F.filter("_q", lambda c: c < x)), F.lit(0))
+
+
+def tile(df: DataFrame, by, order, rows: int = ROWS_PER_TILE, fan: int = 64) -> DataFrame:
     """Add a tile number, increasing along `order` within each group, tiles of at most `rows` rows.
 
     Groups and tiles that are too large are cut at approximate quantiles of
-    their own `order` until none is left that can be cut (rows at one and the
-    same position stay together). The cuts are checkpointed before they are
-    used and so is the frame: a lost executor cannot mix two sets of cuts, and
-    the branches that read the tiles read them once written.
+    their own first order column until none is left that can be cut; a tile
+    all of whose rows share that column is cut by the next one. Rows that agree in all
+    order columns have no order and stay together, as do rows with a NULL there. The cuts are
+    checkpointed before they are used and so is the frame: a lost executor cannot mix two sets of cuts.
     """
-    by = _names(by)
-    x = F.col(order).cast("double")
+    by, order = _names(by), _names(order)
     t = df.withColumn(TILE, F.lit(0).cast("long"))
     keys = [*by, TILE]
-    while True:
-        size = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-        over = cut_lineage(size.where((F.col("_n") > rows) & (F.col("_lo") < F.col("_hi"))).select(*keys, "_lo", "_n"))
-        pieces = over.agg(F.max(F.ceil(F.col("_n") / rows))).first()[0]
-        if pieces is None:
-            return t
-        k = int(min(max(pieces, 2), fan))
-        cuts = F.percentile_approx(x, [q / k for q in range(1, k)], F.lit(20 * fan))
-        q = t.join(over, keys).groupBy(*keys).agg(F.array_sort(F.array_distinct(F.concat(F.array(F.first("_lo")), cuts))).alias("_q"))
-        d = t.join(cut_lineage(q), keys, "left")
-        below = F.coalesce(F.size(F.filter("_q", lambda c: c < x)), F.lit(0))
-        t = cut_lineage(d.withColumn(TILE, F.col(TILE) * (2 * fan) + F.when(F.col("_q").isNotNull(), below).otherwise(0)).drop("_q"))
-
-
-def tiled(df: DataFrame, by, order: str, rows: int = ROWS_PER_TILE) -> DataFrame:
+    for level, c in enumerate(order):
+        x = _place(df, c)
+        # All earlier columns must be one and the same value.
+        alone = F.lit(True)
+        for e in order[:level]:
+            alone = alone & F.coalesce(F.min(e) == F.max(e), F.lit(False)) & (F.count(e) == F.count(F.lit(1)))
+        while True:
+            size = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), alone.alias("_ok"))
+            over = cut_lineage(size.where((F.col("_n") > rows) & (F.col("_lo") < F.col("_hi")) & F.col("_ok")).select(*keys, "_lo", "_n"))
+            pieces = over.agg(F.max(F.ceil(F.col("_n") / rows))).first()[0]
+            if pieces is None:
+                break
+            k = int(min(max(pieces, 2), fan))
+            cuts = F.percentile_approx(x, [q / k for q in range(1, k)], F.lit(20 * fan))
+            q = join_groups(t, over, keys).groupBy(*keys).agg(F.array_sort(F.array_distinct(F.concat(F.array(F.first("_lo")), cuts))).alias("_q"))
+            d = join_groups(t, cut_lineage(q), keys, "left")
+            below = _below(x)
+            t = cut_lineage(d.withColumn(TILE, F.col(TILE) * (k + 1) + F.when(F.col("_q").isNotNull(), below).otherwise(0)).drop("_q"))
+    return t
+
+
+def tiled(df: DataFrame, by, order, rows: int = ROWS_PER_TILE) -> DataFrame:
     """The frame with tiles; a frame that has them keeps them."""
     return df if TILE in df.columns else tile(df, by, order, rows)
 
 
-def fits(df: DataFrame, by, rows: int = ROWS_PER_TILE) -> bool:
-    """Whether the largest group is small enough for one task (one counting job)."""
-    top = df.groupBy(*_names(by)).count().agg(F.max("count")).first()[0]
-    return (top or 0) <= rows
-
-
-def checked_broadcast(df: DataFrame, limit: int = 500_000) -> DataFrame:
-    """Broadcast hint for a table of at most `limit` rows (one counting job that stops there), else the table as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def scan(df: DataFrame, by, order, specs: list[Scan], rows: int = ROWS_PER_TILE) -> DataFrame:
     """Add the running quantities `specs`, ordered by `order` within `by`.
 
-    `order` is one column or a list; the first one places the tiles and must
-    not be NULL, the others break ties (rows sharing the first stay in a tile).
-    A frame that is tiled already keeps its tiles.
+    `order` is one column or a list, the later ones break ties. A frame that is
+    tiled already keeps its tiles. NULL orders come first, as in a window.
     """
     by, order = _names(by), _names(order)
-    t = tiled(df, by, order[0], rows)
+    t = tiled(df, by, order, rows)
     key = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
     w = Window.partitionBy(*by, TILE).orderBy(*order)
     up, before = _running(w)
@@ -147,7 +169,7 @@ def scan(df: DataFrame, by, order, specs: list[Scan], rows: int = ROWS_PER_TILE)
             raise ValueError(f"unknown scan kind {s.kind!r}")
 
     summary = t.groupBy(*by, TILE).agg(*totals).select(*by, TILE, *carries)
-    out = t.select("*", *local).join(summary, by + [TILE])
+    out = join_groups(t.select("*", *local), summary, by + [TILE])
     cols = []
     for i, s in enumerate(specs):
         loc, car = F.col(f"_l{i}"), F.col(f"_c{i}")
@@ -176,32 +198,30 @@ def moving(df: DataFrame, by, axis: str, aggs: dict[str, Column | tuple], before
     width = max(width, before + after + 1)
     here = F.floor(F.col(axis) / width)
     first, last = F.floor((F.col(axis) - after) / width), F.floor((F.col(axis) + before) / width)
-    wide = df.withColumn(HALO, F.explode(F.sequence(first, last))).withColumn("_core", F.col(HALO) == here)
+    wide = df.withColumn(HALO, F.explode(F.coalesce(F.sequence(first, last), F.array(F.lit(None).cast("bigint"))))).withColumn("_core", F.col(HALO).eqNullSafe(here))
     w = Window.partitionBy(*by, HALO).orderBy(F.col(axis).cast("long")).rangeBetween(-before, after)
     out = wide.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
     return out.where("_core").drop(HALO, "_core")
 
 
 def rows_around(df: DataFrame, by, order, aggs: dict[str, Column], before: int, after: int,
-                rows: int = ROWS_PER_TILE) -> DataFrame:
+                rows: int = ROWS_PER_TILE, bounded: bool = False) -> DataFrame:
     """Like `moving`, by row position along `order` instead of an integer axis."""
     by, order = _names(by), _names(order)
-    if fits(df, by, rows):
+    if bounded:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-before, after)
         return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
     numbered = scan(df, by, order, [Scan("_pos", F.lit(1).cast("long"), "sum")], rows)
     return moving(numbered, by, "_pos", aggs, before, after, width=max(rows // 4, 1024)).drop("_pos")
 
 
-def ordered(df: DataFrame, by, order, specs: list[Scan], bounded: bool | None = None,
+def ordered(df: DataFrame, by, order, specs: list[Scan], bounded: bool = False,
             rows: int = ROWS_PER_TILE) -> DataFrame:
-    """`scan`, or the plain window where every group fits one task.
+    """`scan`, or the plain window for a caller who knows that every group fits one task.
 
     bounded=True says so by construction: a trace has as many samples as the
-    fast-time axis, a line as many passes as it was driven. None looks.
+    fast-time axis, a line as many passes as it was driven.
     """
-    if bounded is None:
-        bounded = TILE not in df.columns and fits(df, by, rows)
     if not bounded:
         return scan(df, by, order, specs, rows)
     by, order = _names(by), _names(order)
@@ -223,4 +243,4 @@ def spread_over(df: DataFrame, by, aggs: dict[str, Column], bounded: bool) -> Da
     if bounded:
         w = Window.partitionBy(*by)
         return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
-    return df.join(df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), by)
+    return join_groups(df, df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), by)

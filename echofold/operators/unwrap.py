@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofold.functions.columns import wrap
-from echofold.operators.scan import TILE, Scan, fits, ordered, spread_over, tiled
+from echofold.operators.scan import TILE, Scan, ordered, spread_over, tiled
 from echofold.params import ROWS_PER_TILE
 
 
@@ -18,14 +18,12 @@ def reference_bin(surface: Column, t0: Column, dt: Column, nt: Column, offset: f
     return F.when((pos >= 0) & (pos <= nt - 1), F.round(pos).cast("int"))
 
 
-def settle(df: DataFrame, by, order: str, bounded: bool | None, rows: int) -> tuple[DataFrame, bool]:
-    """Decide once whether traces fit a task; if not, tile the frame for all scans to come."""
-    if bounded is None:
-        bounded = TILE not in df.columns and fits(df, by, rows)
+def settle(df: DataFrame, by, order: str, bounded: bool, rows: int) -> tuple[DataFrame, bool]:
+    """Traces that fit a task by construction stay as they are, others are tiled once for all scans to come."""
     return (df, True) if bounded else (tiled(df, by, order, rows), False)
 
 
-def steps(df: DataFrame, by: list[str], coh_thr: float, bounded: bool | None = True, rows: int = ROWS_PER_TILE,
+def steps(df: DataFrame, by: list[str], coh_thr: float, bounded: bool = True, rows: int = ROWS_PER_TILE,
           order: str = "bin") -> DataFrame:
     """Trusted wrapped steps along a trace: `coherent`, `step_ok`, `dphi` (0 where not trusted)."""
     coherent = F.coalesce(F.col("coh") >= coh_thr, F.lit(False))
@@ -37,7 +35,7 @@ def steps(df: DataFrame, by: list[str], coh_thr: float, bounded: bool | None = T
                         ).drop("_pc", "_pp")
 
 
-def last_valid_bin(stepped: DataFrame, by: list[str], max_gap: int, bounded: bool | None = True,
+def last_valid_bin(stepped: DataFrame, by: list[str], max_gap: int, bounded: bool = True,
                    rows: int = ROWS_PER_TILE, order: str = "bin") -> DataFrame:
     """Attach the last bin before the first run of more than `max_gap` untrusted steps.
 
@@ -54,7 +52,7 @@ def last_valid_bin(stepped: DataFrame, by: list[str], max_gap: int, bounded: boo
 
 
 def unwrap_from_reference(df: DataFrame, fc: Column | float, by: list[str], coh_thr: float = 0.3, max_gap: int = 20,
-                          sign: int = -1, bounded: bool | None = True, rows: int = ROWS_PER_TILE,
+                          sign: int = -1, bounded: bool = True, rows: int = ROWS_PER_TILE,
                           order: str = "bin") -> DataFrame:
     """Differential delay against the reference bin of each trace.
 

@@ -73,14 +73,14 @@ def phases(t):
 @query("unwrap_phase", keys="valid", ints="user_id bin", digits={"dtau": 7, "dtau_above_ref": 7}, sql=f"""
 WITH {I.EVENTS}, {PHASES} SELECT user_id, bin, coalesce(bin >= ref_bin, false) AND tau IS NOT NULL AS valid, CASE WHEN bin >= ref_bin THEN tau END AS dtau, CASE WHEN bin < ref_bin THEN tau END AS dtau_above_ref FROM un""")
 def _(t):
-    d = unwrap.unwrap_from_reference(phases(t), 1.0, ["user_id"], 0.3, 3, bounded=None)
+    d = unwrap.unwrap_from_reference(phases(t), 1.0, ["user_id"], 0.3, 3, bounded=False)
     return d
 
 
 @query("long_gap_truncation", ints="user_id last_bin", sql=f"WITH {I.EVENTS}, {PHASES} SELECT user_id, last_bin FROM lv")
 def _(t):
-    s = unwrap.steps(phases(t), ["user_id"], 0.3, bounded=None)
-    return unwrap.last_valid_bin(s, ["user_id"], 3, bounded=None).groupBy("user_id").agg(F.max("last_bin").alias("last_bin"))
+    s = unwrap.steps(phases(t), ["user_id"], 0.3, bounded=False)
+    return unwrap.last_valid_bin(s, ["user_id"], 3, bounded=False).groupBy("user_id").agg(F.max("last_bin").alias("last_bin"))
 
 
 @query("reference_bin", ints="event_id ref_bin", sql="""
@@ -99,7 +99,7 @@ v AS (SELECT m.*, sd, greatest(sw * sw / sw2 / 3, 1) AS ne, coverage >= 0.5 AS k
 SELECT line_id, block, coverage, CASE WHEN keep THEN mu END AS mean, CASE WHEN keep THEN sd END AS scatter, CASE WHEN keep THEN ne END AS n_eff, CASE WHEN keep THEN sd / sqrt(ne) END AS std, CASE WHEN keep THEN mc END AS coh FROM v""")
 def _(t):
     d = t.lineitem.select(F.col("l_linenumber").alias("line_id"), F.col("l_partkey").alias("col"), F.when(F.col("l_quantity") < 46, F.col("l_tax") * 10).alias("dtau"), (F.col("l_discount") * 10).alias("coh"))
-    return blocks.block_average(d, ["line_id"], F.floor(F.col("col") / 50), F.lit(220), coh_thr=0.35, min_coverage=0.5, cols_per_look=3, bounded=None)
+    return blocks.block_average(d, ["line_id"], F.floor(F.col("col") / 50), F.lit(220), coh_thr=0.35, min_coverage=0.5, cols_per_look=3, bounded=False)
 
 
 @query("block_geolocation", ints="line_id pass_idx block", digits={"gps_time_s": 1, "ref_y": 6, "v": 7}, sql=f"""

@@ -27,12 +27,14 @@ def local_session(cpus: int = 8, name: str = "echofold") -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names.
 
-    A folder of our own is set only where the session names none, which is the
-    case in single-machine tests.
+    A folder of our own is set only in local mode where the session names none,
+    which is the case in single-machine tests; on a cluster that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="echofold-ckpt-"))
     return df.checkpoint(eager=True)

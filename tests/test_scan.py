@@ -40,9 +40,23 @@ def test_tiled_scan_equals_window(skewed):
         np.testing.assert_allclose(a[k].astype(float), b[k].astype(float), atol=1e-9, err_msg=k)
 
 
-def test_size_check_chooses(skewed):
-    df, _ = skewed
-    assert scan.fits(df, "g", 500) and not scan.fits(df, "g", 499)
+def test_null_keys_null_orders_text_orders_and_hot_positions(spark):
+    """Tiled and plain agree for a NULL group, NULL places, text as the order, and a place that holds many rows."""
+    rows = [(None if i < 150 else "a" if i < 300 else "b", None if i % 37 == 0 else i % 50 if i % 3 else 7, i, float(i % 11)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, x int, id long, v double").repartition(4)
+    for order in (["x", "id"], ["s", "id"]):
+        d = df.withColumn("s", F.concat(F.lit("key-é-"), F.lpad(F.col("x").cast("string"), 3, "0")))
+        specs = [scan.Scan(k, F.col("v"), k) for k in KINDS]
+        a = scan.scan(d, "g", order, specs, rows=40).toPandas().sort_values("id")
+        b = scan.ordered(d, "g", order, specs, True).toPandas().sort_values("id")
+        assert len(a) == len(b) == 400
+        for k in KINDS:
+            np.testing.assert_allclose(a[k].astype(float), b[k].astype(float), atol=1e-9, err_msg=k)
+    assert scan.tile(df, "g", ["x", "id"], 40).groupBy("g", scan.TILE).count().agg(F.max("count")).first()[0] <= 40
+    m = {r.g: (r.n, r.med) for r in quantiles.medians(df, ["g"], "v", rows=5).collect()}
+    assert m == {r.g: (r.n, r.med) for r in quantiles.medians(df, ["g"], "v", bounded=True).collect()} and m[None][0] == 150
+    wide = scan.moving(df, "g", "x", {"m": F.count("v")}, 2, 2, width=10)
+    assert wide.count() == 400
 
 
 @pytest.mark.parametrize("rows", [60, 10 ** 6])
