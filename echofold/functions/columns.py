@@ -16,6 +16,11 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), None).otherwise(c)
 
 
+def power(re: Column, im: Column) -> Column:
+    """Squared magnitude of a sample, NULL where it is not finite."""
+    return finite(re * re + im * im)
+
+
 def safe_div(num: Column, den: Column) -> Column:
     """NULL where the denominator is zero (ANSI mode raises otherwise)."""
     return num / F.nullif(den, F.lit(0.0))

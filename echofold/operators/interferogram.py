@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echofold.functions.columns import conj_product
+from echofold.functions.columns import conj_product, finite
 
 COL_TILE = "col_tile"
 TRACE = ["line_id", "ref_idx", "sec_idx", "col"]
@@ -27,7 +27,7 @@ def explode_samples(pairs: DataFrame) -> DataFrame:
     names = ["ref_re", "ref_im", "sec_re", "sec_im"]
     keep = [c for c in pairs.columns if c not in names]
     z = pairs.select(*keep, F.posexplode(F.arrays_zip(*names)).alias("bin", "_s"))
-    return z.select(*keep, "bin", *[F.col(f"_s.{n}").cast("double").alias(n) for n in names])
+    return z.select(*keep, "bin", *[finite(F.col(f"_s.{n}")).alias(n) for n in names])
 
 
 def _reach(k: int) -> tuple[int, int]:
@@ -48,7 +48,7 @@ def multilook(samples: DataFrame, win: tuple[int, int] = (5, 15), within: list[s
     parts = [F.col(c) for c in ("ref_re", "ref_im", "sec_re", "sec_im")]
     good = F.lit(True)
     for p in parts:
-        good = good & p.isNotNull() & ~F.isnan(p)
+        good = good & finite(p).isNotNull()
     rr, ri, sr, si = parts
     re, im = conj_product(sr, si, rr, ri)
     zero = F.lit(0.0)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,20 +20,21 @@ PRODUCT_SCHEMA = {
 
 
 def read_products(spark: SparkSession, root: str, lines: list | None = None, tables: dict | None = None,
-                  key: str = "line_id") -> dict[str, DataFrame]:
-    """The tables of a product folder, only the needed columns, only the named lines.
+                  key: str = "line_id", suffix: str = "") -> dict[str, DataFrame]:
+    """The tables of a product folder (`root`/name + `suffix`), only the needed columns, only the named lines.
 
-    A missing column fails at once; NaN and infinity become NULL on the way in.
+    A missing column fails at once; NaN and infinity become NULL on the way in, in
+    numbers and within arrays of numbers.
     """
     out = {}
     for name, cols in (tables or PRODUCT_SCHEMA).items():
-        path = os.path.join(root, name)
-        df = spark.read.parquet(path if not path.startswith("/") or os.path.exists(path) else path + ".parquet")
+        df = spark.read.parquet(f"{root}/{name}{suffix}")
         missing = [c for c in cols if c not in df.columns]
         if missing:
             raise ValueError(f"{name}: required column(s) {missing} missing")
         kinds = dict(df.dtypes)
-        df = df.select(*[finite(F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in cols])
+        df = df.select(*[finite(F.col(c)).alias(c) if kinds[c] in ("double", "float")
+                         else F.transform(c, finite).alias(c) if kinds[c] in ("array<double>", "array<float>") else F.col(c) for c in cols])
         if lines is not None and key in cols:
             df = df.where(F.col(key).isin(list(lines)))
         out[name] = df
@@ -128,10 +128,14 @@ def parse_stations(lines: DataFrame, names: list[str], numeric: list[str], col:
 
 def read_stations(spark: SparkSession, path: str, names=("x", "y", "site"), numeric=("x", "y")) -> DataFrame:
     """Station table; a missing file is an empty table, not an error."""
-    if not path.startswith(("hdfs:", "s3", "abfs", "gs:")) and not os.path.exists(path):
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         schema = ", ".join(f"{n} {'double' if n in numeric else 'string'}" for n in names)
         return spark.createDataFrame([], schema)
-    return parse_stations(spark.read.text(path), list(names), list(numeric))
+    return parse_stations(lines, list(names), list(numeric))
 
 
 def pick_layer(picks: DataFrame, layer: str) -> DataFrame:
