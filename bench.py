@@ -21,7 +21,7 @@ HEADLINE = [
     "flagship", "network_epochs", "trend_and_driver", "gated_slope", "legendre_fit", "interp_tide_null", "repeat_interval",
     "nearest_match", "multilook", "complex_block_mean", "unwrap_phase", "block_weighted_mean", "pair_chain", "coherent_spectrum",
     "coherent_scan_jackknife", "jackknife_by_entity", "change_point", "kernel_profile", "robust_flags", "common_lag_fit",
-    "misfit_profile", "flexure_candidate_sweep", "rerun_diff", "pass_marginals",
+    "misfit_profile", "modulus_interval", "rerun_diff", "pass_marginals",
 ]
 
 

@@ -13,72 +13,69 @@ from echofold.params import MAD_SCALE, ROWS_PER_TILE
 from echofold.session import cut_lineage
 
 
-def _component(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Nodes of the largest connected component; the one with the smallest node on a tie."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        if (new == label).all():
-            break
-        label = new
-    touched = np.zeros(n, bool)
-    touched[i] = touched[j] = True
-    sizes = np.bincount(label[touched], minlength=n)
-    return touched & (label == int(np.argmax(sizes)))
-
-
-def _solve_once(i, j, y, w, use, n):
-    """Least squares for the largest component of the used pairs, with a zero-sum datum."""
-    if not use.any():
-        return None
-    reach = _component(i[use], j[use], n)
-    use = use & reach[i] & reach[j]
-    cols = np.flatnonzero(reach)
-    pos = np.full(n, -1)
-    pos[cols] = np.arange(len(cols))
-    m = int(use.sum())
-    A = np.zeros((m + 1, len(cols)))
-    root = np.sqrt(w[use])
-    A[np.arange(m), pos[i[use]]] = -root
-    A[np.arange(m), pos[j[use]]] = root
-    A[m] = 1.0
-    xk, _, rank, _ = np.linalg.lstsq(A, np.append(root * y[use], 0.0), rcond=None)
-    if rank < len(cols):
-        return None
-    x = np.full(n, np.nan)
-    x[cols] = xk
-    res = np.full(len(y), np.nan)
-    res[use] = x[j[use]] - x[i[use]] - y[use]
-    s2 = float(np.sum(w[use] * res[use] ** 2)) / max(1, m - (len(cols) - 1))
-    sd = np.full(n, np.nan)
-    sd[cols] = np.sqrt(np.abs(s2 * np.diagonal(np.linalg.inv(A.T @ A))))
-    return x, sd, res, reach, use
-
-
-def _invert(i, j, y, w, n, n_sigma, max_iter, min_pairs):
-    use = np.isfinite(y) & np.isfinite(w) & (w > 0)
-    if use.sum() < min_pairs:
-        return None
+def _reachable(link: np.ndarray) -> np.ndarray:
+    """Largest connected component of each graph of a batch (b, n, n): the one with the smallest node on a tie."""
+    n = link.shape[1]
+    reach = link | np.eye(n, dtype=bool)
+    for _ in range(max(1, int(np.ceil(np.log2(n))))):
+        reach = np.matmul(reach.astype(np.float32), reach.astype(np.float32)) > 0
+    root = reach.sum(axis=2).argmax(axis=1)
+    return reach[np.arange(len(link)), root] & link.any(axis=2)
+
+
+def _balance(i: np.ndarray, j: np.ndarray, y: np.ndarray, w: np.ndarray, n: int):
+    """Weighted least squares of a batch of networks over the same pairs, from their graph Laplacians.
+
+    y, w are (b, pairs), w = 0 for a pair that is out. Of each network the largest
+    component has values that add up to zero: L + ones/m is regular on it and has the same
+    solution. Returns x, sd (NaN off the component), residuals, and which pairs and nodes took part.
+    """
+    rows = np.arange(len(y))[:, None]
+    weight = np.zeros((len(y), n, n))
+    np.add.at(weight, (rows, i[None], j[None]), w)
+    weight = weight + weight.transpose(0, 2, 1)
+    nodes = _reachable(weight > 0)
+    part = (w > 0) & nodes[:, i] & nodes[:, j]
+    u = np.where(part, w, 0.0)
+    lap, flow = np.zeros((len(y), n, n)), np.zeros((len(y), n))
+    for a, c, sign in ((i, i, 1), (j, j, 1), (i, j, -1), (j, i, -1)):
+        np.add.at(lap, (rows, a[None], c[None]), sign * u)
+    np.add.at(flow, (rows, j[None]), u * np.where(part, y, 0.0))
+    np.add.at(flow, (rows, i[None]), -u * np.where(part, y, 0.0))
+    m = np.maximum(nodes.sum(axis=1), 1)
+    both = nodes[:, :, None] & nodes[:, None, :]
+    scale = np.maximum(np.trace(lap, axis1=1, axis2=2) / m, 1e-300)
+    full = lap + np.where(both, (scale / m)[:, None, None], 0.0) + np.eye(n) * np.where(nodes, 0.0, scale[:, None])[:, None, :]
+    inverse = np.linalg.inv(full)
+    x = np.einsum("bij,bj->bi", inverse, flow)
+    res = np.where(part, x[:, j] - x[:, i] - y, np.nan)
+    free = np.maximum(1, part.sum(axis=1) - (m - 1))
+    s2 = np.nansum(u * np.where(part, res, 0.0) ** 2, axis=1) / free
+    # The datum's own unit of precision belongs to the design: one row of ones.
+    spread = np.einsum("bii->bi", inverse) - (1 / (scale * m))[:, None] + (1 / m**2.0)[:, None]
+    sd = np.sqrt(np.abs(s2[:, None] * spread))
+    return np.where(nodes, x, np.nan), np.where(nodes, sd, np.nan), res, nodes, part
+
+
+def _robust(i, j, y, w, n, n_sigma: float, max_iter: int, min_pairs: int):
+    """`_balance` with pairs beyond n_sigma scaled MADs taken out round by round; and which networks stand."""
+    w = np.where(np.isfinite(y) & np.isfinite(w) & (w > 0), w, 0.0)
+    y = np.where(w > 0, y, 0.0)
+    alive = (w > 0).sum(axis=1) >= min_pairs
+    moving = alive.copy()
     for _ in range(max_iter):
-        got = _solve_once(i, j, y, w, use, n)
-        if got is None:
-            return None
-        res, use = got[2], got[4]
-        r = res[use]
-        s = MAD_SCALE * np.median(np.abs(r - np.median(r)))
-        bad = use & (np.abs(res) > n_sigma * s) if s > 0 else np.zeros_like(use)
-        if not bad.any():
+        at = np.flatnonzero(moving)
+        if not len(at):
             break
-        use = use & ~bad
-        if use.sum() < min_pairs:
-            return None
-    if use.sum() < min_pairs:
-        return None
-    got = _solve_once(i, j, y, w, use, n)
-    return got if got is not None and got[4].sum() >= min_pairs else None
+        _, _, res, _, part = _balance(i, j, y[at], w[at], n)
+        mid = np.nanmedian(np.where(part, res, np.nan), axis=1, keepdims=True)
+        s = MAD_SCALE * np.nanmedian(np.abs(np.where(part, res, np.nan) - mid), axis=1, keepdims=True)
+        bad = part & (s > 0) & (np.abs(res) > n_sigma * s)
+        w[at] = np.where(part & ~bad, w[at], 0.0)
+        moving[at] = bad.any(axis=1) & ((w[at] > 0).sum(axis=1) >= min_pairs)
+        alive[at] &= (w[at] > 0).sum(axis=1) >= min_pairs
+    got = _balance(i, j, y, w, n)
+    return got, alive & (got[4].sum(axis=1) >= min_pairs)
 
 
 def invert_network(df: DataFrame, row_key: list[str], i: str, j: str, d: str, w: str | None = None, n_sigma: float = 3.0,
@@ -102,22 +99,26 @@ def invert_network(df: DataFrame, row_key: list[str], i: str, j: str, d: str, w:
         ", epoch array<int>, x array<double>, x_std array<double>, i array<int>, j array<int>, resid array<double>, "
         "used array<boolean>, n_used int, n_epoch int, rms double")
 
+    names = [*row_key, "epoch", "x", "x_std", "i", "j", "resid", "used", "n_used", "n_epoch", "rms"]
+
     def solve(batches):
         for pdf in batches:
-            out = []
-            for rec in pdf.itertuples(index=False):
-                key, (pi, pj, y, wv) = list(rec[:-4]), (np.asarray(v) for v in rec[-4:])
-                y, wv = y.astype(float), wv.astype(float)
-                ids, flat = np.unique(np.concatenate([pi, pj]), return_inverse=True)
+            out, shapes = [], {}
+            for at, rec in enumerate(zip(pdf["_i"], pdf["_j"], strict=True)):
+                shapes.setdefault((tuple(rec[0]), tuple(rec[1])), []).append(at)
+            # Records with the same pairs share the layout of their matrices and are solved together.
+            for (pi, pj), at in shapes.items():
+                ids, flat = np.unique(np.array([*pi, *pj]), return_inverse=True)
                 a, b = flat[: len(pi)], flat[len(pi):]
-                got = _invert(a, b, y, wv, len(ids), n_sigma, max_iter, min_pairs)
-                if got is None:
-                    continue
-                x, sd, res, reach, use = got
-                out.append([*key, ids[reach].tolist(), x[reach].tolist(), sd[reach].tolist(), pi.tolist(), pj.tolist(),
-                            [None if np.isnan(v) else float(v) for v in res], use.tolist(), int(use.sum()),
-                            int(reach.sum()), float(np.sqrt(np.mean(res[use] ** 2)))])
-            yield pd.DataFrame(out, columns=[*row_key, "epoch", "x", "x_std", "i", "j", "resid", "used", "n_used", "n_epoch", "rms"])
+                y, wv = (np.array(pdf[c].iloc[at].tolist(), float).reshape(len(at), -1) for c in ("_d", "_w"))
+                (x, sd, res, nodes, part), stands = _robust(a, b, y, wv, len(ids), n_sigma, max_iter, min_pairs)
+                keys = pdf[row_key].iloc[at].to_numpy(object)
+                for k in np.flatnonzero(stands):
+                    on, use = nodes[k], part[k]
+                    out.append([*keys[k], ids[on].tolist(), x[k][on].tolist(), sd[k][on].tolist(), list(pi), list(pj),
+                                [None if np.isnan(v) else float(v) for v in res[k]], use.tolist(), int(use.sum()), int(on.sum()),
+                                float(np.sqrt(np.mean(res[k][use] ** 2)))])
+            yield pd.DataFrame(out, columns=names)
 
     sol = packed.mapInPandas(solve, schema)
     z = sol.select(*row_key, "n_used", "n_epoch", "rms", F.explode(F.arrays_zip("epoch", "x", "x_std")).alias("_e"))
@@ -177,7 +178,7 @@ def largest_component(pairs: DataFrame, i: str, j: str, by: list[str], max_round
     return label.join(best, [*by, "label"]).select(*by, "node")
 
 
-def chain_from_reference(steps: DataFrame, ref: DataFrame, by: list[str], bounded: bool | None = True,
+def chain_from_reference(steps: DataFrame, ref: DataFrame, by: list[str], bounded: bool = True,
                          rows: int = ROWS_PER_TILE) -> DataFrame:
     """Cumulative sum of sequential steps away from the reference pass, both ways.
 

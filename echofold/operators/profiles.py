@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echofold.functions.columns import db, safe_div
+from echofold.functions.columns import db, power, safe_div
 from echofold.operators.quantiles import medians
-from echofold.operators.scan import Scan, moving, ordered, rows_around, spread_over
+from echofold.operators.scan import Scan, join_groups, moving, ordered, rows_around, spread_over
 from echofold.params import ROWS_PER_TILE
 
 
@@ -26,7 +28,7 @@ def change_point(df: DataFrame, x: str, v: str, by: list[str], min_side: int = 3
     d = ordered(d, by, x, [Scan("_k", F.lit(1).cast("long"), "sum"), Scan("_s", F.col(v), "sum"),
                            Scan("_nx", F.struct(*fields), "follow")], rows=rows)
     tot = d.groupBy(*by).agg(F.max("_k").alias("_n"), F.sum(v).alias("_t"))
-    d = d.join(tot, by).where((F.col("_k") >= min_side) & (F.col("_k") <= F.col("_n") - min_side))
+    d = join_groups(d, tot, by).where((F.col("_k") >= min_side) & (F.col("_k") <= F.col("_n") - min_side))
     c = sign * (F.col("_s") / F.col("_k") - (F.col("_t") - F.col("_s")) / (F.col("_n") - F.col("_k")))
     mids = [((F.col(f) + F.col(f"_nx.{f}")) / 2).alias(f) for f in fields]
     best = d.groupBy(*by).agg(F.max(F.struct(c.alias("contrast"), (-F.col("_k")).alias("m"), *mids)).alias("b"))
@@ -128,7 +130,8 @@ def moving_median(df: DataFrame, by: list[str], order: str, v: str, k: int, out:
     before, after = _centred(k)
     d = ordered(df, by, order, [Scan("_pos", F.lit(1).cast("long"), "sum")], rows=rows)
     size = d.groupBy(*by).agg(F.max("_pos").alias("_n"))
-    d = moving(d, by, "_pos", {"_list": F.collect_list(v)}, before, after).join(size, by).withColumn("_list", F.sort_array("_list"))
+    d = moving(d, by, "_pos", {"_list": F.collect_list(v)}, before, after)
+    d = join_groups(d, size, by).withColumn("_list", F.sort_array("_list"))
     m = F.size("_list")
     mid = (F.element_at("_list", F.floor((m + 1) / 2).cast("int")) + F.element_at("_list", F.floor((m + 2) / 2).cast("int"))) / 2
     half = F.least(F.lit(k // 2), F.floor(F.col("_n") / 2))
@@ -148,7 +151,7 @@ def mean_power_section(samples: DataFrame, n_look: int, bins: tuple[int, int] |
     The depth window is a bin range and goes into the scan of the samples.
     """
     d = samples if bins is None else samples.where(F.col("bin").between(*bins))
-    p = d.groupBy(line, "col", "bin").agg(F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+    p = d.groupBy(line, "col", "bin").agg(F.avg(power(F.col("re"), F.col("im"))).alias("power"))
     if n_look > 1:
         before, after = _centred(n_look)
         p = moving(p, [line, "bin"], "col", {"_m": F.avg("power")}, before, after).drop("power").withColumnRenamed("_m", "power")
@@ -157,57 +160,62 @@ def mean_power_section(samples: DataFrame, n_look: int, bins: tuple[int, int] |
         line, "col", "bin", (F.col("db") - F.col("_top")).alias("db"))
 
 
+def _box(a: np.ndarray, k: int) -> np.ndarray:
+    """Centred mean of k rows over the values that are there, NaN where there are none."""
+    ok = np.isfinite(a)
+    pad = [(k // 2 + 1, k // 2), (0, 0)]
+    total, n = (np.pad(v, pad).cumsum(axis=0) for v in (np.where(ok, a, 0.0), ok.astype(float)))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (total[k:] - total[:-k]) / (n[k:] - n[:-k])
+
+
 def track_layer(section: DataFrame, line: str = "line_id", window=(250.0, 330.0), step: float = 6.0, zmin: float = 150.0,
                 smooth: int = 9, start: int | None = None) -> DataFrame:
     """Follow the strongest return along a section (line, col, z, db), outward from a start column.
 
-    Each column looks within `step` of its neighbour's depth, which makes it a
-    recursion along the line: the section is already reduced to one value per
-    column and depth, and one line's section is one small dense image. The
-    result is the moving median of the path, raw at the ends.
+    Each column looks within `step` of its neighbour's depth, a recursion along
+    the line: the section is already reduced to one value per column and
+    depth, and one line's section is one small dense image over the depths that occur in any
+    of its columns. A depth that a column lacks is no candidate there. Where
+    nothing is near, or no depth lies in `window`, the path ends and the depth
+    is NULL. The result is the moving median of the path, raw at the ends.
     """
     kind = dict(section.dtypes)[line]
     sm = section.groupBy(line, "col", "z").agg(F.avg("db").alias("db"))
-    packed = sm.groupBy(line, "col").agg(F.array_sort(F.collect_list(F.struct("z", "db"))).alias("s")).select(
-        line, "col", F.transform("s", lambda e: e["z"]).alias("z"), F.transform("s", lambda e: e["db"]).alias("db"))
-
-    def running(a: np.ndarray, k: int, axis: int) -> np.ndarray:
-        a = np.moveaxis(a, axis, 0)
-        ok = np.isfinite(a)
-        pad = k // 2
-        fill = lambda b: np.concatenate([np.zeros((pad + 1, *b.shape[1:])), b, np.zeros((pad, *b.shape[1:]))]).cumsum(axis=0)
-        t, n = fill(np.where(ok, a, 0.0)), fill(ok.astype(float))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            m = (t[k:] - t[:-k]) / (n[k:] - n[:-k])
-        return np.moveaxis(m, 0, axis)
-
-    def per_line(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("col")
-        z = np.asarray(pdf["z"].iloc[0], float)
-        img = np.array([np.asarray(v, float) for v in pdf["db"]]).T
-        img = running(running(img, 5, 0), 3, 1)
-        img = np.where(np.isfinite(img), img, -np.inf)
+
+    def per_line(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        image = pdf.dropna(subset=["col", "z"]).pivot(index="z", columns="col", values="db").sort_index().sort_index(axis=1)
+        z, img = image.index.to_numpy(float), image.to_numpy(float)
+        there = np.isfinite(img)
+        img = _box(_box(img, 5).T, 3).T
+        img = np.where(there & np.isfinite(img), img, -np.inf)
+        # For every depth, the range of depths within one step of it.
+        lo, hi = np.searchsorted(z, z - step, "left"), np.searchsorted(z, z + step, "right")
+        first = int(np.searchsorted(z, zmin, "left"))
         nc = img.shape[1]
-        c0 = min(nc - 1, int(np.floor(nc / 2 + 0.5)) - 1) if start is None else start
-        c0 = max(c0, 0)
-        seed = np.flatnonzero((z >= window[0]) & (z <= window[1]))
-        path = np.full(nc, np.nan)
-        path[c0] = z[seed[np.argmax(img[seed, c0])]]
-        for way in (-1, 1):
-            c = c0 + way
-            while 0 <= c < nc:
-                near = np.flatnonzero((np.abs(z - path[c - way]) <= step) & (z >= zmin))
-                if not len(near):
-                    break
-                path[c] = z[near[np.argmax(img[near, c])]]
-                c += way
+        seed = max(min(nc - 1, (nc + 1) // 2 - 1) if start is None else start, 0)
+
+        def follow(at: int, c: int) -> int:
+            """Row of the strongest candidate of column c near row `at`; -1 where there is none."""
+            if at < 0:
+                return -1
+            low = max(int(lo[at]), first)
+            near = img[low:int(hi[at]), c]
+            return low + int(near.argmax()) if len(near) and near.max() > -np.inf else -1
+
+        inside = np.where((z >= window[0]) & (z <= window[1]), img[:, seed] if nc else -np.inf, -np.inf)
+        origin = int(inside.argmax()) if len(inside) and inside.max() > -np.inf else -1
+        right = list(accumulate(range(seed + 1, nc), follow, initial=origin))
+        left = list(accumulate(range(seed - 1, -1, -1), follow, initial=origin))
+        rows = np.array(left[:0:-1] + right)
+        path = np.where(rows >= 0, z[rows], np.nan) if len(z) else np.zeros(0)
+        out = pd.Series(path).rolling(smooth, center=True, min_periods=1).median().where(~np.isnan(path)).to_numpy(copy=True)
         half = min(smooth // 2, nc // 2)
-        out = pd.Series(path).rolling(smooth, center=True, min_periods=1).median().to_numpy()
         if half:
             out[:half], out[-half:] = path[:half], path[-half:]
-        return pd.DataFrame({line: key[0], "col": pdf["col"].to_numpy(), "depth": out})
+        return pd.DataFrame({line: [key[0]] * nc, "col": image.columns.to_numpy(), "depth": pd.array([None if np.isnan(v) else v for v in out], dtype="Float64")})
 
-    return packed.groupBy(line).applyInPandas(per_line, f"{line} {kind}, col {dict(section.dtypes)['col']}, depth double")
+    return sm.groupBy(line).applyInPandas(per_line, f"{line} {kind}, col {dict(section.dtypes)['col']}, depth double")
 
 
 def thin_columns(df: DataFrame, by: list[str], order: str, target: int = 400, rows: int = ROWS_PER_TILE) -> DataFrame:
@@ -215,7 +223,7 @@ def thin_columns(df: DataFrame, by: list[str], order: str, target: int = 400, ro
     d = ordered(df, by, order, [Scan("_i", F.lit(1).cast("long"), "sum")], rows=rows)
     n = d.groupBy(*by).agg(F.max("_i").alias("_n"))
     step = F.greatest(F.lit(1), F.round(F.col("_n") / target)).cast("long")
-    return d.join(n, by).where((F.col("_i") - 1) % step == 0).select(*df.columns)
+    return join_groups(d, n, by).where((F.col("_i") - 1) % step == 0).select(*df.columns)
 
 
 def region_quality(blocks: DataFrame, regions: dict[str, Column], by: list[str], fields: list[str]) -> DataFrame:

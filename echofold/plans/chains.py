@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,14 +127,18 @@ def coherent_stack(igram: DataFrame, ref_bins: DataFrame, pass_driver: DataFrame
     return coherent.coherent_scan_packed(f, ["line_id", "block", "bin"], F.col("kz"), "dtide", grid, min_pairs)
 
 
-def modulus(obs: DataFrame, thickness: DataFrame, e_grid: list[float], x0_grid: list[float], keys: list[str] = ["line_id"],
-            refine: bool = True, **sweep) -> tuple[DataFrame, DataFrame]:
-    """Candidate sweep, misfit profile and interval; one nested finer grid places E and x0.
+def modulus(obs: DataFrame, predict: Callable[[DataFrame], DataFrame], e_grid: list[float], x0_grid: list[float],
+            keys: list[str] = ["line_id"], refine: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Misfit profile and interval over candidates; one nested finer grid places E and x0.
 
-    Returns (fit per line, misfit profile on the coarse grid).
+    `predict` takes rows of (observation, candidate E and x0) and adds their `pred`, in
+    column expressions. Returns (fit per line, misfit profile on the coarse grid).
     """
+    def attach(c):
+        return predict(obs.join(c, keys))
+
     cand = flexure.candidate_grid(obs.select(*keys).distinct(), e_grid, x0_grid)
-    pred = flexure.flexure_candidate_sweep(cand, obs, thickness, keys, **sweep)
+    pred = attach(cand)
     prof = cut_lineage(flexure.profile_misfit(flexure.candidate_misfit(pred, None, keys), keys))
     fit = flexure.modulus_interval(prof, keys)
     if not refine:
@@ -141,7 +146,7 @@ def modulus(obs: DataFrame, thickness: DataFrame, e_grid: list[float], x0_grid:
     e_step = math.log10(e_grid[-1] / e_grid[0]) / (len(e_grid) - 1)
     x_step = (x0_grid[-1] - x0_grid[0]) / max(len(x0_grid) - 1, 1)
     fine = flexure.refine_grid(fit, keys, e_step, x_step, (x0_grid[0], x0_grid[-1]))
-    p2 = flexure.flexure_candidate_sweep(fine, obs, thickness, keys, **sweep)
+    p2 = attach(fine)
     best = flexure.profile_misfit(flexure.candidate_misfit(p2, None, keys), keys).where("is_best").select(
         *keys, F.col("E").alias("E_fine"), F.col("x0").alias("x0_fine"), F.col("amp").alias("amp_fine"), F.col("J").alias("J_fine"))
     return fit.join(best, keys), prof

@@ -334,8 +334,11 @@ pm AS (SELECT *, min(J) OVER (PARTITION BY line_id) AS J_min, greatest(min(J) OV
 
 
 def analytic_predictions(t):
+    return analytic(flexure.candidate_grid(flex_obs(t).drop("width"), E_GRID, X0_GRID))
+
+
+def analytic(c):
     """Deflection and bending of the semi-infinite beam at every observation and candidate."""
-    c = flexure.candidate_grid(flex_obs(t).drop("width"), E_GRID, X0_GRID)
     lam = F.pow(4 * F.col("E") * 280.0 ** 3 / (12 * 0.91) / (1028 * 9.81), F.lit(0.25))
     b = F.greatest(F.col("x") - F.col("x0"), F.lit(0.0)) / lam
     w = 1 - F.exp(-b) * (F.cos(b) + F.sin(b))
@@ -383,20 +386,9 @@ def _(t):
     return flexure.modulus_jackknife(fits, ["grp"])
 
 
-def flex_thickness(t):
-    return t.lineitem.groupBy(F.col("l_suppkey").alias("line_id"), (F.col("l_linenumber") * 1500.0).alias("x")).agg((260 + F.avg("l_discount") * 400).alias("h"))
-
-
-@query("flexure_candidate_sweep", keys="kind", ints="line_id ie ix", digits={"x": 1, "pred": 8})
-def _(t):
-    obs = flex_obs(t)
-    cand = flexure.candidate_grid(obs.select("line_id").distinct(), flexure.log_grid(0.5e9, 5e9, 3), [-500.0, 500.0])
-    return flexure.flexure_candidate_sweep(cand, obs, flex_thickness(t))
-
-
 @query("modulus_fit", keys="interior", ints="line_id n", digits={"E": -5, "E_fine": -5, "x0_fine": 1, "amp": 5})
 def _(t):
-    return chains.modulus(flex_obs(t), flex_thickness(t), flexure.log_grid(0.2e9, 20e9, 7), [-1000.0, 0.0, 1000.0])[0]
+    return chains.modulus(flex_obs(t).drop("width"), analytic, flexure.log_grid(0.2e9, 20e9, 41), [-1000.0 + 250 * k for k in range(17)])[0]
 
 
 @query("modulus_reweighted", keys="kind", ints="line_id", digits={"factor": 5})
