@@ -18,7 +18,7 @@ from echofold.streaming.incremental import missing
 @query("read_products", ints="line_id n_pass", sql="""
 SELECT l_suppkey AS line_id, count(DISTINCT year(l_shipdate)) AS n_pass FROM lineitem GROUP BY 1 HAVING count(DISTINCT year(l_shipdate)) >= 2""")
 def _(t):
-    got = S.read_products(t.spark, t.folder, tables={"lineitem": ["l_suppkey", "l_shipdate"]}, key="l_suppkey")["lineitem"]
+    got = S.read_products(t.spark, t.folder, tables={"lineitem": ["l_suppkey", "l_shipdate"]}, key="l_suppkey", suffix=".parquet")["lineitem"]
     return S.repeat_products(got.select(F.col("l_suppkey").alias("line_id"), I.year_pass().alias("pass_idx")))
 
 
