@@ -121,11 +121,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) ->
     masks = near_masks(radius // BLOCKS)
     marked = items.select("item_id", "n", "sh", fp.alias("fp"))
     posts = marked.select("*", F.posexplode(F.array(*[block(F.col("fp"), k) for k in range(BLOCKS)])).alias("blk", "own")).select(
-        "item_id", "n", "fp", "sh", "blk", F.explode(F.lit(masks).cast("array<bigint>")).alias("m"), "own").select(
-        F.col("item_id"), F.col("n"), F.col("fp").alias("item_fp"), F.col("sh").alias("item_sh"), "blk", F.col("own").bitwiseXOR(F.col("m")).alias("value"))
+        "item_id", "n", "fp", "blk", F.explode(F.lit(masks).cast("array<bigint>")).alias("m"), "own").select(
+        F.col("item_id"), F.col("n"), F.col("fp").alias("item_fp"), "blk", F.col("own").bitwiseXOR(F.col("m")).alias("value"))
     seen = windows(docs, items).withColumn("fp", fp)
     asked = seen.select("*", F.posexplode(F.array(*[block(F.col("fp"), k) for k in range(BLOCKS)])).alias("blk", "value"))
-    near = asked.join(posts, ["n", "blk", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    # Posts are hundreds of rows for each item, more than the planner expects: never broadcast.
+    near = asked.join(posts.hint("merge"), ["n", "blk", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    whole = marked.select(F.col("item_id").alias("_id"), F.col("n").alias("_n"), F.col("fp").alias("_fp"), F.col("sh").alias("item_sh"))
+    near = near.drop("blk", "value").distinct().join(whole, F.col("item_id").eqNullSafe(F.col("_id")) & (F.col("n") == F.col("_n")) & (F.col("item_fp") == F.col("_fp")))
     sh = F.lit(None).cast("array<bigint>")
     for k in range(WORDS, 0, -1):
         sh = F.when(F.col("k") == k, shingles(F.col("w"), k)).otherwise(sh)
