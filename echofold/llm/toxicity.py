@@ -15,6 +15,7 @@ and a document's score is worked out from its other sentences and their number.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.common import crc_mod, labelled_sample, offsets, segment_sums, slices, small_batches, texts
+from echofold.llm.common import crc_mod, labelled_sample, offsets, segment_sums, slices, small_batches, texts, written
 from echofold.llm.near_dups import WordHashes
 from echofold.llm.registry import query, table
 
@@ -69,16 +70,39 @@ def hashes() -> WordHashes:
     return WordHashes()
 
 
-def _bags(batches):
-    """The labelled sample as hashed words: per document its sentences' sizes and their distinct words."""
+def _support(batches):
+    """How many toxic and how many clean documents of a batch hold each feature."""
     look = hashes()
     for b in batches:
         y, text = b.column(0).to_pylist(), texts(b)
         for i, j in slices([len(t) for t in text], 2_000_000):
-            docs = [[sorted(set(words(t[x:z]))) for x, z in sentence_spans(t)] for t in text[i:j]]
-            flat = [look([[f for w in s for f in features(w)] for s in d]).astype(np.int64) if d else np.zeros(0, np.int64) for d in docs]
-            yield pa.RecordBatch.from_arrays([pa.array(y[i:j], pa.int32()), pa.array([[len(s) * (1 + len(STEMS)) for s in d] for d in docs], pa.list_(pa.int32())),
-                                              pa.array([f.tobytes() for f in flat], pa.binary())], ["y", "sizes", "words"])
+            count = [Counter(), Counter()]
+            for v, t in zip(y[i:j], text[i:j], strict=True):
+                count[v].update({f for x, z in sentence_spans(t) for w in words(t[x:z]) for f in features(w)})
+            every = sorted(count[0].keys() | count[1].keys())
+            if every:
+                yield pa.RecordBatch.from_arrays([pa.array(look([every]).astype(np.int64)), pa.array([count[1][f] for f in every], pa.int64()),
+                                                  pa.array([count[0][f] for f in every], pa.int64())], ["f", "n1", "n0"])
+
+
+def _bags(vocab):
+    """Per document its sentences' sizes and the places of their features in the vocabulary."""
+    def run(batches):
+        look, kept = hashes(), vocab.value
+        for b in batches:
+            y, text = b.column(0).to_pylist(), texts(b)
+            for i, j in slices([len(t) for t in text], 2_000_000):
+                sizes, places = [], []
+                for t in text[i:j]:
+                    bags = [[f for w in sorted(set(words(t[x:z]))) for f in features(w)] for x, z in sentence_spans(t)]
+                    h = look(bags).astype(np.int64) if bags else np.zeros(0, np.int64)
+                    at = np.minimum(np.searchsorted(kept, h), max(len(kept) - 1, 0))
+                    hit = kept[at] == h if len(kept) else np.zeros(len(h), dtype=bool)
+                    sizes.append(segment_sums(hit.astype(np.int64), offsets([len(s) for s in bags])).tolist())
+                    places.append(at[hit].astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(y[i:j], pa.int32()), pa.array(sizes, pa.list_(pa.int32())), pa.array(places, pa.binary())],
+                                                 ["y", "sizes", "places"])
+    return run
 
 
 def noisy_or(logit: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -86,8 +110,8 @@ def noisy_or(logit: np.ndarray, off: np.ndarray) -> np.ndarray:
     return segment_sums(-np.logaddexp(0.0, logit), off)
 
 
-def fit(rows: list[tuple[int, list[int], bytes]]) -> tuple[dict[int, float], float]:
-    """Weights of words by hash, and the bias, from (label, sentence sizes, word hashes).
+def fit(rows: list[tuple[int, list[int], bytes]], kept: np.ndarray) -> tuple[dict[int, float], float]:
+    """Weights of features by hash, and the bias, from (label, sentence sizes, places in `kept`).
 
     Gradient steps with momentum scaling (Adam) over all documents at once, classes weighted
     by their number. With one class only, no word has a weight and no sentence is toxic.
@@ -95,23 +119,10 @@ def fit(rows: list[tuple[int, list[int], bytes]]) -> tuple[dict[int, float], flo
     if len({r[0] for r in rows}) < 2:
         return {}, -12.0
     y = np.array([r[0] for r in rows], dtype=float)
-    size = np.concatenate([np.asarray(r[1], dtype=np.int64) for r in rows])
-    of_doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    word = np.concatenate([np.frombuffer(r[2], dtype=np.int64) for r in rows])
-    of_sentence = np.repeat(np.arange(len(size)), size)
-    # A word's support is the number of documents that hold it; the most telling by their odds stay.
-    vocab, code = np.unique(word, return_inverse=True)
-    pair = np.unique(of_doc[of_sentence] * len(vocab) + code)
-    n1 = np.bincount(pair % len(vocab), weights=y[pair // len(vocab)], minlength=len(vocab))
-    n0 = np.bincount(pair % len(vocab), minlength=len(vocab)) - n1
-    odds = np.abs(np.log((n1 + 1) / (y.sum() + 2)) - np.log((n0 + 1) / ((1 - y).sum() + 2)))
-    ok = np.flatnonzero((n1 + n0 >= WORDS_LEAST) & (odds >= ODDS_LEAST))
-    ok = np.sort(ok[np.argsort(-odds[ok], kind="stable")[:WORDS_MOST]])
-    kept = vocab[ok]
-    at = np.searchsorted(kept, word)
-    at[at == len(kept)] = 0
-    hit = kept[at] == word if len(kept) else np.zeros(len(word), bool)
-    col, row = at[hit], of_sentence[hit]
+    size = np.concatenate([np.asarray(r[1], dtype=np.int32) for r in rows])
+    of_doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
+    col = np.concatenate([np.frombuffer(r[2], dtype=np.int32) for r in rows])
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
     sentence_off, doc_off = len(size), offsets([len(r[1]) for r in rows])
     w, b = np.zeros(len(kept)), BIAS
     m, v, mb, vb = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
@@ -190,9 +201,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     docs = docs.select(F.col("doc_id"), F.col("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = F.broadcast(labelled_sample(labels, "toxic", sample, crc_mod(F.col("doc_id"), 5) != 0))
-    got = docs.join(known, "doc_id").select("y", "text").mapInArrow(_bags, "y int, sizes array<int>, words binary").toPandas()
-    rows = sorted((int(y), [int(n) for n in s], bytes(w)) for y, s, w in zip(got["y"], got["sizes"], got["words"], strict=True))
-    model = spark.sparkContext.broadcast(fit(rows))
+    some = written(docs.join(known, "doc_id").select("y", "text"), "toxic-sample")
+    total = {int(r["y"]): r["count"] for r in some.groupBy("y").count().collect()}
+    support = some.mapInArrow(_support, "f long, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    odds = F.abs(F.log((F.col("n1") + 1) / (total.get(1, 0) + 2)) - F.log((F.col("n0") + 1) / (total.get(0, 0) + 2)))
+    telling = support.withColumn("odds", odds).where((F.col("n1") + F.col("n0") >= WORDS_LEAST) & (F.col("odds") >= ODDS_LEAST))
+    kept = np.array(sorted(r[0] for r in telling.orderBy(F.desc("odds"), "f").limit(WORDS_MOST).select("f").collect()), dtype=np.int64)
+    got = some.mapInArrow(_bags(spark.sparkContext.broadcast(kept)), "y int, sizes array<int>, places binary").toPandas()
+    rows = sorted((int(y), [int(n) for n in s], bytes(w)) for y, s, w in zip(got["y"], got["sizes"], got["places"], strict=True))
+    model = spark.sparkContext.broadcast(fit(rows, kept))
     return docs.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "text").mapInArrow(
         _score(model), f"doc_id {kind}, held_out boolean, score double, predicted int, sentences array<struct<start:bigint,end:bigint,score:double>>")
 
