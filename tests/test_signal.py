@@ -211,3 +211,26 @@ def test_pair_chain_recovers_strain(spark, rng):
     # S1 and S2 refer to the fitted depth range: eps = S1 + S2 (2 d / H - 1).
     s1 = S1 + S2 * (H_used / H - 1)
     assert abs(fit.s1.mean() / s1 - 1) < 0.05 and abs(fit.s2.mean() / (S2 * H_used / H) - 1) < 0.12
+
+
+def test_samples_that_are_not_finite_are_missing(spark):
+    """One infinite and one NaN sample count for nothing; everything around them stays finite."""
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, 0, 1, c, b, inf if (c, b) == (2, 2) else nan if (c, b) == (0, 4) else 1.0, 0.5, 1.0, -0.5) for c in range(5) for b in range(5)]
+    df = spark.createDataFrame(rows, "line_id int, ref_idx int, sec_idx int, col long, bin long, ref_re double, ref_im double, sec_re double, sec_im double")
+    got = interferogram.multilook(df, (3, 3)).toPandas()
+    value = got.select_dtypes("number").to_numpy(float)
+    assert len(got) == 25 and np.isfinite(value).all()
+    power = df.select("line_id", F.lit(0).alias("pass_idx"), "col", "bin", F.col("ref_re").alias("re"), F.col("ref_im").alias("im"))
+    section = profiles.mean_power_section(power, 1).toPandas()
+    assert section.db.isna().sum() <= 2 and abs(section.db.max()) < 1e-9
+
+
+def test_track_layer_with_ragged_columns(spark):
+    """Columns that lack depths, one without any near depth, and a window that no depth lies in."""
+    rows = [(1, c, float(z), 10.0 if z == 300 else 0.0) for c in range(7) for z in range(260, 340, 5) if not (c == 2 and z > 320)]
+    rows += [(2, c, float(z), 1.0) for c in range(3) for z in (10, 20)]
+    got = profiles.track_layer(spark.createDataFrame(rows, "line_id long, col long, z double, db double"), smooth=3).toPandas()
+    one = got[got.line_id == 1].sort_values("col")
+    assert len(one) == 7 and one.depth.notna().all() and (one.depth.astype(float) - 300).abs().max() <= 15
+    assert got[got.line_id == 2].depth.isna().all()

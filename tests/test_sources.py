@@ -58,3 +58,9 @@ def test_rerun_diff(spark):
     got = {r.field: r.n_diff for r in S.rerun_diff(a, b, ["k"], {"v": 1e-6}).collect()}
     assert got == {"v": 0, "s": 1, "(rows)": 1}
     assert {r.field: r.n_diff for r in S.rerun_diff(a, b.drop("s"), ["k"]).collect()}["(lost) s"] == 3
+
+
+def test_stations_by_any_kind_of_path(spark, tmp_path):
+    (tmp_path / "s.txt").write_text("# x y site\n1.0 2.0 A\n")
+    assert S.read_stations(spark, f"{tmp_path}/s.txt").count() == S.read_stations(spark, f"file:{tmp_path}/s.txt").count() == 1
+    assert S.read_stations(spark, f"file:{tmp_path}/none.txt").count() == 0
