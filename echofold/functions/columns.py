@@ -46,10 +46,6 @@ def db(power: Column) -> Column:
     return F.when(power > 0, 10.0 * F.log10(power))
 
 
-def sign0(c: Column) -> Column:
-    return F.signum(c)
-
-
 def epoch_us(ts: Column | str) -> Column:
     """Microseconds since 1970 of a zone-less timestamp, whatever the session zone."""
     ts = F.col(ts) if isinstance(ts, str) else ts

@@ -10,7 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echofold.functions.columns import safe_div
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
@@ -52,8 +51,3 @@ def student_t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     if ok.any():
         out[ok] = betainc(dv[ok] / (dv[ok] + tv[ok] ** 2), dv[ok] / 2, np.full(ok.sum(), 0.5))
     return out
-
-
-def corr_from(sxy: Column, sxx: Column, syy: Column) -> Column:
-    """Correlation from centred sums; NULL without spread on both sides."""
-    return F.when((sxx > 0) & (syy > 0), safe_div(sxy, F.sqrt(sxx) * F.sqrt(syy)))

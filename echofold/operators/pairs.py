@@ -132,13 +132,6 @@ def repeat_interval(tracks: DataFrame, pairs: DataFrame, main: DataFrame) -> Dat
     return both.select(*PAIR, "col", (F.col("sec_gps_time_s") - F.col("ref_gps_time_s")).alias("dt_s"))
 
 
-def interval_summary(intervals: DataFrame) -> DataFrame:
-    """Mean interval in days and its along-track spread in seconds, per pair."""
-    return intervals.groupBy(*PAIR).agg(
-        (F.avg("dt_s") / 86400).alias("dt_days"),
-        (F.max("dt_s") - F.min("dt_s")).alias("spread_s"))
-
-
 def drop_flagged(pairs: DataFrame, bad: DataFrame) -> DataFrame:
     """Remove every pair that touches a flagged (line_id, pass_idx)."""
     r = bad.select("line_id", F.col("pass_idx").alias("ref_idx"))

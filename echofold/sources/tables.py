@@ -212,11 +212,6 @@ def rerun_diff(a: DataFrame, b: DataFrame, keys: list[str], tol: dict[str, float
             .agg(F.sum("i.d").alias("n_diff"), F.max("i.g").alias("max_abs")))
 
 
-def independent_lines(catalog: DataFrame) -> DataFrame:
-    """Lines that do not repeat another line of the catalogue."""
-    return catalog.where(F.col("duplicate_of").isNull())
-
-
 def without_duplicates(df: DataFrame, catalog: DataFrame) -> DataFrame:
     dup = catalog.where(F.col("duplicate_of").isNotNull()).select("line_id")
     return df.join(dup, "line_id", "left_anti")
