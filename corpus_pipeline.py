@@ -17,6 +17,8 @@ from echofold.llm.packing import pack
 from echofold.llm.pii import redact
 from echofold.llm.quality import keep_good
 
+#: Five-word shingles in common, of those in either, from which on the stage takes two documents for copies.
+NEAR = (80, 100)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -25,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs).select(*COLUMNS)
+    return one_of_each(docs, *NEAR).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,20 +3,20 @@
 A document's set holds the hashes of its distinct five-word shingles, its
 signature the minimum of each of `COORDS` permutations over the set. Two sets
 with Jaccard similarity s agree in each coordinate with probability s, so linked
-texts agree in at least `MATCHES` of them but for a chance below 4e-6 at the
-very threshold.
+texts agree in at least `matches_for(s)` of them but for a chance of at most
+`MISS` at the very threshold.
 
 1. Texts with the same words are one class; everything below is per class.
 2. Every class is posted under each (coordinate, value) pair. Pairs are ranked
-   by the length of their lists, shortest first. Two classes with `MATCHES`
-   agreements share one of the first COORDS - MATCHES + 1 of each (prefix);
+   by the length of their lists, shortest first. Two classes with `matches`
+   agreements share one of the first COORDS - matches + 1 of each (prefix);
    pairs on one list only take places there and are skipped.
 3. Classes that share their longest prefix list make up a cluster, dealt by a
    salt into chunks of bounded size; lists are joined chunk against chunk, so a
    group of any size is spread over many tasks and no row is made per pair.
 4. In a pair of chunks the agreements of all pairs are counted on the
    signatures (the long lists, skipped in the join, are counted here), pairs below
-   `MATCHES` are dropped, and the rest are confirmed on their full sets. A
+   `matches` are dropped, and the rest are confirmed on their full sets. A
    spanning forest of the links leaves the task: as many rows as classes.
 5. Components are found on the forest edges by rounds of star contractions.
 """
@@ -24,6 +24,7 @@ very threshold.
 from __future__ import annotations
 
 import hashlib
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ from echofold.llm.registry import query, table
 
 WORDS = 5
 COORDS = 64
-MATCHES = 39
+#: Chance of a linked pair at the very threshold to agree in too few coordinates.
+MISS = 2e-6
 #: Shingles that a chunk of a cluster holds, about; what one side of a comparison weighs.
 CHUNK = 200_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -44,6 +46,16 @@ _XOR = _RNG.integers(0, 2**64, 512, dtype=np.uint64)
 _MUL = _RNG.integers(0, 2**64, 512, dtype=np.uint64) | np.uint64(1)
 
 
+def matches_for(num: int, den: int, coords: int = COORDS) -> int:
+    """Agreements that a pair of similarity num / den reaches but for a chance of at most MISS: 39 of 64 at 0.85, 35 at 0.80."""
+    s, below = num / den, 0.0
+    for m in range(coords):
+        below += comb(coords, m) * s**m * (1 - s) ** (coords - m)
+        if below > MISS:
+            return m
+    return coords
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A finaliser: every bit of the result depends on every bit of the input."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -262,8 +274,9 @@ def components(edges: DataFrame) -> DataFrame:
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def forest_edges(docs: DataFrame, table_: DataFrame, num: int, den: int, coords: int = COORDS, matches: int = MATCHES, chunk: int = CHUNK) -> DataFrame:
+def forest_edges(docs: DataFrame, table_: DataFrame, num: int, den: int, coords: int = COORDS, matches: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) between class keys whose components are those of all links."""
+    matches = matches_for(num, den, coords) if matches is None else matches
     classes = table_.where("key is not null").groupBy("key").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"))
     node = F.xxhash64("key")
     posts = classes.select(node.alias("node"), "sig", "n_shingles").mapInArrow(_post(coords), "pair long, node long, n_shingles long")
@@ -312,12 +325,12 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"), "text_key")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with one of each near-duplicate group, all columns.
+def one_of_each(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
+    """The documents with one of each near-duplicate group, all columns; links as in `near_duplicates`.
 
     Rows repeated whole (id and text) are reduced to one as well; rows without an id stay.
     """
-    kept = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    kept = near_duplicates(docs, num, den).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
     kept = written(kept, "kept")
     again = kept.where("_n > 1 and _id is not null").limit(1).count()
     out = docs.join(kept.drop("_n"), docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_key"]), "left_semi")
