@@ -3,10 +3,10 @@
 Rules label what they fit. For the rest, every host has a tree of path templates:
 a segment stays as it is or becomes a wildcard of its kind (digits, digits with an
 ending, long or hex codes); so does a segment whose parent has too many different ones
-for it to be a template. Sibling branches whose share of blocked pages does not
-differ beyond chance are merged into one branch of their parent. A leaf's purity
-is its smoothed share of blocked pages among labelled ones: pseudo-counts draw it
-to its parent's, the parent's to the host's, the host's to its site's, the site's to that
+for it to be a template. At every level, from the root down, sibling branches whose share
+of blocked pages does not differ beyond chance are merged into one branch of their parent. A
+branch's purity is its smoothed share of blocked pages among labelled ones: pseudo-counts draw
+it to its parent's, and so on up to the host's, the host's to its site's, the site's to that
 of all. A template whose purity is `REJECT` or more is rejected.
 
 The site of a host is its last two labels. Counting starts with
@@ -36,7 +36,6 @@ FAN = 64
 ALIKE = 3.84
 #: Pseudo-counts of a parent, and the purity that rejects.
 SMOOTH, REJECT = 4.0, 0.5
-DEPTH = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,65 +68,76 @@ def general(segment: Column) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """The first DEPTH segments, generalised by kind; a path that ends in / has an empty last one."""
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    return F.transform(F.slice(parts, 1, DEPTH), general)
+    """All segments, generalised by kind; a path that ends in / has an empty last one."""
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), general)
 
 
 def _purity(blocked: Column, labelled: Column, prior: Column) -> Column:
     return (blocked + prior * SMOOTH) / (labelled + SMOOTH)
 
 
+def _level(rows: DataFrame, d: int) -> DataFrame:
+    """Rows (host, node, purity, s, b, l) moved from the node they are at to its branch for segment d.
+
+    done says that all rows of the new node go on in the same way, so that nothing below is left to tell apart.
+    """
+    tail = F.slice("s", d + 2, F.size("s"))
+    h = F.xxhash64(tail, F.size(tail))
+    seg = F.coalesce(F.get("s", d), F.lit("/"))  # no segment is a slash: the path ends at the node
+    child = rows.groupBy("host", "node", seg.alias("seg")).agg(
+        F.sum("b").alias("cb"), F.sum("l").alias("cl"), F.min(h).alias("h0"), F.max(h).alias("h1"), F.first("purity").alias("up"))
+    nodes = child.groupBy("host", "node").agg(F.sum("cb").alias("nb"), F.sum("cl").alias("nl"), F.count(F.lit(1)).alias("k"))
+    rest_l, rest_b = F.col("nl") - F.col("cl"), F.col("nb") - F.col("cb")
+    pooled = F.col("nb") / F.col("nl")
+    gap = F.col("cb") / F.col("cl") - rest_b / rest_l
+    alike = F.when((F.col("cl") == 0) | (rest_l <= 0) | (F.col("nb") == 0) | (F.col("nb") == F.col("nl")), F.lit(True)).otherwise(
+        gap * gap <= ALIKE * pooled * (1 - pooled) * (1 / F.col("cl") + 1 / rest_l))
+    name = (F.when((F.col("seg") == "/") | (F.col("k") == 1), F.col("seg")).when(F.col("k") > FAN, F.lit("{*}"))
+            .when(alike, F.lit("{alike}")).otherwise(F.col("seg")))
+    named = child.join(nodes, ["host", "node"]).withColumn("name", name)
+    # Siblings of one name become one branch; it pools their counts.
+    merged = named.groupBy("host", "node", "name").agg(
+        F.sum("cb").alias("mb"), F.sum("cl").alias("ml"), F.min("h0").alias("h0"), F.max("h1").alias("h1"), F.first("up").alias("up"))
+    names = merged.groupBy("host", "node").agg(F.count(F.lit(1)).alias("names"))
+    # The only branch of a node holds the node's own counts, which its purity has already.
+    judged = merged.join(names, ["host", "node"]).select(
+        "host", "node", "name", F.when(F.col("names") == 1, F.col("up")).otherwise(_purity(F.col("mb"), F.col("ml"), F.col("up"))).alias("_p"),
+        (F.col("h0") == F.col("h1")).alias("done"))
+    moves = named.select("host", "node", "seg", "name").join(judged, ["host", "node", "name"])
+    moved = rows.withColumn("seg", seg).join(moves, ["host", "node", "seg"])
+    below = F.when(F.col("name") == "/", F.col("node")).otherwise(F.concat("node", F.lit("/"), "name"))
+    return moved.select("host", below.alias("node"), F.col("_p").alias("purity"), "s", "b", "l", "done")
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """One row per (host, path): its template and the template's purity.
 
-    `pages` has host, path and verdict (NULL where no rule fits).
+    `pages` has host, path and verdict (NULL where no rule fits). The tree is grown from the root
+    down, one round of jobs per level, over the rows whose template is not settled yet: as many
+    levels as the deepest place where paths of one branch part.
     """
-    n = F.count(F.lit(1))
-    leaf = pages.groupBy("host", "path").agg(n.alias("n"), F.count(F.when(F.col("verdict") == "block", 1)).alias("b"), F.count("verdict").alias("l"))
+    leaf = pages.groupBy("host", "path").agg(F.count(F.when(F.col("verdict") == "block", 1)).alias("b"), F.count("verdict").alias("l"))
     leaf = written(leaf.withColumn("s", segments(F.col("path"))).withColumn("site", F.substring_index("host", ".", -2)), "leaves")
-    sizes = leaf.groupBy("host", "site", "s").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("l").alias("l"))
-    # Fan-out: segments with too many siblings become a wildcard, from the root down.
-    for d in range(DEPTH):
-        head = F.slice("s", 1, d)
-        own = F.get("s", d)
-        many = sizes.where(F.size("s") > d).groupBy("host", head.alias("head")).agg(F.countDistinct(own).alias("k")).where(F.col("k") > FAN).select(
-            F.col("host").alias("_h"), F.col("head").alias("_p"))
-
-        def widened(df, d=d, head=head, many=many):
-            wide = F.concat(F.slice("s", 1, d), F.array(F.lit("{*}")), F.slice("s", d + 2, DEPTH))
-            j = df.join(many, (F.col("host") == F.col("_h")) & (head == F.col("_p")) & (F.size("s") > d), "left")
-            return j.withColumn("s", F.when(F.col("_h").isNotNull(), wide).otherwise(F.col("s"))).drop("_h", "_p")
-
-        sizes = widened(sizes).groupBy("host", "site", "s").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("l").alias("l"))
-        leaf = widened(leaf)
-    leaf, sizes = written(leaf, "placed"), written(sizes, "templates")
-    # Branches (first segment) of a host, each against the rest of its siblings.
-    branch = sizes.groupBy("host", "site", F.get("s", 0).alias("top")).agg(F.sum("b").alias("bb"), F.sum("l").alias("bl"))
-    hosts = branch.groupBy("host", "site").agg(F.sum("bb").alias("hb"), F.sum("bl").alias("hl"))
+    sizes = leaf.groupBy("host", "site", "s").agg(F.sum("b").alias("b"), F.sum("l").alias("l"))
+    hosts = sizes.groupBy("host", "site").agg(F.sum("b").alias("hb"), F.sum("l").alias("hl"))
     sites = hosts.groupBy("site").agg(F.sum("hb").alias("sb"), F.sum("hl").alias("sl"))
     total = sites.agg(F.coalesce(F.sum("sb"), F.lit(0)).alias("ab"), F.coalesce(F.sum("sl"), F.lit(0)).alias("al"))
-    rest_l, rest_b = F.col("hl") - F.col("bl"), F.col("hb") - F.col("bb")
-    pooled = F.col("hb") / F.col("hl")
-    gap = F.col("bb") / F.col("bl") - rest_b / rest_l
-    alike = F.when((F.col("bl") == 0) | (rest_l <= 0) | (F.col("hb") == 0) | (F.col("hb") == F.col("hl")), F.lit(True)).otherwise(
-        gap * gap <= ALIKE * pooled * (1 - pooled) * (1 / F.col("bl") + 1 / rest_l))
-    # Siblings that are alike become one branch; it pools their counts.
-    named = branch.join(hosts, ["host", "site"]).withColumn("branch", F.when(alike, F.lit("{alike}")).otherwise(F.col("top")))
-    merged = named.groupBy("host", "site", "branch").agg(F.sum("bb").alias("mb"), F.sum("bl").alias("ml"))
-    tree = named.select("host", "top", "branch", "hb", "hl").join(merged, ["host", "branch"]).join(sites, "site").join(F.broadcast(total), F.lit(True))  # one row
     overall = F.when(F.col("al") > 0, F.col("ab") / F.col("al")).otherwise(F.lit(0.0))
-    up = _purity(F.col("mb"), F.col("ml"), _purity(F.col("hb"), F.col("hl"), _purity(F.col("sb"), F.col("sl"), overall)))
-    tree = tree.select("host", F.col("top").alias("_t"), "branch", up.alias("prior"))
-    tail = F.slice("s", 2, DEPTH)
-    kept = sizes.join(tree.withColumnRenamed("host", "_h"), (F.col("host") == F.col("_h")) & F.get("s", 0).eqNullSafe(F.col("_t"))).drop("_h", "_t")
-    whole = kept.groupBy("host", "branch", tail.alias("tail")).agg(F.sum("b").alias("tb"), F.sum("l").alias("tl"), F.first("prior").alias("prior"))
-    judged = whole.select(F.col("host").alias("_h"), F.col("branch").alias("_b"), F.col("tail").alias("_r"),
-                          F.concat(F.lit("/"), F.col("branch"), F.when(F.size("tail") > 0, F.concat(F.lit("/"), F.array_join("tail", "/"))).otherwise(F.lit(""))).alias("template"),
-                          _purity(F.col("tb"), F.col("tl"), F.col("prior")).alias("purity"))
-    placed = leaf.join(tree.withColumnRenamed("host", "_h"), (F.col("host") == F.col("_h")) & F.get("s", 0).eqNullSafe(F.col("_t"))).drop("_h", "_t")
-    out = placed.join(judged, (F.col("host") == F.col("_h")) & (F.col("branch") == F.col("_b")) & (tail == F.col("_r")))
-    return out.select("host", "path", "template", "purity")
+    root = hosts.join(sites, "site").join(F.broadcast(total), F.lit(True)).select(  # one row
+        "host", _purity(F.col("hb"), F.col("hl"), _purity(F.col("sb"), F.col("sl"), overall)).alias("purity"))
+    rows = sizes.join(root, "host").select("host", F.lit("").alias("node"), "purity", "s", "b", "l")
+    found, d = None, 0
+    while True:
+        level = written(_level(rows, d), f"level-{d}")
+        rest = F.slice("s", d + 2, F.size("s"))
+        path = F.concat("node", F.when(F.size(rest) > 0, F.concat(F.lit("/"), F.array_join(rest, "/"))).otherwise(F.lit("")))
+        settled = level.where("done").select(F.col("host").alias("_h"), F.col("s").alias("_s"), path.alias("template"), "purity")
+        found = settled if found is None else found.unionByName(settled)
+        rows = level.where("not done").drop("done")
+        if not rows.limit(1).count():
+            break
+        d += 1
+    return leaf.join(found, (F.col("host") == F.col("_h")) & (F.col("s") == F.col("_s"))).select("host", "path", "template", "purity")
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
