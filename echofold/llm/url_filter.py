@@ -2,9 +2,9 @@
 
 Rules label what they fit. For the rest, every host has a tree of path templates:
 a segment stays as it is or becomes a wildcard of its kind (digits, digits with an
-ending, long or hex codes); so does a segment whose parent has too many different ones
-for it to be a template. At every level, from the root down, sibling branches whose share
-of blocked pages does not differ beyond chance are merged into one branch of their parent. A
+ending, long or hex codes). At every level, from the root down, a segment with too few labelled
+pages of its own, or whose share of blocked ones does not differ from its siblings' beyond chance,
+becomes a wildcard: such siblings are one branch of their parent. How many there are plays no part. A
 branch's purity is its smoothed share of blocked pages among labelled ones: pseudo-counts draw
 it to its parent's, and so on up to the host's, the host's to its site's, the site's to that
 of all. A template whose purity is `REJECT` or more is rejected.
@@ -30,12 +30,12 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Different segments below one parent from which on they are a wildcard.
-FAN = 64
 #: Squared distance in standard errors up to which two siblings count as alike (5 % level).
 ALIKE = 3.84
 #: Pseudo-counts of a parent, and the purity that rejects.
 SMOOTH, REJECT = 4.0, 0.5
+#: Labelled pages a segment must have to be told from its siblings; with fewer its parent's pseudo-counts outweigh it.
+SUPPORT = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -90,10 +90,9 @@ def _level(rows: DataFrame, d: int) -> DataFrame:
     rest_l, rest_b = F.col("nl") - F.col("cl"), F.col("nb") - F.col("cb")
     pooled = F.col("nb") / F.col("nl")
     gap = F.col("cb") / F.col("cl") - rest_b / rest_l
-    alike = F.when((F.col("cl") == 0) | (rest_l <= 0) | (F.col("nb") == 0) | (F.col("nb") == F.col("nl")), F.lit(True)).otherwise(
+    alike = F.when((F.col("cl") < SUPPORT) | (rest_l <= 0) | (F.col("nb") == 0) | (F.col("nb") == F.col("nl")), F.lit(True)).otherwise(
         gap * gap <= ALIKE * pooled * (1 - pooled) * (1 / F.col("cl") + 1 / rest_l))
-    name = (F.when((F.col("seg") == "/") | (F.col("k") == 1), F.col("seg")).when(F.col("k") > FAN, F.lit("{*}"))
-            .when(alike, F.lit("{alike}")).otherwise(F.col("seg")))
+    name = F.when((F.col("seg") == "/") | (F.col("k") == 1) | ~alike, F.col("seg")).otherwise(F.lit("{*}"))
     named = child.join(nodes, ["host", "node"]).withColumn("name", name)
     # Siblings of one name become one branch; it pools their counts.
     merged = named.groupBy("host", "node", "name").agg(
