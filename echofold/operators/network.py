@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from echofold.functions.columns import field
 from echofold.operators.scan import Scan, ordered
-from echofold.params import MAD_SCALE, ROWS_PER_TILE
+from echofold.params import MAD_SCALE, NOISE_FLOOR, ROWS_PER_TILE
 from echofold.session import cut_lineage
 
 
@@ -58,9 +58,13 @@ def _balance(i: np.ndarray, j: np.ndarray, y: np.ndarray, w: np.ndarray, n: int)
 
 
 def _robust(i, j, y, w, n, n_sigma: float, max_iter: int, min_pairs: int):
-    """`_balance` with pairs beyond n_sigma scaled MADs taken out round by round; and which networks stand."""
+    """`_balance` with pairs beyond n_sigma scaled MADs taken out round by round; and which networks stand.
+
+    A spread within rounding of the differences is no spread: nothing is rejected there.
+    """
     w = np.where(np.isfinite(y) & np.isfinite(w) & (w > 0), w, 0.0)
     y = np.where(w > 0, y, 0.0)
+    floor = NOISE_FLOOR * np.abs(y).max(axis=1, keepdims=True, initial=0.0)
     alive = (w > 0).sum(axis=1) >= min_pairs
     moving = alive.copy()
     for _ in range(max_iter):
@@ -70,7 +74,7 @@ def _robust(i, j, y, w, n, n_sigma: float, max_iter: int, min_pairs: int):
         _, _, res, _, part = _balance(i, j, y[at], w[at], n)
         mid = np.nanmedian(np.where(part, res, np.nan), axis=1, keepdims=True)
         s = MAD_SCALE * np.nanmedian(np.abs(np.where(part, res, np.nan) - mid), axis=1, keepdims=True)
-        bad = part & (s > 0) & (np.abs(res) > n_sigma * s)
+        bad = part & (s > floor[at]) & (np.abs(res) > n_sigma * s)
         w[at] = np.where(part & ~bad, w[at], 0.0)
         moving[at] = bad.any(axis=1) & ((w[at] > 0).sum(axis=1) >= min_pairs)
         alive[at] &= (w[at] > 0).sum(axis=1) >= min_pairs
@@ -85,8 +89,10 @@ def invert_network(df: DataFrame, row_key: list[str], i: str, j: str, d: str, w:
     Returns (epochs: row, epoch, x, x_std, n_used, n_epoch, rms) and (pairs: row,
     i, j, resid, used). A row's network is at most its passes squared, so it is
     packed into one record; rows are independent and spread over the cluster.
-    Pairs beyond n_sigma scaled MADs of zero are rejected round by round, and
-    only the largest connected component is solved; other epochs have no row.
+    Pairs beyond n_sigma scaled MADs of zero are rejected round by round, unless
+    the MAD is mere rounding (at most NOISE_FLOOR of the largest difference): a network that closes
+    exactly keeps all of its pairs. Only the largest connected component is solved;
+    other epochs have no row.
     """
     wt = F.col(w) if w else F.lit(1.0)
     packed = df.groupBy(*row_key).agg(F.collect_list(F.struct(

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from echofold.functions.columns import legendre, legendre_slope, safe_div
 from echofold.functions.stats import student_t_p
 from echofold.operators.interp import interp_join
-from echofold.params import MAD_SCALE
+from echofold.params import MAD_SCALE, NOISE_FLOOR
 
 
-def _moments(names: dict[str, Column]) -> list[Column]:
-    """Count, means and centred sums of products: n, m_<a>, S_<a><b>."""
+def _moments(names: dict[str, Column], where: Column | None = None) -> list[Column]:
+    """Count, means and centred sums of products: n, m_<a>, S_<a><b>; `where` marks the rows whose values are not NULL."""
     keys = list(names)
-    n = F.count(F.lit(1)).cast("double")
-    out = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"m_{k}") for k, c in names.items()]
+    rows = F.count(F.lit(1) if where is None else F.when(where, 1))
+    n = rows.cast("double")
+    out = [rows.alias("n")] + [F.avg(c).alias(f"m_{k}") for k, c in names.items()]
     for i, a in enumerate(keys):
         for b in keys[i:]:
             pop = F.var_pop(names[a]) if a == b else F.covar_pop(names[a], names[b])
@@ -81,9 +82,12 @@ def fit_slope_gated(heights: DataFrame, tide: DataFrame | None, by: list[str], b
     `heights`: by, col, pass_idx, z; `tide`: by, pass_idx, tide_m, or None to
     use the line mean itself. Each pass's line mean is fitted on the tide; a
     pass more than max_sigma scaled MADs off (about the median) is dropped and
-    the line refitted; the common residual of a pass joins the block regression.
+    the line refitted, unless the MAD is mere rounding; the common residual of a pass joins the block regression.
     `n_complete` marks complete blocks (rows of incomplete ones are dropped).
-    Returns (blocks, passes). Passes per line are few, so the per-line windows are small.
+    Returns (blocks, passes). Every block comes back: without a fit its `status` says why,
+    `few_passes` where the line has fewer than min_pass usable passes, `few_samples` where the block is
+    not in enough of them, `collinear` where they do not tell the regressors apart, else `fitted`.
+    Passes per line are few, so the per-line windows are small.
     """
     mean = heights.groupBy(*by, "pass_idx").agg(F.avg("z").alias("line_mean"))
     external = tide is not None
@@ -103,8 +107,9 @@ def fit_slope_gated(heights: DataFrame, tide: DataFrame | None, by: list[str], b
         r = F.when(F.col("pass_ok"), F.col("pass_resid"))
         p = p.withColumn("_med", F.median(r).over(line))
         p = p.withColumn("_sd", MAD_SCALE * F.median(F.abs(r - F.col("_med"))).over(line))
-        bad = (F.col("_sd") > 0) & (F.abs(F.col("pass_resid") - F.col("_med")) > max_sigma * F.col("_sd"))
-        p = refit(p.withColumn("pass_ok", F.col("pass_ok") & ~F.coalesce(bad, F.lit(False)))).drop("_med", "_sd")
+        p = p.withColumn("_top", F.max(F.abs(F.when(F.col("pass_ok"), F.col("line_mean")))).over(line))
+        bad = (F.col("_sd") > NOISE_FLOOR * F.col("_top")) & (F.abs(F.col("pass_resid") - F.col("_med")) > max_sigma * F.col("_sd"))
+        p = refit(p.withColumn("pass_ok", F.col("pass_ok") & ~F.coalesce(bad, F.lit(False)))).drop("_med", "_sd", "_top")
     else:
         p = p.withColumn("slope", F.lit(None).cast("double")).withColumn("pass_resid", F.lit(None).cast("double"))
     n_ok = F.sum(F.col("pass_ok").cast("int")).over(line)
@@ -114,24 +119,29 @@ def fit_slope_gated(heights: DataFrame, tide: DataFrame | None, by: list[str], b
     if n_complete is not None:
         z = z.where(n_complete)
     zb = z.groupBy(*by, "block", "pass_idx").agg(F.avg("z").alias("y")).where("y is not null")
-    j = zb.join(p.where(F.col("pass_ok") & (F.col("n_ok") >= min_pass)), [*by, "pass_idx"])
+    j = zb.join(p, [*by, "pass_idx"])
+    used = F.col("pass_ok") & (F.col("n_ok") >= min_pass)
+    tide_m, pass_resid, y = (F.when(used, F.col(c)) for c in ("tide_m", "pass_resid", "y"))
+    state = [F.count(F.when(used, 1)).alias("_used"), F.max("n_ok").alias("_n_ok")]
     use_cm = external and common_mode
     if use_cm:
-        m = j.groupBy(*by, "block").agg(*_moments({"t": F.col("tide_m"), "h": F.col("pass_resid"), "y": F.col("y")}))
+        m = j.groupBy(*by, "block").agg(*_moments({"t": tide_m, "h": pass_resid, "y": y}, used), *state)
         f = _two_regressors("t", "h")
         solvable = (F.col("S_tt") > 0) & (F.col("S_hh") > 0) & (
             F.col("S_tt") * F.col("S_hh") - F.col("S_th") * F.col("S_th") > 1e-12 * F.col("S_tt") * F.col("S_hh"))
         a, sd = f["b"], f["sd_b"]
         n_par = 3
     else:
-        m = j.groupBy(*by, "block").agg(*_moments({"t": F.col("tide_m"), "y": F.col("y")}))
+        m = j.groupBy(*by, "block").agg(*_moments({"t": tide_m, "y": y}, used), *state)
         a = safe_div(F.col("S_ty"), F.col("S_tt"))
         sse = F.greatest(F.col("S_yy") - a * F.col("S_ty"), F.lit(0.0))
         sd = F.sqrt(safe_div(sse, (F.col("n") - 2).cast("double")) / F.nullif(F.col("S_tt"), F.lit(0.0)))
         solvable, n_par = F.col("S_tt") > 0, 2
-    ok = solvable & (F.col("n") >= max(min_pass, n_par + 1))
+    enough = F.col("n") >= max(min_pass, n_par + 1)
+    ok = F.coalesce(solvable & enough, F.lit(False))
+    status = F.when(ok, "fitted").when(F.col("_n_ok") < min_pass, "few_passes").when(~enough, "few_samples").otherwise("collinear")
     blocks = m.select(*by, "block", F.when(ok, a).alias("a"), F.when(ok, sd).alias("a_std"),
-                      F.when(ok, F.col("n")).otherwise(0).alias("n"))
+                      F.when(ok, F.col("n")).otherwise(0).alias("n"), status.alias("status"))
     return blocks, p.select(*by, "pass_idx", "line_mean", "tide_m", "pass_ok", "pass_resid", "slope")
 
 

@@ -13,6 +13,7 @@ SEC_PER_YEAR = 365.25 * 86400.0
 RHO_SEA = 1028.0               # kg/m^3
 GRAVITY = 9.81                 # m/s^2
 MAD_SCALE = 1.4826             # MAD of a normal distribution to its sigma
+NOISE_FLOOR = 1e-12            # a spread below this share of the values is rounding
 UNIX_DATENUM = 719529.0        # day number of 1970-01-01
 
 

@@ -44,19 +44,59 @@ def _(t):
     return network.complete_network(I.pairdiff(t), ["row_key"], "ref_idx", "sec_idx", "d")
 
 
-@query("invert_network", keys="row_key", ints="epoch n_used n_epoch", digits={"x": 8, "x_std": 8, "rms": 8})
+def _balance(src: str, o: str) -> str:
+    """One least-squares solution of every network of `src` (row_key, i, j, d, w), over epochs 1 to 7.
+
+    The normal equations of the largest component, with a row of ones that holds its mean at zero, the right side
+    and the identity beside them, are cleared column by column. `o`_x: epochs; `o`_r: pairs with residuals.
+    """
+    return f"""{o}_u AS (SELECT row_key, i AS a, j AS b FROM {src} UNION SELECT row_key, j, i FROM {src}),
+{o}_v AS (SELECT row_key, a, a AS b FROM {o}_u UNION SELECT v.row_key, v.a, u.b FROM {o}_v v JOIN {o}_u u ON u.row_key = v.row_key AND u.a = v.b),
+{o}_b AS (SELECT row_key, a, count(*) AS m FROM {o}_v GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY count(*) DESC, a) = 1),
+{o}_n AS (SELECT row_key, b AS node, m FROM {o}_v JOIN {o}_b USING (row_key, a)),
+{o}_p AS (SELECT p.*, n.node IS NOT NULL AS part FROM {src} p LEFT JOIN {o}_n n ON n.row_key = p.row_key AND n.node = p.i),
+{o}_l AS (SELECT row_key, i AS r, i AS c, w, -w * d AS f FROM {o}_p WHERE part UNION ALL SELECT row_key, j, j, w, w * d FROM {o}_p WHERE part
+  UNION ALL SELECT row_key, i, j, -w, 0 FROM {o}_p WHERE part UNION ALL SELECT row_key, j, i, -w, 0 FROM {o}_p WHERE part),
+{o}_g AS (SELECT row_key, r, c, sum(w) AS g FROM {o}_l GROUP BY 1, 2, 3), {o}_f AS (SELECT row_key, r, sum(f) AS f FROM {o}_l GROUP BY 1, 2),
+{o}_a AS (SELECT k.row_key, r.q AS r, list(CAST(CASE WHEN x.node IS NOT NULL AND y.node IS NOT NULL THEN coalesce(g, 0) + 1 WHEN r.q = c.q THEN 1 ELSE 0 END AS DOUBLE) ORDER BY c.q) AS body
+  FROM {o}_b k CROSS JOIN range(1, 8) r(q) CROSS JOIN range(1, 8) c(q) LEFT JOIN {o}_n x ON x.row_key = k.row_key AND x.node = r.q
+  LEFT JOIN {o}_n y ON y.row_key = k.row_key AND y.node = c.q LEFT JOIN {o}_g g ON g.row_key = k.row_key AND g.r = r.q AND g.c = c.q GROUP BY 1, 2),
+{o}_e AS (SELECT a.row_key, a.r, 1 AS k, list_concat(body, [coalesce(f, 0)], list_transform(range(1, 8), lambda q: CASE WHEN q = a.r THEN 1.0::DOUBLE ELSE 0 END)) AS c
+    FROM {o}_a a LEFT JOIN {o}_f f ON f.row_key = a.row_key AND f.r = a.r
+  UNION ALL SELECT row_key, r, k + 1, list_transform(range(1, 16), lambda q: CASE WHEN r = k THEN c[q] / p[k] ELSE c[q] - c[k] / p[k] * p[q] END)
+    FROM (SELECT *, max(CASE WHEN r = k THEN c END) OVER (PARTITION BY row_key) AS p FROM {o}_e WHERE k <= 7)),
+{o}_x AS (SELECT e.row_key, node, m, c[8] AS x, c[8 + node] AS spread FROM {o}_e e JOIN {o}_n n ON n.row_key = e.row_key AND n.node = e.r WHERE k = 8),
+{o}_r AS (SELECT p.*, CASE WHEN part THEN b.x - a.x - d END AS resid FROM {o}_p p LEFT JOIN {o}_x a ON a.row_key = p.row_key AND a.node = p.i LEFT JOIN {o}_x b ON b.row_key = p.row_key AND b.node = p.j)"""
+
+
+def _gate(o: str, out: str) -> str:
+    """The pairs of a solution within two scaled MADs, of networks that still have six."""
+    return f"""{out}_m AS (SELECT *, median(resid) OVER (PARTITION BY row_key) AS mid FROM {o}_r WHERE part),
+{out}_s AS (SELECT *, 1.4826 * median(abs(resid - mid)) OVER (PARTITION BY row_key) AS s FROM {out}_m),
+{out} AS (SELECT row_key, i, j, d, w, top FROM {out}_s WHERE NOT (s > 1e-12 * top AND abs(resid) > 2 * s) QUALIFY count(*) OVER (PARTITION BY row_key) >= 6)"""
+
+
+NETWORK = f"""WITH RECURSIVE {I.PAIRDIFF}, p0 AS (SELECT row_key, ref_idx AS i, sec_idx AS j, d, n AS w, max(abs(d)) OVER (PARTITION BY row_key) AS top FROM pairdiff QUALIFY count(*) OVER (PARTITION BY row_key) >= 6),
+{", ".join(f"{_balance(f'p{k}', f's{k}')}, {_gate(f's{k}', f'p{k + 1}')}" for k in range(4))}, {_balance("p4", "fin")},
+sq AS (SELECT row_key, count(*) AS n_used, sqrt(avg(resid * resid)) AS rms, sum(w * resid * resid) AS wss FROM fin_r WHERE part GROUP BY 1 HAVING count(*) >= 6),
+pr AS (SELECT p0.row_key, p0.i AS ref_idx, p0.j AS sec_idx, f.resid, coalesce(f.part, FALSE) AS used FROM p0 JOIN sq USING (row_key) LEFT JOIN fin_r f ON f.row_key = p0.row_key AND f.i = p0.i AND f.j = p0.j)"""
+
+
+@query("invert_network", keys="row_key", ints="epoch n_used n_epoch", digits={"x": 8, "x_std": 8, "rms": 8}, sql=NETWORK + """
+SELECT row_key, node AS epoch, x, sqrt(abs(wss / greatest(1, n_used - (m - 1)) * spread)) AS x_std, n_used, m AS n_epoch, rms FROM fin_x JOIN sq USING (row_key)""")
 def _(t):
     ep, _ = network.invert_network(I.pairdiff(t), ["row_key"], "ref_idx", "sec_idx", "d", "n", n_sigma=2.0)
     return ep
 
 
-@query("network_residuals", keys="row_key used", ints="ref_idx sec_idx", digits={"resid": 8})
+@query("network_residuals", keys="row_key used", ints="ref_idx sec_idx", digits={"resid": 8}, sql=NETWORK + " SELECT * FROM pr")
 def _(t):
     _, pr = network.invert_network(I.pairdiff(t), ["row_key"], "ref_idx", "sec_idx", "d", "n", n_sigma=2.0)
     return pr
 
 
-@query("rejected_pairs", ints="ref_idx sec_idx n_rejected")
+@query("rejected_pairs", ints="ref_idx sec_idx n_rejected", sql=NETWORK + """
+SELECT ref_idx, sec_idx, count(*) AS n_rejected FROM pr WHERE NOT used GROUP BY 1, 2 ORDER BY n_rejected DESC, ref_idx, sec_idx LIMIT 5""")
 def _(t):
     _, pr = network.invert_network(I.pairdiff(t), ["row_key"], "ref_idx", "sec_idx", "d", "n", n_sigma=2.0)
     return network.rejected_pairs(pr, "ref_idx", "sec_idx", [], 5)
@@ -306,6 +346,26 @@ def _(t):
     return _gated(t)[1]
 
 
+GATED_HOURS = f"""{I.EVENTS}, hts AS (SELECT user_id AS line_id, CAST(floor(t / 3600) % 24 AS INTEGER) AS col, CAST(floor((t - 1704067200) / 86400) AS INTEGER) AS pass_idx, value AS z FROM ev WHERE event_type = 'click'),
+td AS (SELECT CAST(floor((t - 1704067200) / 86400) AS INTEGER) AS pass_idx, avg(value) AS tide FROM ev WHERE event_type = 'view' GROUP BY 1),
+lm AS (SELECT *, count(tide) OVER (PARTITION BY line_id) AS n_ok FROM (SELECT line_id, pass_idx, avg(z) AS m, any_value(tide) AS tide FROM hts LEFT JOIN td USING (pass_idx) GROUP BY 1, 2)),
+zb AS (SELECT line_id, col // 7 AS block, pass_idx, avg(z) AS y FROM hts WHERE col // 7 < 24 // 7 GROUP BY 1, 2, 3),
+mm AS (SELECT line_id, block, max(n_ok) AS n_ok, count(tide) FILTER (n_ok >= 5) AS n, var_pop(tide) FILTER (n_ok >= 5) AS tt FROM zb JOIN lm USING (line_id, pass_idx) GROUP BY 1, 2)"""
+
+
+@query("gated_slope_status", keys="status", ints="line_id block n", sql=f"""
+WITH {GATED_HOURS} SELECT line_id, block, CASE WHEN n_ok >= 5 AND n >= 5 AND tt > 0 THEN n ELSE 0 END AS n,
+  CASE WHEN n_ok < 5 THEN 'few_passes' WHEN n < 5 THEN 'few_samples' WHEN tt > 0 THEN 'fitted' ELSE 'collinear' END AS status FROM mm""")
+def _(t):
+    # Users as lines, hours as columns, blocks of 7 hours of which the last is incomplete; no pass is gated out.
+    day = F.floor((F.col("t") - 1704067200) / 86400).cast("int")
+    h = I.series(t, "click").select(F.col("user_id").alias("line_id"), (F.floor(F.col("t") / 3600) % 24).cast("int").alias("col"), day.alias("pass_idx"), F.col("value").alias("z"))
+    d = I.series(t, "view").groupBy(day.alias("pass_idx")).agg(F.avg("value").alias("tide_m"))
+    tide = h.select("line_id", "pass_idx").distinct().join(d, "pass_idx")
+    block = F.floor(F.col("col") / 7)
+    return regress.fit_slope_gated(h, tide, ["line_id"], block, block < 24 // 7, max_sigma=1e9, common_mode=False)[0]
+
+
 # --- depth fits -------------------------------------------------------------
 
 LEG_PROFILE = "lp AS (SELECT l_suppkey AS row_key, l_quantity AS z, avg(l_extendedprice) / 1e5 AS v, stddev_samp(l_extendedprice) / 1e5 AS s FROM lineitem GROUP BY 1, 2)"

@@ -57,6 +57,16 @@ def test_network_rejects_and_points_at_the_bad_pair(spark, rng):
     assert (worst.i, worst.j) == (2, 5)
 
 
+def test_networks_that_close_exactly_keep_every_pair_and_epoch(spark, rng):
+    """Residuals of rounding size are no outliers, whatever the size of the values."""
+    rows = []
+    for k in range(1000):
+        x = np.round(rng.normal(size=7), 6) * 10.0 ** rng.integers(-6, 7)
+        rows += [(k, i, j, x[j] - x[i]) for i in range(7) for j in range(i + 1, 7)]
+    ep, pr = solve(spark, rows, n_sigma=2.0)
+    assert pr.used.all() and len(pr) == 21_000 and len(ep) == 7000 and (ep.n_epoch == 7).all()
+
+
 def test_network_unreachable_epochs_missing(spark):
     rows = [(0, i, j, TRUTH[j] - TRUTH[i]) for i, j in IJ if j < 5] + [(0, 8, 9, 1.0)]
     ep, pr = solve(spark, rows)
