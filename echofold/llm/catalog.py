@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from echofold.llm import decontaminate, language_id, near_dups, packing, pii, quality, token_counts, token_files, toxicity, url_filter  # noqa: F401
+from echofold.llm import (  # noqa: F401
+    decontaminate, language_id, near_dups, packing, pii, quality, token_counts, token_files, toxicity, url_filter, whitening,
+)
 from echofold.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -44,10 +44,11 @@ COLUMNS = {
     "op5_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op6_language_id": "doc_id held_out lang_pred score",
     "op7_toxicity": "doc_id held_out score predicted", "op8_decontamination": "doc_id item_id start n_words similarity",
     "op9_token_files": "doc_id start n_tokens ids_crc32",
-    "op10_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept"}
+    "op10_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op13_whitening": "vec_id component n deviation whitened explained identity_error"}
 
 
-def test_all_ten_are_registered(spark):
+def test_all_are_registered(spark):
     assert set(catalog.QUERIES) == set(COLUMNS)
     for name, cols in COLUMNS.items():
         if name not in ("op9_token_files", "op2_near_dups"):
