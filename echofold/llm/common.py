@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
+#: A class with more than this share of all rows is joined apart; there are fewer than 1 / SHARE of them.
+SHARE = 0.001
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -67,6 +69,15 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, keep: Column
     return picks[0].unionByName(picks[1])
 
 
+def join_hot(rows: DataFrame, classes: DataFrame, key: str, size: str, n: int) -> DataFrame:
+    """Join rows to their classes; classes with more than SHARE of the n rows, fewer than 1 / SHARE of them, are broadcast."""
+    hot = F.col(size) > SHARE * n
+    heavy = classes.where(hot)
+    names = F.broadcast(heavy.select(key))
+    light = rows.join(names, key, "left_anti").join(classes.where(~hot), key)
+    return light.unionByName(rows.join(F.broadcast(heavy), key))
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Texts of a batch, NULL as the empty text."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

@@ -15,15 +15,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.common import written
+from echofold.llm.common import join_hot, written
 from echofold.llm.registry import query, table
 from echofold.llm.vectors import dimension, matrix
 
 SCALE = 1024
 SHIFT = 100_000
 COMPONENTS = 8
-#: A vector with more than this share of all rows is joined apart; there are fewer than 1 / SHARE of them.
-SHARE = 0.001
 #: Partial sums of this many tasks are added together before the last addition.
 FOLD = 256
 #: Entries up to this stay whole numbers as doubles, also times a thousand.
@@ -100,15 +98,6 @@ def _project(dim: int, n: int, total: list[int], base: np.ndarray, rest: np.ndar
     return run
 
 
-def join_hot(rows: DataFrame, classes: DataFrame, key: str, size: str, n: int) -> DataFrame:
-    """Join rows to their classes; classes with more than SHARE of the n rows, fewer than 1 / SHARE of them, are broadcast."""
-    hot = F.col(size) > SHARE * n
-    heavy = classes.where(hot)
-    names = F.broadcast(heavy.select(key))
-    light = rows.join(names, key, "left_anti").join(classes.where(~hot), key)
-    return light.unionByName(rows.join(F.broadcast(heavy), key))
-
-
 def whiten(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", components: int = COMPONENTS, scale: float = SCALE, shift: int = SHIFT,
            weights: str = "count") -> DataFrame:
     """Whitened coordinates of every row: vec_id, n, deviation (text of a whole number), whitened (array), explained (array), identity_error.

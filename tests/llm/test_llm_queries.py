@@ -45,13 +45,14 @@ COLUMNS = {
     "op7_toxicity": "doc_id held_out score predicted", "op8_decontamination": "doc_id item_id start n_words similarity",
     "op9_token_files": "doc_id start n_tokens ids_crc32",
     "op10_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op12_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op13_whitening": "vec_id component n deviation whitened explained identity_error"}
 
 
 def test_all_are_registered(spark):
     assert set(catalog.QUERIES) == set(COLUMNS)
     for name, cols in COLUMNS.items():
-        if name not in ("op9_token_files", "op2_near_dups"):
+        if name not in ("op9_token_files", "op2_near_dups", "op12_warc"):
             df = catalog.QUERIES[name](spark, SF)
             assert set(cols.split()) <= set(df.columns), name
 
