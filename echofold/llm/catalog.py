@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from echofold.llm import (  # noqa: F401
-    decontaminate, language_id, near_dups, packing, pii, quality, token_counts, token_files, toxicity, url_filter, warc, whitening,
+    decontaminate, hard_negatives, language_id, near_dups, packing, pii, quality, token_counts, token_files, toxicity, url_filter, warc, whitening,
 )
 from echofold.llm.registry import ORACLE, QUERIES
 

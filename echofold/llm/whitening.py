@@ -113,7 +113,7 @@ def whiten(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", c
     """
     if weights not in ("count", "one"):
         raise ValueError(f"unknown weights {weights!r}")
-    src = rows.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    src = rows.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"))
     dim = dimension(src, F.col("v"))
     kind = src.schema["vec_id"].dataType.simpleString()
     flat = written(src.mapInArrow(_whole(dim, scale, shift), f"vec_id {kind}, x binary"), "whole")

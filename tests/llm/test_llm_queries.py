@@ -28,7 +28,7 @@ def duck(con, name):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings"):
         duck(con, t)
     got = catalog.QUERIES[name](spark, SF).toPandas()
     want = con.execute(catalog.ORACLE[name]).df()
@@ -45,6 +45,7 @@ COLUMNS = {
     "op7_toxicity": "doc_id held_out score predicted", "op8_decontamination": "doc_id item_id start n_words similarity",
     "op9_token_files": "doc_id start n_tokens ids_crc32",
     "op10_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op11_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
     "op12_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op13_whitening": "vec_id component n deviation whitened explained identity_error"}
 
@@ -52,7 +53,7 @@ COLUMNS = {
 def test_all_are_registered(spark):
     assert set(catalog.QUERIES) == set(COLUMNS)
     for name, cols in COLUMNS.items():
-        if name not in ("op9_token_files", "op2_near_dups", "op12_warc"):
+        if name not in ("op9_token_files", "op2_near_dups", "op11_hard_negatives", "op12_warc", "op13_whitening"):
             df = catalog.QUERIES[name](spark, SF)
             assert set(cols.split()) <= set(df.columns), name
 
