@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echofold.operators.interp import interp_lookup
-from echofold.operators.scan import TILE, Scan, ordered, tiled
+from echofold.operators.scan import TILE, Scan, ordered, settle
 from echofold.params import C_LIGHT, EPS_ICE, KOVACS_A, RHO_ICE, ROWS_PER_TILE, SEC_PER_YEAR, FirnParams
 
 
@@ -29,7 +29,7 @@ def index_of(rho: Column, p: FirnParams) -> Column:
 def running_trapezoid(df: DataFrame, x: str, y: str, by: list[str], out: str = "integral",
                       rows: int = ROWS_PER_TILE, bounded: bool = False) -> DataFrame:
     """Cumulative trapezoid of y over x, 0 at the first point of each group."""
-    d = df if bounded else tiled(df, by, x, rows)
+    d, bounded = settle(df, by, x, bounded, rows)
     d = ordered(d, by, x, [Scan("_px", F.col(x), "prev"), Scan("_py", F.col(y), "prev")], bounded, rows)
     d = d.withColumn("_area", F.coalesce((F.col(x) - F.col("_px")) * (F.col(y) + F.col("_py")) / 2, F.lit(0.0)))
     return ordered(d, by, x, [Scan(out, F.col("_area"), "sum")], bounded, rows).drop("_px", "_py", "_area", TILE)

@@ -1,10 +1,11 @@
 """Ordered computations over groups of any size.
 
-A group is cut into tiles along its order, each tile is scanned on its own, and
-one summary row per tile carries the running state across tiles: a tile is the
-largest piece of work. Nothing looks at the data to choose between plans; only a
-caller who knows that groups are small (`bounded=True`) gets a plain window. NULL
-is a group like any other, so all joins on groups are null-safe.
+A group too large for one task is cut into tiles along its order, each tile is scanned on its
+own, and one summary row per tile carries the running state across tiles: a tile is the
+largest piece of work. The cuts come from a sample of the places; rows are never written
+on the way, they are exchanged once by group and tile. Only a caller who knows that groups are
+small (`bounded=True`) saves the count of the groups. NULL is a group like any other, so all
+joins on groups are null-safe.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql.window import WindowSpec
 from echofold.params import ROWS_PER_TILE
 from echofold.session import cut_lineage
 
+#: Sampled places for each tile, and the most cuts of all groups together.
+PER_TILE, MOST_CUTS = 16, 200_000
 TILE = "_tile"
 HALO = "_halo"
 
@@ -67,71 +70,73 @@ def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.join(r, on, how).drop(*[f"_r_{c}" for c in keys])
 
 
-def _place(df: DataFrame, c: str) -> Column:
-    """A double that never falls where the column rises; what shares it stays in one tile.
+def cuts(df: DataFrame, by, order, rows: int = ROWS_PER_TILE) -> DataFrame | None:
+    """Where groups of more than `rows` rows are cut: by, _cut_places (chunks of places in order); None if there is no such group.
 
-    Text counts by its first six bytes.
+    A place is the struct of all order columns, so a value that many rows share is cut by the columns
+    after it. The places come from a sample of those groups alone, PER_TILE for each tile, sorted
+    per group; all rows are taken where that is as many. There are at most MOST_CUTS cuts, for which tiles grow
+    beyond `rows` if they have to. Only this table is computed and checkpointed here: tiles are a
+    function of the row and these cuts, so no lost executor can mix two sets of them.
     """
-    kind = dict(df.dtypes)[c]
-    if kind in ("string", "binary"):
-        six = F.rpad(F.hex(F.substring(F.col(c).cast("binary"), 1, 6)), 12, "0")
-        return F.conv(six, 16, 10).cast("double")
-    if kind == "date":
-        return F.unix_date(c).cast("double")
-    return F.col(c).cast("timestamp" if kind == "timestamp_ntz" else kind).cast("double")
+    by, order = _names(by), _names(order)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    total, top = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    if top is None or top <= rows:
+        return None
+    rows = max(rows, -(-2 * total // MOST_CUTS))
+    large = cut_lineage(sizes.where(F.col("_n") > rows))                     # fewer than MOST_CUTS / 2 rows
+    share = 2 * PER_TILE / rows
+    keys = df.select(*by, F.struct(*order).alias("_at"))
+    picked = join_groups(keys if share > 0.5 else keys.sample(share, seed=17), F.broadcast(large), by)
+    per = picked.groupBy(*by).agg(F.array_sort(F.collect_list("_at")).alias("_s"), F.first("_n").alias("_n"))
+    m = F.ceil(2 * F.col("_n") / rows)
+    places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), m - 1)), lambda i: F.element_at(
+        "_s", F.greatest(F.lit(1), F.floor(i * F.size("_s") / m)).cast("int"))))
+    per = per.select(*by, places.alias("_p")).withColumn("_k", F.ceil(F.sqrt(F.size("_p"))).cast("int"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_p") - 1) / F.col("_k")).cast("int")), lambda c: F.slice("_p", c * F.col("_k") + 1, F.col("_k")))
+    return cut_lineage(per.select(*by, chunks.alias("_cut_places")))
+
+
+def cut_at(df: DataFrame, by, order, where: DataFrame | None) -> DataFrame:
+    """Add the tile number: how many cuts of its group lie below a row. The chunk is looked up first, then the place within it."""
+    by, order = _names(by), _names(order)
+    if where is None:
+        return df.withColumn(TILE, F.lit(0).cast("long"))
+    at = F.struct(*order)
+    d = join_groups(df, F.broadcast(where), by, "left").withColumn("_cut_chunk", F.size(F.filter("_cut_places", lambda c: F.get(c, F.lit(0)) < at)))
+    inner = F.size(F.filter(F.get("_cut_places", F.col("_cut_chunk") - 1), lambda p: p < at))
+    tile = F.when(F.col("_cut_chunk") > 0, (F.col("_cut_chunk") - 1) * F.size(F.get("_cut_places", F.lit(0))) + inner).otherwise(0)
+    return d.withColumn(TILE, tile.cast("long")).drop("_cut_places", "_cut_chunk")
 
 
-def _below(x: Column) -> Column:
-    """How many cuts lie below a place."""
-    return F.coalesce(F.size(F.filter("_q", lambda c: c < x)), F.lit(0))
+def tile(df: DataFrame, by, order, rows: int = ROWS_PER_TILE) -> DataFrame:
+    """Add a tile number, increasing along `order` within each group; a tile has about rows / 2 rows.
 
+    Rows that agree in all order columns have no order and stay together; NULL places come first.
+    """
+    return cut_at(df, by, order, cuts(df, by, order, rows))
 
-def tile(df: DataFrame, by, order, rows: int = ROWS_PER_TILE, fan: int = 64) -> DataFrame:
-    """Add a tile number, increasing along `order` within each group, tiles of at most `rows` rows.
 
-    Groups and tiles that are too large are cut at approximate quantiles of
-    their own first order column until none is left that can be cut; a tile
-    all of whose rows share that column is cut by the next one. Rows that agree in all
-    order columns have no order and stay together, as do rows with a NULL there. The cuts are
-    checkpointed before they are used and so is the frame: a lost executor cannot mix two sets of cuts.
-    """
-    by, order = _names(by), _names(order)
-    t = df.withColumn(TILE, F.lit(0).cast("long"))
-    keys = [*by, TILE]
-    for level, c in enumerate(order):
-        x = _place(df, c)
-        # All earlier columns must be one and the same value.
-        alone = F.lit(True)
-        for e in order[:level]:
-            alone = alone & F.coalesce(F.min(e) == F.max(e), F.lit(False)) & (F.count(e) == F.count(F.lit(1)))
-        while True:
-            size = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), alone.alias("_ok"))
-            over = cut_lineage(size.where((F.col("_n") > rows) & (F.col("_lo") < F.col("_hi")) & F.col("_ok")).select(*keys, "_lo", "_n"))
-            pieces = over.agg(F.max(F.ceil(F.col("_n") / rows))).first()[0]
-            if pieces is None:
-                break
-            k = int(min(max(pieces, 2), fan))
-            cuts = F.percentile_approx(x, [q / k for q in range(1, k)], F.lit(20 * fan))
-            q = join_groups(t, over, keys).groupBy(*keys).agg(F.array_sort(F.array_distinct(F.concat(F.array(F.first("_lo")), cuts))).alias("_q"))
-            d = join_groups(t, cut_lineage(q), keys, "left")
-            below = _below(x)
-            t = cut_lineage(d.withColumn(TILE, F.col(TILE) * (k + 1) + F.when(F.col("_q").isNotNull(), below).otherwise(0)).drop("_q"))
-    return t
-
-
-def tiled(df: DataFrame, by, order, rows: int = ROWS_PER_TILE) -> DataFrame:
-    """The frame with tiles; a frame that has them keeps them."""
-    return df if TILE in df.columns else tile(df, by, order, rows)
+def settle(df: DataFrame, by, order, bounded: bool = False, rows: int = ROWS_PER_TILE) -> tuple[DataFrame, bool]:
+    """The frame with tiles, once for all scans to come, and whether plain windows do because no group needs any."""
+    if bounded or TILE in df.columns:
+        return df, bounded
+    where = cuts(df, by, order, rows)
+    return (df, True) if where is None else (cut_at(df, by, order, where), False)
 
 
 def scan(df: DataFrame, by, order, specs: list[Scan], rows: int = ROWS_PER_TILE) -> DataFrame:
     """Add the running quantities `specs`, ordered by `order` within `by`.
 
     `order` is one column or a list, the later ones break ties. A frame that is
-    tiled already keeps its tiles. NULL orders come first, as in a window.
+    tiled already keeps its tiles. NULL orders come first, as in a window. Where no group has
+    more than `rows` rows there is one tile each and nothing to carry, which is a plain window.
     """
     by, order = _names(by), _names(order)
-    t = tiled(df, by, order, rows)
+    t, plain = settle(df, by, order, False, rows)
+    if plain:
+        return ordered(df, by, order, specs, True)
     key = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
     w = Window.partitionBy(*by, TILE).orderBy(*order)
     up, before = _running(w)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofold.functions.columns import wrap
-from echofold.operators.scan import TILE, Scan, ordered, spread_over, tiled
+from echofold.operators.scan import TILE, Scan, ordered, settle, spread_over
 from echofold.params import ROWS_PER_TILE
 
 
@@ -18,11 +18,6 @@ def reference_bin(surface: Column, t0: Column, dt: Column, nt: Column, offset: f
     return F.when((pos >= 0) & (pos <= nt - 1), F.round(pos).cast("int"))
 
 
-def settle(df: DataFrame, by, order: str, bounded: bool, rows: int) -> tuple[DataFrame, bool]:
-    """Traces that fit a task by construction stay as they are, others are tiled once for all scans to come."""
-    return (df, True) if bounded else (tiled(df, by, order, rows), False)
-
-
 def steps(df: DataFrame, by: list[str], coh_thr: float, bounded: bool = True, rows: int = ROWS_PER_TILE,
           order: str = "bin") -> DataFrame:
     """Trusted wrapped steps along a trace: `coherent`, `step_ok`, `dphi` (0 where not trusted)."""
@@ -43,14 +38,23 @@ def last_valid_bin(stepped: DataFrame, by: list[str], max_gap: int, bounded: boo
     order column counts samples without holes.
     """
     stepped, bounded = settle(stepped, by, order, bounded, rows)
-    n = F.col(order)
-    anchor = F.when(F.col("step_ok") | (n <= F.col("ref_bin")), n)
-    d = ordered(stepped, by, order, [Scan("_good", anchor, "last")], bounded, rows)
-    over = (n > F.col("ref_bin")) & (n - F.col("_good") > max_gap)
-    d = spread_over(d, by, {"_over": F.min(F.when(over, n))}, bounded)
+    d = ordered(stepped, by, order, [_anchored(order)], bounded, rows)
+    d = spread_over(d, by, {"_over": _first_over(order, max_gap)}, bounded)
     return d.withColumn("last_bin", F.col("_over") - max_gap - 1).drop("_good", "_over")
 
 
+def _anchored(order: str) -> Scan:
+    """The last bin that a gap can be counted from."""
+    n = F.col(order)
+    return Scan("_good", F.when(F.col("step_ok") | (n <= F.col("ref_bin")), n), "last")
+
+
+def _first_over(order: str, max_gap: int) -> Column:
+    """The first bin at which a gap has become too long."""
+    n = F.col(order)
+    return F.min(F.when((n > F.col("ref_bin")) & (n - F.col("_good") > max_gap), n))
+
+
 def unwrap_from_reference(df: DataFrame, fc: Column | float, by: list[str], coh_thr: float = 0.3, max_gap: int = 20,
                           sign: int = -1, bounded: bool = True, rows: int = ROWS_PER_TILE,
                           order: str = "bin") -> DataFrame:
@@ -64,16 +68,17 @@ def unwrap_from_reference(df: DataFrame, fc: Column | float, by: list[str], coh_
     fc = F.lit(float(fc)) if not isinstance(fc, Column) else fc
     df, bounded = settle(df, by, order, bounded, rows)
     d = steps(df, by, coh_thr, bounded, rows, order)
-    d = ordered(d, by, order, [Scan("_C", F.col("dphi"), "sum")], bounded, rows)
+    # The sums and the gaps hang on the steps alone, so one scan and one total per trace do for both.
+    d = ordered(d, by, order, [Scan("_C", F.col("dphi"), "sum"), _anchored(order)], bounded, rows)
     n, r = F.col(order), F.col("ref_bin")
-    d = spread_over(d, by, {"_Cr": F.max(F.when(n == r, F.col("_C")))}, bounded)
-    d = last_valid_bin(d, by, max_gap, bounded, rows, order)
+    d = spread_over(d, by, {"_Cr": F.max(F.when(n == r, F.col("_C"))), "_over": _first_over(order, max_gap)}, bounded)
+    d = d.withColumn("last_bin", F.col("_over") - max_gap - 1)
     ok = F.col("coherent") & r.isNotNull() & F.col("_Cr").isNotNull() & (
         F.col("last_bin").isNull() | (n <= F.col("last_bin")))
     tau = F.when(ok, F.lit(float(sign)) * (F.col("_C") - F.col("_Cr")) / (F.lit(2 * math.pi) * fc))
     d = split_above_reference(d.withColumn("_tau", tau), "_tau", order)
     return d.withColumn("valid", F.col("dtau").isNotNull()).drop(
-        "_C", "_Cr", "_tau", "coherent", "step_ok", "dphi", TILE)
+        "_C", "_Cr", "_good", "_over", "_tau", "coherent", "step_ok", "dphi", TILE)
 
 
 def split_above_reference(df: DataFrame, tau: str, order: str = "bin") -> DataFrame:

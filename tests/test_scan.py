@@ -31,6 +31,27 @@ def test_tiles_stay_small(skewed):
     assert big <= 120 and df.where("g = 0").count() == 500
 
 
+def test_cuts_of_a_sample_hold_for_a_large_group(spark):
+    """200,000 rows of one group and a place that a third of them share: tiles near half of `rows`, in order, none empty."""
+    df = spark.range(200_000).select(F.lit("a").alias("g"), F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.rand(3) * 100).alias("x"), "id").unionByName(
+        spark.range(300).select(F.lit("b").alias("g"), F.col("id").cast("double").alias("x"), (F.col("id") + 10**6).alias("id")))
+    df = df.repartition(6)
+    t = scan.tile(df, "g", ["x", "id"], 5000).groupBy("g", scan.TILE).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("x", "id")).alias("lo"), F.max(F.struct("x", "id")).alias("hi")).toPandas().sort_values(["g", scan.TILE])
+    a = t[t.g == "a"].reset_index(drop=True)
+    assert list(a[scan.TILE]) == list(range(len(a))) and 70 <= len(a) <= 80 and a.n.max() <= 5000 and list(t[t.g == "b"].n) == [300]
+    assert all(tuple(p) < tuple(q) for p, q in zip(a.hi[:-1], a.lo[1:], strict=True))
+
+
+def test_plan_has_one_exchange_of_the_payload_and_no_checkpoint_of_it(skewed):
+    df, _ = skewed
+    wide = df.withColumn("payload", F.lit("x" * 10))
+    text = scan.scan(wide, "g", ["x", "id"], [Scan("s", F.col("v"), "sum"), Scan("l", F.col("v"), "last")], rows=60)._jdf.queryExecution().executedPlan().toString()
+    lines = text.splitlines()
+    scans = [k for k, line in enumerate(lines) if "Scan ExistingRDD" in line]
+    assert len([k for k in lines if "Exchange hashpartitioning(g" in k and "_tile" in k]) <= 3 and len(scans) == 4          # rows and totals, each with the cuts
+
+
 def test_tiled_scan_equals_window(skewed):
     df, _ = skewed
     specs = [Scan(k, F.col("v"), k) for k in KINDS]
