@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echofold.functions.columns import safe_div
+from echofold.operators.nearest import CAP, cell_tree, near_pairs
 from echofold.operators.quantiles import medians, robust_scale
 from echofold.operators.scan import Scan, join_groups, ordered
 from echofold.params import ROWS_PER_TILE
+from echofold.session import cut_lineage
+
+#: So many lines, with one number each, are broadcast at most.
+BROADCAST_LINES = 200_000
 
 
 def nearest_match(a: DataFrame, b: DataFrame, on: str, tol: float, by=(), id_b: str = "id", rows: int = ROWS_PER_TILE) -> DataFrame:
@@ -37,26 +42,33 @@ def nearest_match(a: DataFrame, b: DataFrame, on: str, tol: float, by=(), id_b:
         F.col("gap") <= tol)
 
 
-def nearest_match_xy(a: DataFrame, b: DataFrame, tol: float, id_a: str, id_b: str, xa=("x", "y"), xb=("x", "y"), by=(),
-                     distance: Column | None = None) -> DataFrame:
+def nearest_match_xy(a: DataFrame, b: DataFrame, tol: float, id_a: str, id_b: str, xa=("x", "y"), xb=("x", "y"), by=(), crowd: int = CAP) -> DataFrame:
     """Nearest row of `b` within `tol` in the plane, per row of `a`.
 
     Cells of size tol; `a` looks into its own and the eight around it, and the
-    minimum is combined map-side. `by` is the line: its blocks do not overlap,
-    so a cell holds a handful of positions, and coinciding ones are merged
-    (lowest id). Both sides keep only id and position until the match is made.
+    minimum is combined map-side. Coinciding positions of `b` are merged (lowest id). Where a cell
+    holds more than `crowd` positions, the rows of `a` that would look into it search the tree of cells
+    instead, in which crowded cells are cut; the result is the same. Both sides keep only id and position until the match is made.
     """
     by = list(by)
     cell = lambda c: F.floor(F.col(c) / tol)
     pb = b.where(F.col(xb[0]).isNotNull() & F.col(xb[1]).isNotNull()).groupBy(
         *by, F.col(xb[0]).alias("_bx"), F.col(xb[1]).alias("_by")).agg(F.min(id_b).alias(id_b))
-    pb = pb.withColumn("_cx", F.floor(F.col("_bx") / tol)).withColumn("_cy", F.floor(F.col("_by") / tol))
+    cells = pb.withColumn("_cx", F.floor(F.col("_bx") / tol)).withColumn("_cy", F.floor(F.col("_by") / tol))
     near = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
-    pa = a.select(*by, id_a, F.col(xa[0]).alias("_ax"), F.col(xa[1]).alias("_ay"), near(xa[0]).alias("_cx")).withColumn(
-        "_cy", F.explode(F.sequence(F.floor(F.col("_ay") / tol) - 1, F.floor(F.col("_ay") / tol) + 1)))
-    d = distance if distance is not None else F.hypot(F.col("_ax") - F.col("_bx"), F.col("_ay") - F.col("_by"))
-    j = pa.join(pb, [*by, "_cx", "_cy"]).withColumn("gap", d).where(F.col("gap") <= tol)
-    best = j.groupBy(*by, id_a).agg(F.min(F.struct("gap", id_b)).alias("_m"))
+    pa = a.select(*by, id_a, F.col(xa[0]).cast("double").alias("_ax"), F.col(xa[1]).cast("double").alias("_ay"))
+    looks = pa.withColumn("_cx", near("_ax")).withColumn("_cy", near("_ay"))
+    crowded = cells.groupBy(*by, "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd).drop("_n")
+    crowded = cut_lineage(crowded)
+    hits = None
+    if not crowded.isEmpty():
+        full = looks.join(crowded, [*by, "_cx", "_cy"], "left_semi").select(*by, id_a).distinct()
+        tree = cell_tree(pb, "_bx", "_by", by, cap=crowd)
+        hits = near_pairs(pa.join(full, [*by, id_a], "left_semi"), tree, [id_a], "_ax", "_ay", within=tol).select(*by, id_a, "gap", F.col(f"point.{id_b}").alias(id_b))
+        looks = looks.join(full, [*by, id_a], "left_anti")
+    j = looks.join(cells, [*by, "_cx", "_cy"]).withColumn("gap", F.hypot(F.col("_ax") - F.col("_bx"), F.col("_ay") - F.col("_by"))).select(*by, id_a, "gap", id_b)
+    j = j if hits is None else j.unionByName(hits)
+    best = j.where(F.col("gap") <= tol).groupBy(*by, id_a).agg(F.min(F.struct("gap", id_b)).alias("_m"))
     return best.select(*by, id_a, f"_m.{id_b}", "_m.gap")
 
 
@@ -88,37 +100,29 @@ def build_change(a: DataFrame, b: DataFrame, keys: list[str], by: list[str], v:
     return join_groups(med, top, by)
 
 
-def project_on_track(points: DataFrame, tracks: DataFrame, point_id: str = "site", chunk: int = 2000, rows: int = ROWS_PER_TILE) -> DataFrame:
+def project_on_track(points: DataFrame, tracks: DataFrame, point_id: str = "site", rows: int = ROWS_PER_TILE) -> DataFrame:
     """Along-track position and offset of each point on the closest of several tracks.
 
     The nearest vertex of a line, then the better of its two segments, then the
-    better line. Points are few (stations): they travel as literals, `chunk` at
-    a time, and each pass over the tracks keeps one candidate per point and
-    task. `points`: id, x, y; `tracks`: line_id, col, x, y, along_m.
+    better line. A line can win only if its nearest vertex is at most half its longest segment
+    farther than the nearest vertex of all, so the search in the tree of cells keeps these lines and no others, for
+    points next to a track as for points far off. `points`: id, x, y; `tracks`: line_id, col, x, y, along_m.
+    Points and vertices without a position are left out.
     """
+    kind = dict(points.dtypes)[point_id]
+    known = points.where("x is not null and y is not null").select(F.col(point_id).alias("id"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).distinct()
     seg = ordered(tracks, ["line_id"], "col", [
         Scan("_b", F.struct("x", "y", "along_m"), "prev"), Scan("_f", F.struct("x", "y", "along_m"), "follow")], rows=rows)
-    kind = dict(points.dtypes)[point_id]
-    known = points.where("x is not null and y is not null").select(point_id, "x", "y")
-    out, last = None, None
-    while True:
-        nxt = known if last is None else known.where(F.col(point_id) > F.lit(last))
-        part = nxt.orderBy(point_id).limit(chunk).collect()    # at most `chunk` rows
-        if not part:
-            break
-        last = part[-1][0]
-        lit = F.array(*[F.struct(F.lit(p[0]).cast(kind).alias("id"), F.lit(p[1]).alias("px"), F.lit(p[2]).alias("py")) for p in part])
-        d = seg.withColumn("_q", F.explode(lit))
-        d = d.select("line_id", "col", "x", "y", "along_m", "_b", "_f", "_q.id", "_q.px", "_q.py")
-        gap = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
-        near = d.groupBy("id", "line_id").agg(F.min(F.struct(gap.alias("gap"), F.col("col"), F.struct(
-            "x", "y", "along_m", "_b", "_f", "px", "py").alias("r"))).alias("m"))
-        got = near.select("id", "line_id", "m.r.*")
-        out = got if out is None else out.unionByName(got)
-        if len(part) < chunk:
-            break
-    if out is None:
+    step = F.hypot(F.col("_f.x") - F.col("x"), F.col("_f.y") - F.col("y"))
+    longest = cut_lineage(seg.groupBy("line_id").agg((F.coalesce(F.max(step), F.lit(0.0)) / 2).alias("_long")))
+    few = longest.count() <= BROADCAST_LINES
+    seg = join_groups(seg, F.broadcast(longest) if few else longest, ["line_id"])
+    tree = cell_tree(seg, "x", "y", half=F.col("_long"))
+    if tree is None:
         return points.sparkSession.createDataFrame([], f"{point_id} {kind}, line_id {dict(tracks.dtypes)['line_id']}, along_m double, off_m double")
+    pair = near_pairs(known, tree, ["id", "px", "py"], "px", "py").withColumn("line_id", F.col("point.line_id"))
+    near = pair.groupBy("id", "px", "py", "line_id").agg(F.min(F.struct("gap", F.col("point.col").alias("col"), "point")).alias("m"))
+    out = near.select("id", "px", "py", "line_id", *[F.col(f"m.point.{c}").alias(c) for c in ("x", "y", "along_m", "_b", "_f")])
 
     def side(c: str) -> Column:
         vx, vy = F.col(f"{c}.x") - F.col("x"), F.col(f"{c}.y") - F.col("y")
@@ -188,19 +192,17 @@ def layer_to_blocks(blocks: DataFrame, picks: DataFrame, half_len: float, max_cr
 
 
 def nearest_other(blocks: DataFrame) -> DataFrame:
-    """Unit vector from each block to its nearest neighbour on the line.
+    """Unit vector from each block (once per line) to its nearest neighbour on the line, the lowest block on a tie.
 
-    Blocks of a line are tens (its length over the block length), so they are
-    packed per line and the neighbour is looked up inside the row.
+    A line of few blocks is one cell of the tree, a long one is cut.
     """
-    packed = blocks.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("block", "x", "y"))).alias("_all"))
-    d = blocks.join(packed, "line_id")
-    gap = lambda e: F.hypot(e["x"] - F.col("x"), e["y"] - F.col("y"))
-    others = F.transform(F.filter("_all", lambda e: e["block"] != F.col("block")),
-                         lambda e: F.struct(gap(e).alias("g"), e["block"].alias("o"), e["x"].alias("ox"), e["y"].alias("oy")))
-    d = d.withColumn("_m", F.array_min(others)).where("_m is not null and _m.g > 0")
-    return d.select("line_id", "block", ((F.col("_m.ox") - F.col("x")) / F.col("_m.g")).alias("ux"),
-                    ((F.col("_m.oy") - F.col("y")) / F.col("_m.g")).alias("uy"))
+    b = blocks.select("line_id", "block", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    tree = cell_tree(b, "x", "y", ["line_id"])
+    if tree is None:
+        return b.where("1 = 0").select("line_id", "block", F.col("x").alias("ux"), F.col("y").alias("uy"))
+    j = near_pairs(b, tree, ["block"], "x", "y", others=True).where("point.block <> block")
+    m = j.groupBy("line_id", "block", "x", "y").agg(F.min(F.struct("gap", F.col("point.block").alias("o"), F.col("point.x").alias("ox"), F.col("point.y").alias("oy"))).alias("m"))
+    return m.where("m.gap > 0").select("line_id", "block", ((F.col("m.ox") - F.col("x")) / F.col("m.gap")).alias("ux"), ((F.col("m.oy") - F.col("y")) / F.col("m.gap")).alias("uy"))
 
 
 def window_mean_at(df: DataFrame, windows: DataFrame, half: Column | float, by: list[str], col: str = "col", v: str = "v",
