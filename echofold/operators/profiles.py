@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +11,10 @@ from echofold.functions.columns import db, power, safe_div
 from echofold.operators.quantiles import medians
 from echofold.operators.scan import Scan, join_groups, moving, ordered, rows_around, spread_over
 from echofold.params import ROWS_PER_TILE
+from echofold.session import cut_lineage
+
+#: Columns of a tile of a section, and how many tiles' maps are put together at a time.
+LAYER_COLUMNS, FOLD = 256, 256
 
 
 def change_point(df: DataFrame, x: str, v: str, by: list[str], min_side: int = 3, min_contrast: float = 0.5, sign: int = 1,
@@ -169,53 +171,149 @@ def _box(a: np.ndarray, k: int) -> np.ndarray:
         return (total[k:] - total[:-k]) / (n[k:] - n[:-k])
 
 
+def _smoothed(pdf: pd.DataFrame, z: np.ndarray, lo: int, hi: int, nc: int) -> np.ndarray:
+    """Columns lo..hi-1 of a line's image over the depths z, smoothed by 5 depths x 3 columns; -inf where a sample is missing.
+
+    `pdf` (pos, z, db) holds the neighbour columns too.
+    """
+    a, b = max(lo - 1, 0), min(hi + 1, nc)
+    img = np.full((len(z), b - a), np.nan)
+    img[np.searchsorted(z, pdf["z"].to_numpy(float)), pdf["pos"].to_numpy(np.int64) - a] = pdf["db"].to_numpy(float)
+    there = np.isfinite(img)
+    img = _box(_box(img, 5).T, 3).T
+    return np.where(there & np.isfinite(img), img, -np.inf)[:, lo - a:hi - a]
+
+
+def _follow(z: np.ndarray, step: float, zmin: float):
+    """For a column's values: from every row, the row of the strongest value within one step, the lowest depth on a tie; -1 for none."""
+    low = np.maximum(np.searchsorted(z, z - step, "left"), np.searchsorted(z, zmin, "left"))
+    high = np.searchsorted(z, z + step, "right")
+    at = low[:, None] + np.arange(max(int((high - low).max(initial=0)), 1))
+    inside, at = at < high[:, None], np.minimum(at, len(z) - 1)
+
+    def of(values: np.ndarray) -> np.ndarray:
+        near = np.where(inside, values[at], -np.inf)
+        best = near.argmax(axis=1)
+        return np.where(near.max(axis=1) > -np.inf, low + best, -1)
+    return of
+
+
+def _through(maps, rows: np.ndarray) -> np.ndarray:
+    """Rows followed through one map after another; -1 stays."""
+    for m in maps:
+        rows = np.where(rows >= 0, m[rows], -1)
+    return rows
+
+
 def track_layer(section: DataFrame, line: str = "line_id", window=(250.0, 330.0), step: float = 6.0, zmin: float = 150.0,
-                smooth: int = 9, start: int | None = None) -> DataFrame:
+                smooth: int = 9, start: int | None = None, width: int = LAYER_COLUMNS, rows: int = ROWS_PER_TILE) -> DataFrame:
     """Follow the strongest return along a section (line, col, z, db), outward from a start column.
 
-    Each column looks within `step` of its neighbour's depth, a recursion along
-    the line: the section is already reduced to one value per column and
-    depth, and one line's section is one small dense image over the depths that occur in any
-    of its columns. A depth that a column lacks is no candidate there. Where
-    nothing is near, or no depth lies in `window`, the path ends and the depth
-    is NULL. The result is the moving median of the path, raw at the ends.
+    Each column looks within `step` of its neighbour's depth, a recursion along the line. A depth that a
+    column lacks is no candidate there. Where nothing is near, or no depth lies in `window`, the path
+    ends and the depth is NULL. The result is the moving median of the path, raw at the ends.
+
+    A line is cut into tiles of `width` columns, each with the neighbour columns its smoothing needs. What a tile does to
+    a path is a map from the depth it enters at to the depth it leaves at, for all depths at once; such maps are
+    put together tile after tile, FOLD of them at a time, which gives each tile the depth it is entered at, and then
+    every tile follows its own columns. No task sees more than one tile's columns or FOLD maps and
+    one map for FOLD tiles. The depths of a line are the bins of its traces.
     """
-    kind = dict(section.dtypes)[line]
-    sm = section.groupBy(line, "col", "z").agg(F.avg("db").alias("db"))
-
-    def per_line(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        image = pdf.dropna(subset=["col", "z"]).pivot(index="z", columns="col", values="db").sort_index().sort_index(axis=1)
-        z, img = image.index.to_numpy(float), image.to_numpy(float)
-        there = np.isfinite(img)
-        img = _box(_box(img, 5).T, 3).T
-        img = np.where(there & np.isfinite(img), img, -np.inf)
-        # For every depth, the range of depths within one step of it.
-        lo, hi = np.searchsorted(z, z - step, "left"), np.searchsorted(z, z + step, "right")
-        first = int(np.searchsorted(z, zmin, "left"))
-        nc = img.shape[1]
-        seed = max(min(nc - 1, (nc + 1) // 2 - 1) if start is None else start, 0)
-
-        def follow(at: int, c: int) -> int:
-            """Row of the strongest candidate of column c near row `at`; -1 where there is none."""
-            if at < 0:
-                return -1
-            low = max(int(lo[at]), first)
-            near = img[low:int(hi[at]), c]
-            return low + int(near.argmax()) if len(near) and near.max() > -np.inf else -1
-
-        inside = np.where((z >= window[0]) & (z <= window[1]), img[:, seed] if nc else -np.inf, -np.inf)
-        origin = int(inside.argmax()) if len(inside) and inside.max() > -np.inf else -1
-        right = list(accumulate(range(seed + 1, nc), follow, initial=origin))
-        left = list(accumulate(range(seed - 1, -1, -1), follow, initial=origin))
-        rows = np.array(left[:0:-1] + right)
-        path = np.where(rows >= 0, z[rows], np.nan) if len(z) else np.zeros(0)
-        out = pd.Series(path).rolling(smooth, center=True, min_periods=1).median().where(~np.isnan(path)).to_numpy(copy=True)
-        half = min(smooth // 2, nc // 2)
-        if half:
-            out[:half], out[-half:] = path[:half], path[-half:]
-        return pd.DataFrame({line: [key[0]] * nc, "col": image.columns.to_numpy(), "depth": pd.array([None if np.isnan(v) else v for v in out], dtype="Float64")})
-
-    return sm.groupBy(line).applyInPandas(per_line, f"{line} {kind}, col {dict(section.dtypes)['col']}, depth double")
+    kinds = dict(section.dtypes)
+    sm = section.where(F.col(line).isNotNull() & F.col("col").isNotNull() & F.col("z").isNotNull() & ~F.isnan(F.col("z").cast("double"))).groupBy(
+        line, "col", F.col("z").cast("double").alias("z")).agg(F.avg("db").cast("double").alias("db"))
+    axis = sm.groupBy(line).agg(F.array_sort(F.collect_set("z")).alias("axis"))
+    cols = ordered(sm.select(line, "col").distinct(), [line], "col", [Scan("_i", F.lit(1).cast("long"), "sum")], rows=rows).withColumn("pos", F.col("_i") - 1).drop("_i")
+    cols = cut_lineage(cols)
+    info = axis.join(cols.groupBy(line).agg(F.count(F.lit(1)).alias("nc")), line)
+    seed = F.lit(start) if start is not None else F.floor((F.col("nc") + 1) / 2) - 1
+    info = info.withColumn("seed", F.greatest(F.lit(0), F.least(F.col("nc") - 1, seed)).cast("long"))
+    home = F.floor(F.col("seed") / width)
+    tiles = info.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("nc") - 1) / width)))).withColumn("k", F.col("tile") - home)
+    # Columns of their own, as tiles and samples stem from one frame.
+    tiles = cut_lineage(tiles).select(*[F.col(c).alias(c) for c in tiles.columns])
+    around = F.array_distinct(F.array(F.floor((F.col("pos") - 1) / width), F.floor(F.col("pos") / width), F.floor((F.col("pos") + 1) / width)))
+    data = sm.join(cols, [line, "col"]).withColumn("tile", F.explode(around)).select(line, "tile", "col", "pos", "z", "db")
+    at = lambda i: (int(i["tile"]) * width, min((int(i["tile"]) + 1) * width, int(i["nc"])))
+
+    def origin(z, img, lo, seed) -> int:
+        v = np.where((z >= window[0]) & (z <= window[1]), img[:, seed - lo], -np.inf)
+        return int(v.argmax()) if len(v) and v.max() > -np.inf else -1
+
+    def transfer(key, pdf, info):
+        """The tile's map away from the start column; the tile that holds it gives the rows it is left at on either side."""
+        if not len(info):                              # beyond either end of the line
+            return pd.DataFrame(columns=[line, "k", "m"], dtype=object)
+        i = info.iloc[0]
+        z, (lo, hi), k = np.asarray(i["axis"], float), at(i), int(i["k"])
+        img = _smoothed(pdf, z, lo, hi, int(i["nc"]))
+        follow = _follow(z, step, zmin)
+        if k == 0:
+            s = int(i["seed"])
+            first = np.array([origin(z, img, lo, s)])
+            m = [_through((follow(img[:, c]) for c in steps), first)[0] for steps in (range(s - lo - 1, -1, -1), range(s - lo + 1, hi - lo))]
+        else:
+            m = _through((follow(img[:, c]) for c in (range(hi - lo) if k > 0 else range(hi - lo - 1, -1, -1))), np.arange(len(z)))
+        return pd.DataFrame({line: [i[line]], "k": [k], "m": [[int(v) for v in m]]})
+
+    kind = f"{line} {kinds[line]}"
+    maps = cut_lineage(data.groupBy(line, "tile").cogroup(tiles.groupBy(line, "tile")).applyInPandas(transfer, f"{kind}, k long, m array<int>"))
+    entries = _entries(maps, line, kind)
+
+    def unfold(key, pdf, info):
+        if not len(info):
+            return pd.DataFrame(columns=[line, "col", "depth"], dtype=object)
+        i = info.iloc[0]
+        z, (lo, hi), k = np.asarray(i["axis"], float), at(i), int(i["k"])
+        img = _smoothed(pdf, z, lo, hi, int(i["nc"]))
+        follow = _follow(z, step, zmin)
+        path = np.full(hi - lo, -1)
+        s = int(i["seed"]) - lo if k == 0 else -1 if k > 0 else hi - lo
+        entry = origin(z, img, lo, int(i["seed"])) if k == 0 else int(i["entry"])
+        if k == 0:
+            path[s] = entry
+        for steps in (range(s + 1, hi - lo), range(s - 1, -1, -1)):
+            row = entry
+            for c in steps:
+                row = int(follow(img[:, c])[row]) if row >= 0 else -1
+                path[c] = row
+        own = pdf[(pdf["pos"] >= lo) & (pdf["pos"] < hi)].drop_duplicates("pos").sort_values("pos")
+        depth = pd.array([float(z[r]) if r >= 0 else None for r in path], dtype="Float64")
+        return pd.DataFrame({line: i[line], "col": own["col"].to_numpy(), "depth": depth})
+
+    placed = tiles.join(entries, [line, "k"], "left").withColumn("entry", F.coalesce("entry", F.lit(-1)))
+    path = data.groupBy(line, "tile").cogroup(placed.groupBy(line, "tile")).applyInPandas(unfold, f"{kind}, col {kinds['col']}, depth double")
+    med = moving_median(cut_lineage(path), [line], "col", "depth", smooth, "_med", rows)
+    return med.select(line, "col", F.when(F.col("depth").isNotNull(), F.col("_med")).alias("depth"))
+
+
+def _entries(maps: DataFrame, line: str, kind: str) -> DataFrame:
+    """The row at which each tile but the first is entered: line, k, entry. `maps`: line, k, m; k counts tiles from the start."""
+    side, run = F.signum("k").cast("int"), F.floor((F.abs("k") - 1) / FOLD)
+    steps = maps.where("k <> 0").withColumn("side", side).withColumn("run", run)
+
+    def together(key, pdf):
+        ms = [np.asarray(m) for m in pdf.sort_values("k", key=abs)["m"]]
+        return pd.DataFrame({line: [key[0]], "side": [key[1]], "run": [key[2]], "m": [_through(ms, np.arange(len(ms[0]))).tolist()]})
+
+    def begin(key, pdf, first):
+        row, out = first["m"].iloc[0][0 if key[1] < 0 else 1], []
+        for r, m in pdf.sort_values("run")[["run", "m"]].itertuples(index=False):
+            out.append((key[0], key[1], r, row))
+            row = m[row] if row >= 0 else -1
+        return pd.DataFrame(out, columns=[line, "side", "run", "entry"])
+
+    def each(key, pdf, first):
+        row, out = first["entry"].iloc[0], []
+        for k, m in pdf.sort_values("k", key=abs)[["k", "m"]].itertuples(index=False):
+            out.append((key[0], k, row))
+            row = m[row] if row >= 0 else -1
+        return pd.DataFrame(out, columns=[line, "k", "entry"])
+
+    runs = steps.groupBy(line, "side", "run").applyInPandas(together, f"{kind}, side int, run long, m array<int>")
+    start = maps.where("k = 0").select(line, F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"), "m").join(steps.select(line, "side").distinct(), [line, "side"])
+    first = runs.groupBy(line, "side").cogroup(start.groupBy(line, "side")).applyInPandas(begin, f"{kind}, side int, run long, entry int")
+    return steps.groupBy(line, "side", "run").cogroup(first.groupBy(line, "side", "run")).applyInPandas(each, f"{kind}, k long, entry int")
 
 
 def thin_columns(df: DataFrame, by: list[str], order: str, target: int = 400, rows: int = ROWS_PER_TILE) -> DataFrame:

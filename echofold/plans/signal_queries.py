@@ -146,7 +146,19 @@ def _(t):
     return profiles.boxcar_mean(section(t), ["line_id"], [("bin", 5), ("col", 3)], "db", "sm")
 
 
-@query("track_layer", ints="line_id col", digits={"depth": 3})
+TRACK = SECTION + """, z5 AS (SELECT line_id, col, bin * 2.0 AS z, avg(db) OVER (PARTITION BY line_id, col ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM sec),
+im AS (SELECT line_id, dense_rank() OVER (PARTITION BY line_id ORDER BY col) - 1 AS pos, col, z, avg(m) OVER (PARTITION BY line_id, z ORDER BY col ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM z5),
+nc AS (SELECT line_id, max(pos) + 1 AS nc, (max(pos) + 2) // 2 - 1 AS seed FROM im GROUP BY 1),
+o AS (SELECT im.line_id, pos, z FROM im JOIN nc ON nc.line_id = im.line_id AND pos = seed WHERE z BETWEEN 50 AND 80 QUALIFY row_number() OVER (PARTITION BY im.line_id ORDER BY v DESC, z) = 1),
+fr AS (SELECT line_id, pos, z, 1 AS d FROM o UNION ALL SELECT f.line_id, f.pos + 1, arg_max(im.z, (v, -im.z)), 1 FROM fr f JOIN im ON im.line_id = f.line_id AND im.pos = f.pos + 1 AND im.z BETWEEN f.z - 4 AND f.z + 4 AND im.z >= 30 GROUP BY 1, 2),
+bk AS (SELECT line_id, pos, z FROM o UNION ALL SELECT f.line_id, f.pos - 1, arg_max(im.z, (v, -im.z)) FROM bk f JOIN im ON im.line_id = f.line_id AND im.pos = f.pos - 1 AND im.z BETWEEN f.z - 4 AND f.z + 4 AND im.z >= 30 GROUP BY 1, 2),
+pt AS (SELECT line_id, pos, z FROM fr UNION SELECT line_id, pos, z FROM bk),
+al AS (SELECT c.line_id, c.col, c.pos, nc, z FROM (SELECT DISTINCT line_id, col, pos FROM im) c JOIN nc ON nc.line_id = c.line_id LEFT JOIN pt ON pt.line_id = c.line_id AND pt.pos = c.pos),
+md AS (SELECT *, median(z) OVER (PARTITION BY line_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS m FROM al)"""
+
+
+@query("track_layer", ints="line_id col", digits={"depth": 3}, sql=f"""
+WITH RECURSIVE {TRACK} SELECT line_id, col, CASE WHEN z IS NULL OR pos < least(4, nc // 2) OR pos >= nc - least(4, nc // 2) THEN z ELSE m END AS depth FROM md""")
 def _(t):
     s = section(t).select("line_id", "col", (F.col("bin") * 2.0).alias("z"), "db")
     return profiles.track_layer(s, window=(50.0, 80.0), step=4.0, zmin=30.0, smooth=9)

@@ -164,6 +164,50 @@ def test_track_layer_follows_the_base(spark, rng):
     assert np.abs(got.depth - base).max() <= 6 and np.abs(got.depth - base)[10:150].max() <= 3
 
 
+@pytest.mark.parametrize("width", [1, 3, 7, 300])
+def test_track_layer_is_the_same_for_all_tiles(spark, width, monkeypatch):
+    """Against a plain walk along the whole image, with gaps that end the path on some lines; few maps are put together at a time."""
+    monkeypatch.setattr(profiles, "FOLD", 4)
+    r = np.random.default_rng(3)
+    z, parts, want = np.arange(100.0, 160.0, 2.0), [], {}
+    for line, nc in ((0, 61), (1, 40), (2, 1), (3, 2), (4, 33)):
+        img = r.normal(size=(len(z), nc)).round(3) + 9 * np.exp(-((z[:, None] - 130 - 8 * np.sin(np.arange(nc) / 5)) / 3) ** 2)
+        img[r.random(img.shape) < 0.1] = np.nan
+        if line == 1:
+            img[:, 31] = np.nan
+            img[0, 31] = 1.0
+        if line == 4:
+            img[10:22, 16] = np.nan
+        c = np.arange(nc) * 3 + 10
+        k = pd.DataFrame({"line_id": line, "col": np.tile(c, len(z)), "z": np.repeat(z, nc), "db": img.ravel()}).dropna()
+        parts.append(k)
+        cols = np.array(sorted(k.col.unique()))
+        full = k.pivot(index="z", columns="col", values="db").reindex(index=sorted(k.z.unique())).to_numpy()
+        mean = lambda a, n, ax: pd.DataFrame(a if ax == 0 else a.T).rolling(n, center=True, min_periods=1).mean().to_numpy()
+        sm = np.where(np.isfinite(full), mean(mean(full, 5, 0), 3, 1).T, -np.inf)
+        zz, n = np.array(sorted(k.z.unique())), len(cols)
+        seed = (n + 1) // 2 - 1
+        path = np.full(n, np.nan)
+        v = np.where((zz >= 110) & (zz <= 150), sm[:, seed], -np.inf)
+        path[seed] = zz[v.argmax()] if v.max() > -np.inf else np.nan
+        for steps in (range(seed + 1, n), range(seed - 1, -1, -1)):
+            d = path[seed]
+            for j in steps:
+                v = np.where((np.abs(zz - d) <= 5) & (zz >= 104), sm[:, j], -np.inf)
+                d = zz[v.argmax()] if v.max() > -np.inf else np.nan
+                path[j] = d
+        out = pd.Series(path).rolling(5, center=True, min_periods=1).median().where(~np.isnan(path)).to_numpy(copy=True)
+        h = min(2, n // 2)
+        if h:
+            out[:h], out[-h:] = path[:h], path[-h:]
+        want |= {(line, int(a)): b for a, b in zip(cols, out)}
+    df = spark.createDataFrame(pd.concat(parts))
+    got = profiles.track_layer(df, window=(110.0, 150.0), step=5.0, zmin=104.0, smooth=5, width=width).toPandas()
+    mine = {(a, b): float(d) if not pd.isna(d) else np.nan for a, b, d in got.itertuples(index=False)}
+    assert set(mine) == set(want) and any(np.isnan(v) for v in want.values())
+    np.testing.assert_array_equal([mine[k] for k in want], list(want.values()))
+
+
 def test_firn_table_and_depth(spark):
     for p in (FirnParams(), FirnParams(mixing="looyenga", max_depth=300, nz=1201)):
         t = firn.firn_table(spark, p).toPandas().sort_values("d")
