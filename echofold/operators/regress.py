@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from echofold.functions.columns import legendre, legendre_slope, safe_div
 from echofold.functions.stats import student_t_p
 from echofold.operators.interp import interp_join
-from echofold.params import MAD_SCALE, NOISE_FLOOR
+from echofold.operators.scan import Scan, join_groups, ordered
+from echofold.params import MAD_SCALE, NOISE_FLOOR, ROWS_PER_TILE
+from echofold.session import cut_lineage
+
+#: Blocks of a tile of a line, and bits of a correlation that one round settles.
+RESIDUAL_BLOCKS, RANK_BITS = 512, 12
 
 
 def _moments(names: dict[str, Column], where: Column | None = None) -> list[Column]:
@@ -390,36 +395,113 @@ def phase_lag_test(df: DataFrame, y: str, t: str, h: str, q: str, by: list[str],
     return m.select(*by, "n", F.sqrt(in_phase / n1).alias("sd_in_phase"), F.sqrt(with_lag / n1).alias("sd_with_lag"))
 
 
-def repeatable_residual(resid: DataFrame, line: list[str], block: str, epoch: str, min_common: int = 6) -> DataFrame:
-    """Median block-to-block correlation of the per-pass residual pattern, per line.
-
-    Each block's residuals are one short vector (a value per pass); the blocks
-    of a line are compared inside one task per line, and no pair row leaves it.
+def _pair_correlations(a: np.ndarray, b: np.ndarray, min_common: int, same: bool) -> np.ndarray:
+    """Correlations of the rows of a with those of b (each pair once if they are the same), over the passes both have, from their moments."""
+    ok_a, ok_b = np.isfinite(a), np.isfinite(b)
+    centred = lambda m, ok: np.where(ok, m - np.where(ok, m, 0.0).sum(axis=1, keepdims=True) / np.maximum(ok.sum(axis=1, keepdims=True), 1), 0.0)
+    a0, b0, wa, wb = centred(a, ok_a), centred(b, ok_b), ok_a.astype(float), ok_b.astype(float)
+    n = wa @ wb.T
+    m = np.maximum(n, 1.0)
+    sa, sb, aa, bb = a0 @ wb.T, wa @ b0.T, (a0 * a0) @ wb.T, wa @ (b0 * b0).T
+    va, vb = aa - sa * sa / m, bb - sb * sb / m
+    use = (n >= min_common) & (va > NOISE_FLOOR * aa) & (vb > NOISE_FLOOR * bb)
+    if same:
+        use &= np.triu(np.ones(use.shape, bool), 1)
+    return (a0 @ b0.T - sa * sb / m)[use] / np.sqrt(va[use] * vb[use])
+
+
+def _rank_key(v: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers in the same order."""
+    bits = (v + 0.0).view(np.int64)
+    return (bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def _of_key(key: np.ndarray) -> np.ndarray:
+    """The doubles of such numbers, given as longs of the same bits."""
+    bits = (key.view(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+    return (bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(np.float64)
+
+
+def _digits(names: list[str], min_common: int, bits: int, step: int):
+    """How often each next digit of `step` bits occurs in the correlations of two tiles that agree with a prefix of `bits` bits."""
+    def run(key, pdf):
+        a, b = (np.array([np.asarray(r, float) for r in pdf["m"].iloc[k]]) for k in (0, -1))
+        have = _rank_key(_pair_correlations(a, b, min_common, len(pdf) == 1))
+        out = []
+        for which in (0, 1):
+            prefix = np.array([pdf[f"p{which}"].iloc[0]], np.int64).view(np.uint64)[0]
+            got = have if not bits else have[have >> np.uint64(64 - bits) == prefix]
+            digit, n = np.unique((got << np.uint64(bits)) >> np.uint64(64 - step) if bits else got >> np.uint64(64 - step), return_counts=True)
+            out.append(pd.DataFrame({**dict(zip(names, key, strict=False)), "which": which, "digit": digit.astype(np.int32), "n": n}))
+        return pd.concat(out)
+    return run
+
+
+def repeatable_residual(resid: DataFrame, line: list[str], block: str, epoch: str, min_common: int = 6, width: int = RESIDUAL_BLOCKS, rows: int = ROWS_PER_TILE) -> DataFrame:
+    """Median block-to-block correlation of the per-pass residual pattern, per line: rho, n_pairs.
+
+    Blocks with fewer than min_common residuals take no part, nor does a block without variation over the passes
+    it shares with another. Blocks of a line are packed into tiles of `width`, each a small matrix (passes of a line are few);
+    every pair of tiles is one task of its own, whose correlations come from matrix products. A line of
+    one tile has its median there. The median of a longer one is found by its digits: each round counts, over all
+    pairs of tiles, the next RANK_BITS bits of the correlations that still agree with the wanted rank, so no
+    correlation leaves its task and the result is exact.
     """
-    packed = resid.groupBy(*line, block).agg(F.map_from_entries(F.collect_list(F.struct(epoch, "resid"))).alias("v"))
     kinds = dict(resid.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in line) + ", rho double, n_pairs bigint"
-
-    def per_line(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        vecs = [dict(v) for v in pdf["v"]]
-        epochs = sorted({e for v in vecs for e in v})
-        M = np.array([[v.get(e, np.nan) for e in epochs] for v in vecs], float)
-        M = M[np.isfinite(M).sum(axis=1) >= min_common]
-        rho = []
-        for i in range(len(M) - 1):
-            ok = np.isfinite(M[i + 1:]) & np.isfinite(M[i])
-            n = ok.sum(axis=1)
-            a = np.where(ok, M[i], 0.0)
-            b = np.where(ok, M[i + 1:], 0.0)
-            nn = np.maximum(n, 1)[:, None]
-            a = np.where(ok, a - a.sum(axis=1, keepdims=True) / nn, 0.0)
-            b = np.where(ok, b - b.sum(axis=1, keepdims=True) / nn, 0.0)
-            den = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
-            use = (n >= min_common) & (den > 0)
-            rho.extend(((a * b).sum(axis=1)[use] / den[use]).tolist())
-        return pd.DataFrame([[*key, float(np.median(rho)) if rho else None, len(rho)]], columns=[*line, "rho", "n_pairs"])
-
-    return packed.groupBy(*line).applyInPandas(per_line, schema)
+    keys = ", ".join(f"{c} {kinds[c]}" for c in line)
+    ok = resid.where(F.col("resid").isNotNull() & (F.abs("resid") < float("inf")))
+    vectors = ok.groupBy(*line, block).agg(F.map_from_entries(F.collect_list(F.struct(epoch, "resid"))).alias("v"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_common)
+    passes = ok.groupBy(*line).agg(F.array_sort(F.collect_set(epoch)).alias("_e"))
+    placed = ordered(vectors.select(*line, block, "v"), line, block, [Scan("_i", F.lit(1).cast("long"), "sum")], rows=rows)
+    tiles = join_groups(placed.withColumn("tile", F.floor((F.col("_i") - 1) / width)), passes, line)
+    row = F.transform("_e", lambda e: F.coalesce(F.get(F.map_values(F.map_filter("v", lambda k, _: k == e)), F.lit(0)).cast("double"), F.lit(float("nan"))))
+    packed = tiles.select(*line, "tile", row.alias("m")).groupBy(*line, "tile").agg(F.collect_list("m").alias("m"))     # at most `width` rows of a value per pass
+    packed = join_groups(packed, packed.groupBy(*line).agg(F.count(F.lit(1)).alias("tiles")), line)
+    packed = cut_lineage(packed)
+
+    def alone(batches):
+        for pdf in batches:
+            each = [np.array([np.asarray(r, float) for r in m]) for m in pdf["m"]]
+            rho = [_pair_correlations(m, m, min_common, True) for m in each]
+            out = pdf[line].copy()
+            out["rho"], out["n_pairs"] = [float(np.median(r)) if len(r) else None for r in rho], [len(r) for r in rho]
+            yield out
+
+    found = packed.where("tiles = 1").mapInPandas(alone, f"{keys}, rho double, n_pairs bigint")
+    many = packed.where("tiles > 1").drop("_n")
+    if not many.isEmpty():
+        found = found.unionByName(_middle(many, line, keys, min_common))
+    return join_groups(resid.select(*line).distinct(), found, line, "left").select(*line, "rho", F.coalesce("n_pairs", F.lit(0)).cast("bigint").alias("n_pairs"))
+
+
+def _middle(many: DataFrame, line: list[str], keys: str, min_common: int) -> DataFrame:
+    """Exact medians of lines of several tiles, RANK_BITS bits a round."""
+    ends = many.select(*line).distinct().withColumn("which", F.explode(F.array(F.lit(0), F.lit(1))))
+    state = ends.withColumn("prefix", F.lit(0).cast("long"))
+    n_pairs, bits = None, 0
+    while bits < 64:
+        step = min(RANK_BITS, 64 - bits)
+        wanted = state.groupBy(*line).agg(*[F.max(F.when(F.col("which") == k, F.col("prefix"))).alias(f"p{k}") for k in (0, 1)])
+        meet = join_groups(many, wanted, line).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+        meet = meet.withColumn("_a", F.least("tile", "_o")).withColumn("_b", F.greatest("tile", "_o"))
+        count = meet.select(*line, "_a", "_b", "m", "p0", "p1").groupBy(*line, "_a", "_b").applyInPandas(
+            _digits(line, min_common, bits, step), f"{keys}, which int, digit int, n long")
+        count = cut_lineage(count.groupBy(*line, "which", "digit").agg(F.sum("n").alias("n")))
+        if n_pairs is None:
+            n_pairs = count.where("which = 0").groupBy(*line).agg(F.sum("n").alias("n_pairs"))
+            state = join_groups(state, n_pairs, line).withColumn("rank", F.floor((F.col("n_pairs") - 1 + F.col("which")) / 2)).drop("n_pairs")
+        upto = F.sum("n").over(Window.partitionBy(*line, "which").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))     # at most 2 ** RANK_BITS digits
+        pick = join_groups(count.withColumn("upto", upto), state, [*line, "which"]).where("rank < upto and rank >= upto - n")
+        state = cut_lineage(pick.select(*line, "which", F.shiftleft("prefix", step).bitwiseOR(F.col("digit").cast("long")).alias("prefix"),
+                                        (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank")))
+        bits += step
+
+    def value(batches):
+        for pdf in batches:
+            yield pdf.assign(v=_of_key(pdf["prefix"].to_numpy(np.int64).copy())).drop(columns="prefix")
+
+    rho = state.select(*line, "prefix").mapInPandas(value, f"{keys}, v double").groupBy(*line).agg(F.avg("v").alias("rho"))
+    return join_groups(rho, n_pairs, line)
 
 
 def residual_rms_by_pass(resid: DataFrame, line: list[str], epoch: str) -> DataFrame:

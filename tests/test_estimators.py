@@ -321,3 +321,34 @@ def test_network_chain_recovers_response(spark, rng):
     fit = chains.network_response(df, drv, ["row"], "w")[0].toPandas().sort_values("row")
     np.testing.assert_allclose(fit.trend, 0.2 * np.arange(5), atol=2e-3)
     np.testing.assert_allclose(fit.driver, np.arange(5) - 2, atol=5e-3)
+
+
+@pytest.mark.parametrize("width", [4, 7, 512])
+def test_repeatable_residual_equals_all_pairs(spark, rng, width):
+    """Lines of one and of many tiles, gaps, blocks short of passes or without variation, an even and an odd number of pairs."""
+    rows, want = [], {}
+    for line, nb in (("a", 23), ("b", 6), (None, 12), ("c", 1), ("d", 2)):
+        M = rng.normal(size=(nb, 9)) + 0.8 * rng.normal(size=9)
+        M[rng.random(M.shape) < 0.15] = np.nan
+        M[0] = 0.25
+        if line == "d":
+            M[1, 3:] = np.nan
+        rho = []
+        for i in range(nb):
+            for j in range(i + 1, nb):
+                ok = np.isfinite(M[i]) & np.isfinite(M[j])
+                if min(np.isfinite(M[i]).sum(), np.isfinite(M[j]).sum(), ok.sum()) >= 6 and np.ptp(M[i][ok]) > 0 and np.ptp(M[j][ok]) > 0:
+                    rho.append(np.corrcoef(M[i][ok], M[j][ok])[0, 1])
+        want[line] = (np.median(rho) if rho else None, len(rho))
+        rows += [(line, b, e, None if np.isnan(M[b, e]) else float(M[b, e])) for b in range(nb) for e in range(9)]
+    df = spark.createDataFrame(rows, "line string, block long, pass int, resid double")
+    got = {r.line: (r.rho, r.n_pairs) for r in regress.repeatable_residual(df, ["line"], "block", "pass", width=width).collect()}
+    assert set(got) == set(want)
+    for k, (rho, n) in want.items():
+        assert got[k][1] == n and (got[k][0] is None if rho is None else abs(got[k][0] - rho) < 1e-12), k
+
+
+def test_order_of_doubles_is_kept():
+    v = np.array([-1.0, -0.5, -1e-300, -0.0, 0.0, 1e-300, 0.3, 0.30000000000000004, 1.0])
+    k = regress._rank_key(v)
+    assert (np.diff(k.astype(object)) >= 0).all() and (regress._of_key(k.view(np.int64).copy()) == v).all()
