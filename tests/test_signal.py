@@ -208,6 +208,29 @@ def test_track_layer_is_the_same_for_all_tiles(spark, width, monkeypatch):
     np.testing.assert_array_equal([mine[k] for k in want], list(want.values()))
 
 
+@pytest.mark.parametrize("k", [1, 4, 9, 2001])
+def test_moving_median_over_tiles_equals_rolling(spark, k):
+    """Gaps, ties, a NULL group, other columns; windows within one tile, over several and wider than the group."""
+    r = np.random.default_rng(k)
+    n, parts = 700, []
+    for g in ("a", None):
+        v = r.integers(0, 40, n) / 4
+        v[r.random(n) < 0.2] = np.nan
+        parts.append(pd.DataFrame({"g": g, "k": r.permutation(n), "v": v, "note": "x"}))
+    p = pd.concat(parts).reset_index(drop=True)
+    df = spark.createDataFrame(p).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    got = profiles.moving_median(df, ["g"], "k", "v", k, width=64).toPandas()
+    assert list(got.columns) == ["g", "k", "v", "note", "med"] and len(got) == 2 * n
+    for g, part in p.groupby("g", dropna=False):
+        t = part.sort_values("k").v.reset_index(drop=True)
+        want = t.rolling(k, center=True, min_periods=1).median().to_numpy(copy=True)
+        h = min(k // 2, n // 2)
+        if h:
+            want[:h], want[-h:] = t[:h], t[-h:]
+        mine = got[got.g.isna() if pd.isna(g) else got.g == g].sort_values("k").med.to_numpy(float)
+        np.testing.assert_array_equal(mine, want)
+
+
 def test_firn_table_and_depth(spark):
     for p in (FirnParams(), FirnParams(mixing="looyenga", max_depth=300, nz=1201)):
         t = firn.firn_table(spark, p).toPandas().sort_values("d")
