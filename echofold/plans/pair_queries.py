@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from echofold.functions import columns as C
@@ -9,7 +11,9 @@ from echofold.operators import firn, interp, matching, pairs
 from echofold.params import FirnParams
 from echofold.plans import inputs as I
 from echofold.plans.registry import query
+from echofold.session import shared_folder
 from echofold.sources import tables as S
+from echofold.streaming.commits import read_commits, write_pairs
 from echofold.streaming.incremental import missing
 
 # --- sources and sinks ------------------------------------------------------
@@ -116,6 +120,19 @@ def _(t):
     return missing(todo, todo.where("l_linestatus = 'F'"))
 
 
+@query("write_pairs", keys="input_build options", ints="line_id ref_idx sec_idx version", digits={"v": 2}, sql="""
+SELECT l_orderkey AS line_id, l_linenumber AS ref_idx, CAST(l_quantity AS INTEGER) AS sec_idx, l_extendedprice AS v, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS version,
+  CASE WHEN l_linestatus = 'F' THEN 'finished' ELSE 'all' END AS input_build, CASE WHEN l_linestatus = 'F' THEN '{}' ELSE '{"window": [5, 15]}' END AS options FROM lineitem""")
+def _(t):
+    # Two commits and a third run that has nothing to add, then all that is published.
+    d = t.lineitem.select(F.col("l_orderkey").alias("line_id"), F.col("l_linenumber").alias("ref_idx"), F.col("l_quantity").cast("int").alias("sec_idx"), F.col("l_extendedprice").alias("v"), "l_linestatus")
+    path = f"{shared_folder(t.spark)}/pairs-{uuid.uuid4().hex}"
+    write_pairs(d.where("l_linestatus = 'F'"), path, "finished")
+    for _ in range(2):
+        write_pairs(d, path, "all", {"window": [5, 15]})
+    return read_commits(t.spark, path)
+
+
 @query("station_table_lines", keys="value", sql="""
 SELECT p_brand || ' ' || printf('%.3f', regr_slope(v, q)) || ' ' || printf('%.3f', stddev_samp(v)) || ' ' || printf('%.3f', corr(v, q)) || ' ' || count(*) AS value
 FROM (SELECT p_brand, l_extendedprice / 1e4 AS v, l_quantity / 10 AS q FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY p_brand""")
@@ -143,6 +160,25 @@ def _(t):
     return S.rerun_diff(a, b, ["p_partkey"], {"p_retailprice": 1e-6})
 
 
+VERIFY = """a AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity, l_discount, l_shipmode FROM lineitem),
+b AS (SELECT l_suppkey, l_orderkey, l_linenumber, CASE WHEN l_suppkey = 3 AND l_linenumber = 2 THEN l_quantity + 0.5 ELSE l_quantity END AS l_quantity, l_discount, CASE WHEN l_suppkey = 7 AND l_linenumber = 1 THEN 'x' ELSE l_shipmode END AS l_shipmode
+  FROM lineitem WHERE NOT (l_suppkey = 5 AND l_linenumber > 5))"""
+
+
+@query("verify_rerun", keys="field", ints="n_diff", digits={"max_abs": 6}, sql=f"""
+WITH {VERIFY}, j AS (SELECT a.*, b.l_orderkey AS k, b.l_quantity AS q2, b.l_discount AS d2, b.l_shipmode AS m2 FROM a FULL JOIN b USING (l_suppkey, l_orderkey, l_linenumber))
+SELECT 'l_quantity' AS field, sum(CASE WHEN k IS NOT NULL AND l_quantity <> q2 THEN 1 ELSE 0 END) AS n_diff, max(abs(l_quantity - q2)) AS max_abs FROM j
+UNION ALL SELECT 'l_discount', sum(CASE WHEN k IS NOT NULL AND l_discount <> d2 THEN 1 ELSE 0 END), max(abs(l_discount - d2)) FROM j
+UNION ALL SELECT 'l_shipmode', sum(CASE WHEN k IS NOT NULL AND l_shipmode <> m2 THEN 1 ELSE 0 END), NULL FROM j
+UNION ALL SELECT '(rows)', sum(CASE WHEN k IS NULL THEN 1 ELSE 0 END), NULL FROM j""")
+def _(t):
+    a = t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_shipmode")
+    at = lambda s, n: (F.col("l_suppkey") == s) & n(F.col("l_linenumber"))
+    b = a.where(~at(5, lambda n: n > 5)).withColumn("l_quantity", F.when(at(3, lambda n: n == 2), F.col("l_quantity") + 0.5).otherwise(F.col("l_quantity"))).withColumn(
+        "l_shipmode", F.when(at(7, lambda n: n == 1), "x").otherwise(F.col("l_shipmode")))
+    return S.verify_rerun(a, b, ["l_suppkey", "l_orderkey", "l_linenumber"], ["l_suppkey"])
+
+
 @query("line_catalog", ints="line_id n", digits={"v": 4}, sql="""
 SELECT l_suppkey AS line_id, count(*) AS n, avg(l_quantity) AS v FROM lineitem
 WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 1000) GROUP BY 1""")

@@ -64,3 +64,29 @@ def test_stations_by_any_kind_of_path(spark, tmp_path):
     (tmp_path / "s.txt").write_text("# x y site\n1.0 2.0 A\n")
     assert S.read_stations(spark, f"{tmp_path}/s.txt").count() == S.read_stations(spark, f"file:{tmp_path}/s.txt").count() == 1
     assert S.read_stations(spark, f"file:{tmp_path}/none.txt").count() == 0
+
+
+def test_products_are_checked_by_type_with_all_deviations_named(spark, tmp_path):
+    spark.createDataFrame([("a", "1", "s", True)], "line_id string, pass_idx string, day_seg string, enabled boolean").write.parquet(str(tmp_path / "pass"))
+    spark.createDataFrame([("a", 1, 2, [1], [2.0])], "line_id string, pass_idx int, col int, re array<int>, im array<float>").write.parquet(str(tmp_path / "slc"))
+    want = {k: S.PRODUCT_SCHEMA[k] for k in ("pass", "slc")}
+    with pytest.raises(ValueError) as e:
+        S.read_products(spark, str(tmp_path), None, want)
+    assert str(e.value) == "pass.pass_idx: int wanted, string found; slc.re: array<double> wanted, array<int> found"
+    ok = spark.createDataFrame([(7, 1, 2, [1.0, float("inf")], [2.0])], "line_id long, pass_idx smallint, col int, re array<double>, im array<float>")
+    ok.write.parquet(str(tmp_path / "ok" / "slc"))
+    got = S.read_products(spark, str(tmp_path / "ok"), None, {"slc": S.PRODUCT_SCHEMA["slc"]})["slc"].first()
+    assert got.re == [1.0, None]
+
+
+def test_verify_joins_only_the_ranges_that_differ(spark):
+    a = spark.range(40_000).select((F.col("id") % 7).alias("line"), "id", (F.col("id") * 0.5).alias("v"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("w"), F.lit(None).cast("double").alias("none"))
+    b = a.withColumn("v", F.when(F.col("id") == 777, 1.0).otherwise(F.col("v")))
+    bad = S.differing_ranges(a, b, ["line", "id"], ["line"]).collect()
+    assert len(bad) == 1 and bad[0].line == 0
+    plain = lambda f: sorted((r.field, r.n_diff, r.max_abs) for r in f.collect())
+    cases = [(b, None), (a, None), (b.where("id <> 5"), None), (a.unionByName(a.where("id = 3").withColumn("id", F.lit(10**6))), None), (b.withColumn("v", F.col("v") + 1e-9), {"v": 1e-6}),
+             (a.withColumn("line", F.when(F.col("line") > 0, F.col("line"))), None), (b.drop("w"), None), (b.withColumn("more", F.lit(1)), None), (a.where("1 = 0"), None)]
+    for other, tol in cases:
+        key = lambda r: (r[0], r[1], r[2] is None, r[2] or 0)
+        assert sorted(plain(S.verify_rerun(a, other, ["id"], ["line"], tol)), key=key) == sorted(plain(S.rerun_diff(a, other, ["id"], tol)), key=key)
