@@ -240,7 +240,7 @@ def _semi(d: DataFrame, among: DataFrame, cols: list[str], how: str = "left_semi
 
 
 def verify_rerun(a: DataFrame, b: DataFrame, keys: list[str], line: list[str], tol: dict[str, float] | None = None, levels: tuple[int, ...] = (1, 64, 4096)) -> DataFrame:
-    """`rerun_diff`, joining rows only in the key ranges in which the checksums of the two builds differ.
+    """`rerun_diff`, joining rows only in the key ranges in which the checksums of the two builds differ; `line` is among the keys, a key has one row.
 
     Where a column of `a` is lost all rows count, so all are joined. With a tolerance, values that differ
     within it still make their range differ; it is joined and they are found equal.

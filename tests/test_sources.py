@@ -86,7 +86,7 @@ def test_verify_joins_only_the_ranges_that_differ(spark):
     assert len(bad) == 1 and bad[0].line == 0
     plain = lambda f: sorted((r.field, r.n_diff, r.max_abs) for r in f.collect())
     cases = [(b, None), (a, None), (b.where("id <> 5"), None), (a.unionByName(a.where("id = 3").withColumn("id", F.lit(10**6))), None), (b.withColumn("v", F.col("v") + 1e-9), {"v": 1e-6}),
-             (a.withColumn("line", F.when(F.col("line") > 0, F.col("line"))), None), (b.drop("w"), None), (b.withColumn("more", F.lit(1)), None), (a.where("1 = 0"), None)]
+             (a.withColumn("line", F.col("line") + 1), None), (b.drop("w"), None), (b.withColumn("more", F.lit(1)), None), (a.where("1 = 0"), None)]
     for other, tol in cases:
         key = lambda r: (r[0], r[1], r[2] is None, r[2] or 0)
-        assert sorted(plain(S.verify_rerun(a, other, ["id"], ["line"], tol)), key=key) == sorted(plain(S.rerun_diff(a, other, ["id"], tol)), key=key)
+        assert sorted(plain(S.verify_rerun(a, other, ["line", "id"], ["line"], tol)), key=key) == sorted(plain(S.rerun_diff(a, other, ["line", "id"], tol)), key=key)
