@@ -238,11 +238,12 @@ def rotate(blocks: DataFrame, axis: DataFrame, x: str, y: str, by=()) -> DataFra
     return j.select(*blocks.columns, (dx * F.col("ux") + dy * F.col("uy")).alias("s"), (dy * F.col("ux") - dx * F.col("uy")).alias("n"))
 
 
-def orient_seaward(blocks: DataFrame, by: list[str]) -> DataFrame:
-    """Distance that grows seaward, its zero at the northern end; raises if the response falls along it.
+def orient_seaward(blocks: DataFrame, by: list[str], strict: bool = True) -> DataFrame:
+    """Distance that grows seaward, its zero at the northern end, with the response's correlation along it.
 
     `blocks`: by, block, xb, lat, a. The sign follows the latitudes of the
-    first and last blocks that have both a response and a position.
+    first and last blocks that have both a response and a position. A response that falls seaward fails the job, as
+    the line is turned the wrong way then; strict=False only reports it (r_sea).
     """
     ok = F.col("a").isNotNull() & F.col("lat").isNotNull()
     end = F.when(ok, F.struct("block", "lat", "xb"))
@@ -251,10 +252,11 @@ def orient_seaward(blocks: DataFrame, by: list[str]) -> DataFrame:
     j = blocks.join(g.where("_a is not null"), by)
     j = j.withColumn("x_sea", F.when(north_first, F.col("xb") - F.col("_a.xb")).otherwise(F.col("_b.xb") - F.col("xb")))
     r = j.where(ok).groupBy(*by).agg(F.corr("a", "x_sea").alias("r_sea"))
-    return j.join(r, by).select(*blocks.columns, "x_sea", "r_sea")
+    out = j.join(r, by).select(*blocks.columns, "x_sea", "r_sea")
+    return assert_seaward(out) if strict else out
 
 
 def assert_seaward(oriented: DataFrame) -> DataFrame:
-    """Fail when a line's response falls seaward."""
+    """Fail when a line's response falls seaward; a line without a correlation passes."""
     bad = F.raise_error("response falls seaward: check the orientation").cast("double")
-    return oriented.withColumn("x_sea", F.when(F.col("r_sea") > 0, F.col("x_sea")).otherwise(bad))
+    return oriented.withColumn("x_sea", F.when(F.col("r_sea").isNull() | (F.col("r_sea") > 0), F.col("x_sea")).otherwise(bad))

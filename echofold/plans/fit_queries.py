@@ -587,7 +587,20 @@ b AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY row_key, rep ORDE
 def _(t):
     from pyspark.sql import Window
     f = pair_field(t).withColumn("pair_no", F.row_number().over(Window.partitionBy("row_key").orderBy("ref_idx", "sec_idx")))
-    return coherent.bootstrap_scan(f, ["row_key"], ["row_key"], F.col("dt"), GRID, coherent.bootstrap_index(t.spark, 3, 21, 20))
+    return coherent.bootstrap_scan(f, ["row_key"], ["row_key"], F.col("dt"), GRID, 3, 20)
+
+
+# Lines of unequal size: every other brand has no pairs of the last pass.
+@query("bootstrap_lines", keys="row_key", ints="n_rep", digits={"a_sd_boot": 7}, sql=f"""
+{LCG.format(n=420)}, {FIELD}, bf AS (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY ref_idx, sec_idx) AS pair_no FROM field WHERE sec_idx < 7 OR CAST(right(row_key, 1) AS INTEGER) % 2 = 1),
+sz AS (SELECT row_key, count(*) AS n FROM bf GROUP BY 1), ix AS (SELECT row_key, (q - 1) // n + 1 AS rep, CAST(least(n, floor(x / 2147483647.0 * n) + 1) AS BIGINT) AS pair_no FROM g JOIN sz ON q <= 20 * n),
+sc AS (SELECT row_key, rep, i, -2 + 0.1 * i AS a, {SCORE.format(p='dt * (-2 + 0.1 * i)')} AS f FROM bf JOIN ix USING (row_key, pair_no), range(41) AS r(i) GROUP BY row_key, rep, i),
+b AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY row_key, rep ORDER BY round(f, 12) DESC, i) = 1) SELECT row_key, count(*) AS n_rep, stddev_samp(a) AS a_sd_boot FROM b GROUP BY 1""")
+def _(t):
+    from pyspark.sql import Window
+    f = pair_field(t).where((F.col("sec_idx") < 7) | (F.substring("row_key", -1, 1).cast("int") % 2 == 1))
+    f = f.withColumn("pair_no", F.row_number().over(Window.partitionBy("row_key").orderBy("ref_idx", "sec_idx")))
+    return coherent.bootstrap_scan(f, ["row_key"], ["row_key"], F.col("dt"), GRID, 3, 20)
 
 
 LAG = """cells AS (SELECT p_brand AS line_id, l_partkey AS cell, avg(l_extendedprice) / 1e4 - 5 AS a, avg(l_quantity) / 10 - 2.5 AS b, stddev_samp(l_extendedprice) / 1e4 AS sa, stddev_samp(l_quantity) / 10 AS sb

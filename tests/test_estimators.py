@@ -260,6 +260,16 @@ def test_generator_draws(spark):
     assert got.idx.tolist() == [min(5, int(x / 2147483647 * 5) + 1) for x in want]
 
 
+def test_each_line_draws_from_its_own_pairs(spark):
+    df = spark.createDataFrame([(g, k) for g, n in (("a", 10), ("b", 40), (None, 21)) for k in range(1, n + 1)], "line string, pair_no int")
+    got = coherent.line_draws(df, ["line"], 5, 30).toPandas()
+    for g, n in (("a", 10), ("b", 40), (None, 21)):
+        mine = got[got.line.isna() if g is None else got.line == g]
+        assert (mine.groupby("rep")._m.sum() == n).all() and mine.rep.nunique() == 30 and mine.pair_no.between(1, n).all() and mine.pair_no.nunique() == n
+        want = coherent.bootstrap_index(spark, 5, n, 30).groupBy("rep", F.col("idx").alias("pair_no")).count().toPandas()
+        assert set(map(tuple, mine[["rep", "pair_no", "_m"]].to_numpy())) == set(map(tuple, want.to_numpy()))
+
+
 def test_common_lag(spark, rng):
     w, tau = 2 * np.pi / 24.84, 1.5
     amp = rng.normal(size=80)

@@ -96,3 +96,14 @@ def test_nearest_other_of_a_long_line(spark, rng):
     np.testing.assert_allclose(got.loc[0].sort_index()[["ux", "uy"]], want, atol=1e-9)
     np.testing.assert_allclose(got.loc[1, 1], [0.6, 0.8])
     assert (2, 1) not in got.index
+
+
+def test_a_response_that_falls_seaward_is_refused(spark):
+    rows = [(1, k, 100.0 * k, 80.0 - 0.01 * k, 0.1 * k) for k in range(6)] + [(2, k, 100.0 * k, 70.0 + 0.01 * k, -0.1 * k) for k in range(6)]
+    df = spark.createDataFrame(rows, "line int, block int, xb double, lat double, a double")
+    got = matching.orient_seaward(df, ["line"]).toPandas()
+    assert (got.r_sea > 0.99).all() and got[got.line == 2].sort_values("block").x_sea.tolist() == [500.0, 400.0, 300.0, 200.0, 100.0, 0.0]
+    wrong = df.withColumn("a", F.when(F.col("line") == 1, -F.col("a")).otherwise(F.col("a")))
+    with pytest.raises(Exception, match="falls seaward"):
+        matching.orient_seaward(wrong, ["line"]).collect()
+    assert matching.orient_seaward(wrong, ["line"], strict=False).where("r_sea < 0").count() == 6
