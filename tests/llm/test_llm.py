@@ -95,7 +95,7 @@ def test_packing_covers_every_id(spark, odd, unit):
 
 # Near duplicates
 
-def brute_components(rows):
+def brute_components(rows, num=85, den=100):
     sets, out = {}, {}
     for i, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -110,7 +110,7 @@ def brute_components(rows):
 
     for n, a in enumerate(ids):
         for b in ids[:n]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     for i in ids:

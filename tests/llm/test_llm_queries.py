@@ -91,7 +91,7 @@ def test_pipeline_stages(spark, tmp_path):
 
     assert sorted(good.doc_id) == sorted(i for i, t in zip(start.doc_id, start.text, strict=True) if keeps(t))
     # Near duplicates.
-    comp = brute_components(list(zip(good.doc_id, good.text, strict=True)))
+    comp = brute_components(list(zip(good.doc_id, good.text, strict=True)), *corpus_pipeline.NEAR)
     assert sorted(one.doc_id) == sorted(i for i, (_, c) in comp.items() if i == c)
     # Decontamination.
     con = duckdb.connect()

@@ -1,10 +1,8 @@
 """The near_dedup stage takes pairs from 0.80 on; op2 stays at 0.85."""
 
 import os
-import re
 import sys
 
-import test_llm_queries
 from odd_tables import frame
 from test_llm import prose
 
@@ -39,21 +37,3 @@ def test_stage_takes_pairs_from_080(spark):
 
 def test_agreements_follow_the_threshold():
     assert near_dups.matches_for(85, 100) == 39 and near_dups.matches_for(80, 100) == 35
-
-
-def test_pipeline_stages_at_080(spark, tmp_path, monkeypatch):
-    """The stage test of test_llm_queries with its brute force at the stage's threshold instead of op2's."""
-    def brute(rows):
-        sets = {}
-        for i, text in rows:
-            w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-            sets.setdefault(i, set()).update([tuple(w)] if 0 < len(w) < 5 else list(zip(*[w[k:] for k in range(5)], strict=False)))
-        least = {i: i for i in sets}
-        links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-        for _ in sets:
-            for a, b in links:
-                least[a] = least[b] = min(least[a], least[b])
-        return {i: (len(sets[i]), least[i]) for i in sets}
-
-    monkeypatch.setattr(test_llm_queries, "brute_components", brute)
-    test_llm_queries.test_pipeline_stages(spark, tmp_path)
