@@ -70,12 +70,15 @@ class Encoder:
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         memo, words, marked, odd = self.memo, set(), [], []
         for p in new:
-            if p.isalpha() and max(p) < LATIN:
+            if p.isalpha() and (p.isascii() or max(p) < LATIN):
                 words.add(p)
-            elif p and p[-1] in MARKS and p[:-1].isalpha() and max(p) < LATIN:
+            elif p and p[-1] in MARKS and p[:-1].isalpha() and (p.isascii() or max(p) < LATIN):
                 marked.append(p)
                 if p[:-1] not in memo:
                     words.add(p[:-1])
+            elif self.spaced and p and p[0] != FIRST and p.split() == [p]:
+                # Without white space, whatever it is made of: only its first token begins with the space.
+                words.add(p)
             else:
                 odd.append(p)
         out, rest = {}, list(words)
@@ -101,16 +104,24 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text without special tokens, little-endian, `kind` wide."""
         cut = [self._cut(t) for t in texts]
-        every = set().union(*[c for c in cut if c is not None])
-        learnt = self._learn(every.difference(self.memo))
+        look, found, gaps, new = self.memo.get, [], [], set()
+        for c in cut:
+            got = list(map(look, c)) if c is not None else []
+            at = [i for i, g in enumerate(got) if g is None] if None in got else []
+            new.update([c[i] for i in at])
+            found.append(got)
+            gaps.append(at)
+        learnt = self._learn(new)
+        whole = iter(self._whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
+        out = []
+        for c, got, at in zip(cut, found, gaps, strict=True):
+            for i in at:
+                got[i] = learnt[c[i]]
+            out.append(next(whole) if c is None else b"".join(got))
         if len(self.memo) + len(learnt) > MEMO:
+            every = set().union(*[c for c in cut if c is not None])
             self.memo = {p: self.memo[p] for p in every if p in self.memo}
-        self.memo.update(learnt)
-        look = self.memo.__getitem__
-        whole = iter(self._whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        out = [next(whole) if c is None else b"".join(map(look, c)) for c in cut]
-        for p in [p for p in learnt if len(p) > LONG]:
-            del self.memo[p]
+        self.memo.update((p, g) for p, g in learnt.items() if len(p) <= LONG)
         return out
 
     def arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
