@@ -182,19 +182,28 @@ class Coder:
 
 
 def _shards(vocabulary: str, end_id: int):
-    """Ids of a few texts as one row, low and high bytes apart, which compresses better."""
+    """Ids of a few texts as one row, low and high bytes apart, which compresses better; after them a row of how often the task saw each id."""
     def run(batches):
-        enc = encoder(vocabulary)
+        enc, total, ids = encoder(vocabulary), np.zeros(end_id + 1, np.int64), pa.null()
         end = np.array([end_id], dtype=enc.kind).tobytes()
         for b in batches:
-            names, text = b.column(0).to_pylist(), texts(b)
+            names, text, ids = b.column(0).to_pylist(), texts(b), b.schema.field(0).type
             for i, j in slices([len(t) for t in text], CHARS):
                 got = [r + end for r in enc.ids(text[i:j])]
                 flat = np.frombuffer(b"".join(got), dtype=enc.kind)
                 planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, enc.kind.itemsize).T)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[i:j]], pa.list_(b.schema.field(0).type)), pa.array([[len(g) // enc.kind.itemsize for g in got]], pa.list_(pa.int64())),
-                     pa.array([planes.tobytes()], pa.binary()), pa.array([enc.kind.itemsize], pa.int32())], ["doc_ids", "sizes", "planes", "width"])
+                n = np.bincount(flat, minlength=len(total))
+                n[:len(total)] += total
+                total = n
+                yield row(ids, names[i:j], [len(g) // enc.kind.itemsize for g in got], planes.tobytes(), enc.kind.itemsize, None)
+        if total.any():
+            at = np.flatnonzero(total)
+            yield row(ids, [], [], b"", enc.kind.itemsize, np.stack([at, total[at]]).astype("<i8").tobytes())
+
+    def row(ids, names, sizes, planes, width, seen):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([names], pa.list_(ids)), pa.array([sizes], pa.list_(pa.int64())), pa.array([planes], pa.binary()), pa.array([width], pa.int32()), pa.array([seen], pa.binary())],
+            ["doc_ids", "sizes", "planes", "width", "seen"])
     return run
 
 
@@ -207,15 +216,13 @@ def _rows(batch) -> list[tuple[list, np.ndarray, np.ndarray]]:
 
 
 def _counts(batches):
+    """The counts of several tasks added up."""
     total = np.zeros(0, np.int64)
     for b in batches:
-        for _, _, flat in _rows(b):
-            n = np.bincount(flat)
-            if len(n) > len(total):
-                n[:len(total)] += total
-                total = n
-            else:
-                total[:len(n)] += n
+        for seen in b.column(0).to_pylist():
+            at, n = np.frombuffer(seen, "<i8").reshape(2, -1)
+            total = np.pad(total, (0, max(0, int(at.max()) + 1 - len(total))))
+            total[at] += n
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -258,8 +265,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     shards = written(docs.select(F.col("doc_id"), F.col("text")).mapInArrow(
-        _shards(vocabulary, end_id), f"doc_ids array<{kind}>, sizes array<bigint>, planes binary, width int"), "shards")
-    seen = shards.mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+        _shards(vocabulary, end_id), f"doc_ids array<{kind}>, sizes array<bigint>, planes binary, width int, seen binary"), "shards")
+    seen = shards.where("seen is not null").select("seen").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(seen["id"].max()) + 1 if len(seen) else 1, dtype=np.int64)
     counts[seen["id"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
     freq = scaled(counts)
@@ -268,10 +275,10 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     n = min(MOST_BUCKETS, max(1, round(int(counts.sum()) / BUCKET)))
     cuts = []
     if n > 1:
-        got = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n))).first()[0] or []
+        got = shards.select(F.explode("doc_ids").alias("doc_id")).agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n))).first()[0] or []
         cuts = sorted(set(got))
     sc = spark.sparkContext
-    made = shards.mapInArrow(_encode(sc.broadcast(freq), sc.broadcast(cuts)), f"bucket int, doc_id {kind}, n_tokens long, record binary")
+    made = shards.where("seen is null").drop("seen").mapInArrow(_encode(sc.broadcast(freq), sc.broadcast(cuts)), f"bucket int, doc_id {kind}, n_tokens long, record binary")
     made = made.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n_tokens", "record")
     made = made.mapInArrow(_number, f"bucket int, doc_id {kind}, first long, n_tokens long, record binary")
     made.write.option("compression", "uncompressed").partitionBy("bucket").parquet(f"{folder}/blocks")
