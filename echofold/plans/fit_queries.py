@@ -406,12 +406,28 @@ def _(t):
     return regress.fitted_profile(_legendre(t), ["row_key"], 2, nz=21)
 
 
-@query("legendre_significance", ints="row_key", digits={"p_quad": 6, "sd2": 8})
+# The p-value of t by the angle atan(t / sqrt(dof)): Simpson's rule over cos(angle) to the power of dof - 1.
+@query("legendre_significance", ints="row_key", digits={"p_quad": 6, "sd2": 8}, sql=f"""
+WITH {LEG}, se AS (SELECT row_key, sum(w * pow(v - c0 - c1*p1 - c2*p2, 2)) AS sse FROM bb JOIN cf USING (row_key) GROUP BY 1),
+q AS (SELECT row_key, c2, greatest(greatest(n / 2.0, 4) - 3, 1) AS dof, sse, (a*d - b*b) / det AS i22 FROM cf JOIN se USING (row_key)),
+t AS (SELECT row_key, dof, sqrt(abs(i22 * sse / dof)) AS sd2, atan(abs(c2 / sqrt(abs(i22 * sse / dof))) / sqrt(dof)) AS th FROM q)
+SELECT row_key, any_value(sd2) AS sd2, 1 - sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(cos(th * k / 2000), dof - 1)) * any_value(th) / 6000 * 2 * exp(any_value(lgamma((dof + 1) / 2) - lgamma(dof / 2) - lgamma(0.5))) AS p_quad
+FROM t, range(2001) AS r(k) GROUP BY row_key""")
 def _(t):
     return _legendre(t).select("row_key", "p_quad", F.col("coef_std")[2].alias("sd2"))
 
 
-@query("legendre_correlated", ints="row_key n", digits={"chi2": 6, "corr_len": 1, "sd1": 8})
+@query("legendre_correlated", ints="row_key n", digits={"chi2": 6, "corr_len": 1, "sd1": 8}, sql=f"""
+WITH {LEG_PROFILE}, sp AS (SELECT *, z - min(z) OVER (PARTITION BY row_key) AS zz, max(z) OVER (PARTITION BY row_key) - min(z) OVER (PARTITION BY row_key) AS h FROM lp WHERE s > 0 AND v IS NOT NULL),
+b AS (SELECT *, 1 / (s * s) AS w, 2 * zz / h - 1 AS p1 FROM sp WHERE h > 0), bb AS (SELECT *, (3 * p1 * p1 - 1) / 2 AS p2 FROM b),
+ne AS (SELECT row_key, count(*) AS n, sum(w) AS a, sum(w*p1) AS b, sum(w*p2) AS c, sum(w*p1*p1) AS d, sum(w*p1*p2) AS e, sum(w*p2*p2) AS f, sum(w*v) AS g0, sum(w*p1*v) AS g1, sum(w*p2*v) AS g2 FROM bb GROUP BY 1 HAVING count(*) >= 4),
+dt AS (SELECT *, a*(d*f-e*e) - b*(b*f-e*c) + c*(b*e-d*c) AS det FROM ne),
+cf AS (SELECT *, (g0*(d*f-e*e) - b*(g1*f-e*g2) + c*(g1*e-d*g2)) / det AS c0, (a*(g1*f-e*g2) - g0*(b*f-e*c) + c*(b*g2-g1*c)) / det AS c1, (a*(d*g2-g1*e) - b*(b*g2-g1*c) + g0*(b*e-d*c)) / det AS c2 FROM dt),
+rr AS (SELECT row_key, z, w, v - c0 - c1*p1 - c2*p2 AS r FROM bb JOIN cf USING (row_key)), rc AS (SELECT *, r - avg(r) OVER (PARTITION BY row_key) AS rc, row_number() OVER (PARTITION BY row_key ORDER BY z) AS i FROM rr),
+ac AS (SELECT x.row_key, y.i - x.i AS l, sum(x.rc * y.rc) AS c FROM rc x JOIN rc y ON x.row_key = y.row_key AND y.i >= x.i GROUP BY 1, 2),
+ln AS (SELECT a.row_key, greatest(coalesce(min(a.l) FILTER (a.c < z.c / exp(1) AND z.c > 0), 0), 1) AS corr_len FROM ac a JOIN ac z ON z.row_key = a.row_key AND z.l = 0 GROUP BY 1),
+x2 AS (SELECT row_key, sum(w * r * r) AS sse FROM rr GROUP BY 1)
+SELECT row_key, n, sse / greatest(n - 3, 1) AS chi2, corr_len, sqrt((a*f - c*c) / det * greatest(sse / greatest(n - 3, 1), 1) * corr_len) AS sd1 FROM cf JOIN ln USING (row_key) JOIN x2 USING (row_key)""")
 def _(t):
     return regress.legendre_correlated(supplier_profile(t), "z", "v", "s", ["row_key"]).select("row_key", "n", "chi2", "corr_len", F.col("coef_sd")[1].alias("sd1"))
 

@@ -320,12 +320,29 @@ def _shifts(t):
     return align.window_shift(p, max_lag=3.0, upsample=16, min_quality=0.15)
 
 
-@query("window_shift", keys="accepted", ints="line_id ref_idx sec_idx win", digits={"shift": 5, "quality": 5, "sidelobe": 5})
+# The correlation at whole lags, brought to lags of a sixteenth by the kernel of 128 points without its highest frequency.
+SHIFTS = WINP + """, wc AS (SELECT a.line_id, a.pass_idx AS ref_idx, b.pass_idx AS sec_idx, a.win, a.x_win, b.i - a.i AS m, sum(a.t * b.t) AS r FROM tp a JOIN tp b ON a.line_id = b.line_id AND a.win = b.win AND a.pass_idx < b.pass_idx GROUP BY 1, 2, 3, 4, 5, 6),
+ee AS (SELECT line_id, pass_idx, win, sum(t * t) AS e FROM tp GROUP BY 1, 2, 3),
+kr AS (SELECT q, q / 16.0 AS lag, m, CASE WHEN q = 16 * m THEN 127 / 128.0 ELSE sin(pi() * (q / 16.0 - m) * 127 / 128) / (128 * sin(pi() * (q / 16.0 - m) / 128)) END AS w FROM range(-128, 129) r(q), range(-35, 36) s(m)),
+cc AS (SELECT wc.line_id, ref_idx, sec_idx, wc.win, x_win, q, lag, sum(r * w) / sqrt(any_value(a.e) * any_value(b.e)) AS c FROM wc JOIN kr USING (m) JOIN ee a ON a.line_id = wc.line_id AND a.win = wc.win AND a.pass_idx = ref_idx
+  JOIN ee b ON b.line_id = wc.line_id AND b.win = wc.win AND b.pass_idx = sec_idx GROUP BY 1, 2, 3, 4, 5, 6, 7),
+tk AS (SELECT line_id, ref_idx, sec_idx, win, lag AS shift, c AS quality FROM cc WHERE abs(lag) <= 3 QUALIFY row_number() OVER (PARTITION BY line_id, ref_idx, sec_idx, win ORDER BY c DESC, q) = 1),
+lm AS (SELECT *, lag(c) OVER w AS c0, lead(c) OVER w AS c1 FROM cc WINDOW w AS (PARTITION BY line_id, ref_idx, sec_idx, win ORDER BY q)),
+sl AS (SELECT line_id, ref_idx, sec_idx, win, max(c) AS side FROM lm JOIN tk USING (line_id, ref_idx, sec_idx, win) WHERE c > c0 AND c > c1 AND abs(lag - shift) > 0.5 GROUP BY 1, 2, 3, 4),
+sh AS (SELECT tk.*, x.x_win, CASE WHEN quality > 0 THEN side / quality END AS sidelobe, quality >= 0.15 AND abs(shift) < 3 - 1 / 16.0 AS accepted FROM tk JOIN (SELECT DISTINCT line_id, win, x_win FROM tp) x USING (line_id, win) LEFT JOIN sl USING (line_id, ref_idx, sec_idx, win))"""
+DELAYS = SHIFTS + """, ac AS (SELECT line_id, ref_idx, sec_idx, x_win AS x, shift * 3.0 AS v, lead(x_win) OVER w AS x1, lead(shift * 3.0) OVER w AS v1, row_number() OVER w AS rn FROM sh WHERE accepted WINDOW w AS (PARTITION BY line_id, ref_idx, sec_idx ORDER BY x_win)),
+pc AS (SELECT DISTINCT a.line_id, a.pass_idx AS ref_idx, b.pass_idx AS sec_idx, c.col FROM (SELECT DISTINCT line_id, pass_idx FROM samples) a JOIN (SELECT DISTINCT line_id, pass_idx FROM samples) b ON a.line_id = b.line_id AND a.pass_idx < b.pass_idx JOIN (SELECT DISTINCT line_id, col FROM samples) c ON c.line_id = a.line_id),
+dl AS (SELECT p.*, CASE WHEN t.x IS NULL THEN h.v WHEN t.x1 IS NULL OR t.x = p.col THEN t.v ELSE t.v + (p.col - t.x) * (t.v1 - t.v) / (t.x1 - t.x) END AS delay_ns
+  FROM pc p ASOF LEFT JOIN ac t ON p.line_id = t.line_id AND p.ref_idx = t.ref_idx AND p.sec_idx = t.sec_idx AND p.col >= t.x LEFT JOIN ac h ON h.line_id = p.line_id AND h.ref_idx = p.ref_idx AND h.sec_idx = p.sec_idx AND h.rn = 1)"""
+
+
+@query("window_shift", keys="accepted", ints="line_id ref_idx sec_idx win", digits={"shift": 5, "quality": 5, "sidelobe": 5}, sql=f"WITH {SHIFTS} SELECT * FROM sh")
 def _(t):
     return _shifts(t)
 
 
-@query("alignment_summary", keys="coalign_applied", ints="line_id ref_idx sec_idx n_win n_ok", digits={"quality": 5})
+@query("alignment_summary", keys="coalign_applied", ints="line_id ref_idx sec_idx n_win n_ok", digits={"quality": 5}, sql=f"""
+WITH {SHIFTS} SELECT line_id, ref_idx, sec_idx, count(*) AS n_win, count(*) FILTER (accepted) AS n_ok, coalesce(median(quality) FILTER (accepted), max(quality)) AS quality, count(*) FILTER (accepted) > 0 AS coalign_applied FROM sh GROUP BY 1, 2, 3""")
 def _(t):
     return align.alignment_summary(_shifts(t))
 
@@ -335,12 +352,18 @@ def _delays(t):
     return align.shift_profile(_shifts(t), cols, 3.0e-9)
 
 
-@query("shift_profile", ints="line_id ref_idx sec_idx col", digits={"delay_ns": 6})
+@query("shift_profile", ints="line_id ref_idx sec_idx col", digits={"delay_ns": 9}, sql=f"WITH {DELAYS} SELECT * FROM dl")
 def _(t):
     return _delays(t).withColumn("delay_ns", F.col("delay") * 1e9)
 
 
-@query("apply_delay", ints="line_id ref_idx sec_idx col", digits={"power": 6, "first_re": 6})
+# The first sample of a delayed trace: every sample turned by the phase of each of 64 frequencies, then by the carrier.
+@query("apply_delay", ints="line_id ref_idx sec_idx col", digits={"power": 6, "first_re": 6}, sql=f"""
+WITH {DELAYS}, kd AS (SELECT d.line_id, d.ref_idx, d.sec_idx, d.col, d.delay_ns, s.bin, s.re, s.im FROM dl d JOIN samples s ON s.line_id = d.line_id AND s.pass_idx = d.sec_idx AND s.col = d.col
+  WHERE EXISTS (SELECT 1 FROM samples r WHERE r.line_id = d.line_id AND r.pass_idx = d.ref_idx AND r.col = d.col)),
+ph AS (SELECT line_id, ref_idx, sec_idx, col, bin, re, im, delay_ns, sum(cos(2 * pi() * (k * (delay_ns / 3 - bin) / 64 + 0.75 * delay_ns))) / 64 AS a, sum(sin(2 * pi() * (k * (delay_ns / 3 - bin) / 64 + 0.75 * delay_ns))) / 64 AS b
+  FROM kd, range(-32, 32) AS r(k) GROUP BY 1, 2, 3, 4, 5, 6, 7, 8)
+SELECT line_id, ref_idx, sec_idx, col, sum(re * re + im * im) AS power, CASE WHEN any_value(delay_ns) IS NULL THEN max(CASE WHEN bin = 0 THEN re END) ELSE sum(re * a - im * b) END AS first_re FROM ph GROUP BY 1, 2, 3, 4""")
 def _(t):
     p = pairs.pair_samples(I.slc(t)).select("line_id", "ref_idx", "sec_idx", "col", F.col("sec_re").alias("re"), F.col("sec_im").alias("im"))
     d = align.apply_delay(p.join(_delays(t), ["line_id", "ref_idx", "sec_idx", "col"]), 7.5e8, 3.0e-9)
